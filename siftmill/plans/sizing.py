@@ -14,7 +14,7 @@ LARGE_BYTES = 1 << 30
 
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of ``df``: an upper bound for scans, filters and aggregates."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:

@@ -11,18 +11,19 @@ from siftmill.plans.sampling import choose, hash_int, with_cuts
 from siftmill.plans.sizing import broadcast_if_small
 
 
-def entity_subset(main: DataFrame, key: str, n: int, seed: int, children: Mapping[str, tuple[DataFrame, str]], grandchildren: Mapping[str, tuple[DataFrame, str, str]] | None = None) -> dict[str, DataFrame]:
+def entity_subset(main: DataFrame, key: str, n: int, seed: int, children: Mapping[str, tuple[DataFrame, str]], grandchildren: Mapping[str, tuple[DataFrame, str, str, str]] | None = None) -> dict[str, DataFrame]:
     """Exactly ``n`` entities by hash order and their rows in every child table.
 
     ``children`` maps a name to ``(table, key)``; ``grandchildren`` maps a name to
-    ``(table, link key, child name)`` and follows the child's rows.
+    ``(table, its link key, child name, the child's link key)`` and follows the child's rows.
     """
     out = {"main": choose(main, key, seed, lambda _: F.lit(n))}
     ids = out["main"].select(key)
     for name, (child, child_key) in children.items():
         out[name] = child.join(broadcast_if_small(ids.withColumnRenamed(key, child_key)), child_key, "left_semi")
-    for name, (table, link, via) in (grandchildren or {}).items():
-        out[name] = table.join(broadcast_if_small(out[via].select(link)), link, "left_semi")
+    for name, (table, link, via, via_link) in (grandchildren or {}).items():
+        kept = out[via].select(F.col(via_link).alias(link))
+        out[name] = table.join(broadcast_if_small(kept), link, "left_semi")
     return out
 
 
