@@ -1,8 +1,8 @@
 """All registered queries."""
 
-from siftmill.queries import tables, time  # noqa: F401
+from siftmill.queries import features, tables, time  # noqa: F401
 from siftmill.queries.base import COVERS, ORACLES, QUERIES
 
-FLAGSHIP = None
+FLAGSHIP = features.flagship
 
 __all__ = ["COVERS", "FLAGSHIP", "ORACLES", "QUERIES"]
