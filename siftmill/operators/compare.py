@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftmill.operators.metrics import METRICS
-from siftmill.plans.distribution import quantile_edges, right_closed_bin
+from siftmill.plans.distribution import quantile_edges
 from siftmill.plans.ordered import plan_buckets, running_totals
 from siftmill.plans.skew import hot_split_join
 
@@ -25,11 +26,11 @@ def pair_predictions(preds: DataFrame, new: str, base: str, key: str = "_row_id"
     return left.join(right, key)
 
 
-def _score_edges(pairs: DataFrame, column: str, bins: int, buckets: int | None) -> DataFrame:
-    """One row with the distinct quantile edges of a score."""
+def _score_cuts(pairs: DataFrame, column: str, bins: int, buckets: int | None) -> list[float]:
+    """Interior quantile edges of a score: at most ``bins - 1`` numbers."""
     dist = pairs.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("value")).agg(F.count("*").alias("n"))
-    bounds = plan_buckets(pairs, column, buckets)
-    return quantile_edges(dist, [], bins, bounds)
+    row = quantile_edges(dist, [], bins, plan_buckets(pairs, column, buckets)).first()
+    return sorted(set(row["edges"][1:-1])) if row else []
 
 
 def joint_cells(pairs: DataFrame, bins: int = 1000, buckets: int | None = None) -> DataFrame:
@@ -40,27 +41,45 @@ def joint_cells(pairs: DataFrame, bins: int = 1000, buckets: int | None = None)
     """
     out = pairs.where("y is not null and p_new is not null and p_base is not null")
     for side in SIDES:
-        edges = _score_edges(pairs, f"p_{side}", bins, buckets).withColumnRenamed("edges", f"_e_{side}")
-        out = out.join(F.broadcast(edges))  # one row holding at most bins + 1 numbers
-        out = out.withColumn(f"bin_{side}", right_closed_bin(F.col(f"_e_{side}"), F.col(f"p_{side}").cast("double")))
-    return out.groupBy("bin_new", "bin_base", "y").agg(F.count("*").alias("n"))
+        splits = [float("-inf"), *_score_cuts(out, f"p_{side}", bins, buckets), float("inf")]
+        if len(splits) < 3:
+            out = out.withColumn(f"bin_{side}", F.lit(0))
+            continue
+        cut = Bucketizer(splits=splits, inputCol=f"_s_{side}", outputCol=f"_b_{side}")
+        out = cut.transform(out.withColumn(f"_s_{side}", F.col(f"p_{side}").cast("double"))).withColumn(f"bin_{side}", F.col(f"_b_{side}").cast("int"))
+    return out.groupBy("bin_new", "bin_base", F.col("y").cast("int").alias("y")).agg(F.count("*").alias("n"))
+
+
+def histogram_metric(metric: str, pos: np.ndarray, neg: np.ndarray) -> float:
+    """Metric from weighted counts per score bin, lowest score first."""
+    n_pos, n_neg = pos.sum(), neg.sum()
+    if not n_pos or not n_neg:
+        return float("nan")
+    below = np.cumsum(neg) - neg
+    if metric == "auc":
+        return float((pos * (below + neg / 2)).sum() / (n_pos * n_neg))
+    if metric == "ks":
+        return float(np.abs(np.cumsum(pos) / n_pos - np.cumsum(neg) / n_neg).max())
+    top_pos, top_neg = np.cumsum(pos[::-1])[::-1], np.cumsum(neg[::-1])[::-1]
+    filled = top_pos + top_neg > 0
+    return float((pos[filled] * top_pos[filled] / (top_pos + top_neg)[filled]).sum() / n_pos)
 
 
-def _resampled(n: int, seed: int):
+def _replicates(cells, metric: str, seed: int):
     def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Poisson resample counts of each cell for every replicate, summed within the batch."""
-        for cells in frames:
-            sums: dict[tuple[int, int, int], np.ndarray] = {}
-            for b_new, b_base, y, count in cells.itertuples(index=False):
-                # The generator is keyed by the cell, so the layout of the data does not matter.
-                rng = np.random.Generator(np.random.Philox(key=[seed, (int(b_new) * 100_003 + int(b_base)) * 2 + int(y)]))
-                w = rng.poisson(float(count), n)
-                for side, b in enumerate((b_new, b_base)):
-                    slot = (side, int(b), int(y))
-                    sums[slot] = sums[slot] + w if slot in sums else w.astype(np.int64)
-            reps = np.arange(n)
-            for (side, b, y), w in sums.items():
-                yield pd.DataFrame({"rep": reps, "side": side, "bin": b, "y": y, "w": w})
+        """Poisson resamples of the cell counts; a replicate's generator depends on its number only."""
+        c = cells.value
+        is_pos, sizes = c["y"] == 1, (int(c["bin_new"].max()) + 1, int(c["bin_base"].max()) + 1)
+        for frame in frames:
+            deltas = []
+            for rep in frame["id"]:
+                w = np.random.default_rng([seed, int(rep)]).poisson(c["n"])
+                values = []
+                for side, size in zip(("bin_new", "bin_base"), sizes):
+                    hist = lambda m: np.bincount(c[side][m], weights=w[m], minlength=size)
+                    values.append(histogram_metric(metric, hist(is_pos), hist(~is_pos)))
+                deltas.append(values[0] - values[1])
+            yield pd.DataFrame({"rep": frame["id"], "d": deltas})
 
     return draw
 
@@ -68,47 +87,30 @@ def _resampled(n: int, seed: int):
 def paired_bootstrap(pairs: DataFrame, alpha: float = 0.05, n: int = 1000, seed: int = 0, metric: str = "auc", bins: int = 1000, buckets: int | None = None) -> DataFrame:
     """Difference of a metric with one-sided bootstrap bounds; significant when the lower one is above 0.
 
-    The rows are read once and reduced to joint cells. Each cell is resampled for all replicates
-    where it lies; replicate metrics are grouped aggregates.
+    The rows are read once and reduced to the joint cells, whose number is bounded by ``bins``;
+    the cells are sent to every task and the replicates run side by side.
     """
-    cells = joint_cells(pairs, bins, buckets).select("bin_new", "bin_base", "y", "n")
-    drawn = cells.mapInPandas(_resampled(n, seed), "rep int, side int, bin int, y int, w long")
-    weights = drawn.groupBy("rep", "side", "bin").agg(
-        F.sum(F.when(F.col("y") == 1, F.col("w")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("y") != 1, F.col("w")).otherwise(0)).alias("neg")
-    )
-    scores = _weighted_metric(weights, ["rep", "side"], "bin", metric)
-    delta = scores.groupBy("rep").agg((F.max(F.when(F.col("side") == 0, F.col("m"))) - F.max(F.when(F.col("side") == 1, F.col("m")))).alias("d"))
-    bounds = delta.agg(F.percentile("d", F.array(F.lit(alpha), F.lit(1 - alpha))).alias("q"))
-    long = pairs.select("y", F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"p_{s}").alias("p")) for s in SIDES])).alias("s")).select("y", "s.*")
+    spark = pairs.sparkSession
+    rows = joint_cells(pairs, bins, buckets).toPandas()
+    cells = spark.sparkContext.broadcast({c: rows[c].to_numpy(dtype=np.int64) for c in ("bin_new", "bin_base", "y", "n")})
+    tasks = max(1, min(n, spark.sparkContext.defaultParallelism))
+    drawn = spark.range(0, n, 1, tasks).mapInPandas(_replicates(cells, metric, seed), "rep long, d double")
+    bounds = drawn.agg(F.percentile("d", F.array(F.lit(alpha), F.lit(1 - alpha))).alias("q"))  # n numbers
+    long = pairs.unpivot(["y"], ["p_new", "p_base"], "side", "p")
     point = METRICS[metric][0](long, ["side"], buckets=buckets)
-    exact = point.agg((F.max(F.when(F.col("side") == "new", F.col(metric))) - F.max(F.when(F.col("side") == "base", F.col(metric)))).alias("delta"))
+    exact = point.agg((F.max(F.when(F.col("side") == "p_new", F.col(metric))) - F.max(F.when(F.col("side") == "p_base", F.col(metric)))).alias("delta"))
     return exact.join(F.broadcast(bounds)).select(  # one row each
         "delta", F.col("q")[0].alias("ci_low"), F.col("q")[1].alias("ci_high"), F.lit(alpha).alias("alpha"), (F.col("q")[0] > 0).alias("significant")
     )
 
 
-def _weighted_metric(weights: DataFrame, by: Sequence[str], value: str, metric: str) -> DataFrame:
-    """AUC, average precision or KS from weighted counts; at most ``bins`` rows per group."""
-    w = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*by)
-    c = weights.withColumns({"cpos": F.sum("pos").over(w), "cneg": F.sum("neg").over(w), "P": F.sum("pos").over(whole), "N": F.sum("neg").over(whole)})
-    if metric == "auc":
-        m = F.try_divide(F.sum(F.col("pos") * (F.col("cneg") - F.col("neg") / 2.0)), F.max("P").cast("double") * F.max("N"))
-    elif metric == "ks":
-        m = F.max(F.abs(F.try_divide(F.col("cpos").cast("double"), F.col("P")) - F.try_divide(F.col("cneg").cast("double"), F.col("N"))))
-    else:
-        top = F.col("P") - F.col("cpos") + F.col("pos")
-        m = F.try_divide(F.sum(F.col("pos") * F.try_divide(top.cast("double"), top + F.col("N") - F.col("cneg") + F.col("neg"))), F.max("P"))
-    return c.groupBy(*by).agg(m.alias("m"))
-
-
 def _placements(pairs: DataFrame, side: str, key: str, buckets: int | None) -> DataFrame:
     """Placement value of every row under one score."""
     counts = pairs.groupBy(F.col(f"p_{side}").alias("s")).agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") != 1).alias("neg"))
-    cum = running_totals(counts, [], ["s"], {"cpos": F.col("pos"), "cneg": F.col("neg")}, plan_buckets(pairs, f"p_{side}", buckets), grand={"P": F.col("pos"), "N": F.col("neg")})
+    cum = running_totals(counts, [], ["s"], {"cpos": F.col("pos"), "cneg": F.col("neg")}, plan_buckets(pairs, f"p_{side}", buckets), grand={"pos_all": F.col("pos"), "neg_all": F.col("neg")})
     place = cum.select(
-        F.col("s").alias(f"p_{side}"), ((F.col("cneg") - F.col("neg") / 2.0) / F.col("N")).alias(f"v_{side}_pos"),
-        (1 - (F.col("cpos") - F.col("pos") / 2.0) / F.col("P")).alias(f"v_{side}_neg"), ((F.col("pos") + F.col("neg")) > 0.001 * (F.col("P") + F.col("N"))).alias("_often"),
+        F.col("s").alias(f"p_{side}"), ((F.col("cneg") - F.col("neg") / 2.0) / F.col("neg_all")).alias(f"v_{side}_pos"),
+        (1 - (F.col("cpos") - F.col("pos") / 2.0) / F.col("pos_all")).alias(f"v_{side}_neg"), ((F.col("pos") + F.col("neg")) > 0.001 * (F.col("pos_all") + F.col("neg_all"))).alias("_often"),
     )
     return hot_split_join(pairs, place, [f"p_{side}"], F.col("_often"), 1000, key).drop("_often")
 

@@ -34,13 +34,13 @@ def mutual_information(df: DataFrame, features: Sequence[str], bins: int = 10, b
     """Mutual information (nats) between quantile bins of a feature and the label."""
     size = Window.partitionBy("feature")
     cells = _bins_of(df, features, bins, buckets)
-    cells = cells.withColumns({"N": F.sum("n").over(size).cast("double"), "P": F.sum("n_pos").over(size).cast("double")})
+    cells = cells.withColumns({"all_n": F.sum("n").over(size).cast("double"), "all_pos": F.sum("n_pos").over(size).cast("double")})
 
     def term(count, label_total):
-        joint = count / F.col("N")
-        return F.when(count > 0, joint * F.ln(joint * F.col("N") * F.col("N") / (F.col("n") * label_total))).otherwise(0.0)
+        joint = count / F.col("all_n")
+        return F.when(count > 0, joint * F.ln(joint * F.col("all_n") * F.col("all_n") / (F.col("n") * label_total))).otherwise(0.0)
 
-    mi = term(F.col("n_pos"), F.col("P")) + term(F.col("n") - F.col("n_pos"), F.col("N") - F.col("P"))
+    mi = term(F.col("n_pos"), F.col("all_pos")) + term(F.col("n") - F.col("n_pos"), F.col("all_n") - F.col("all_pos"))
     return cells.groupBy("feature").agg(F.sum(mi).alias("mi"))
 
 

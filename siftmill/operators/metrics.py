@@ -30,14 +30,14 @@ def score_counts(df: DataFrame, by: Sequence[str], y: str = Y, p: str = P) -> Da
 
 
 def _totals(counts: DataFrame, by: Sequence[str]) -> DataFrame:
-    return counts.groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    return counts.groupBy(*by).agg(F.sum("pos").alias("pos_all"), F.sum("neg").alias("neg_all"))
 
 
 def _cumulative(df: DataFrame, by: Sequence[str], y: str, p: str, buckets: int | None, bounds: Sequence[float] | None) -> DataFrame:
     cuts = plan_buckets(df.select(F.col(p).cast("double").alias(P)), P, buckets) if bounds is None else bounds
     return running_totals(
         score_counts(df, by, y, p), by, [P], {"cpos": F.col("pos"), "cneg": F.col("neg")}, cuts,
-        grand={"P": F.col("pos"), "N": F.col("neg")},
+        grand={"pos_all": F.col("pos"), "neg_all": F.col("neg")},
     )
 
 
@@ -59,10 +59,10 @@ def ranking_metrics(df: DataFrame, by: Sequence[str] = (), y: str = Y, p: str =
     """AUC, average precision and KS of every group from one set of running counts."""
     rows = _cumulative(df, by, y, p, buckets, bounds)
     # Seen from the top: everything at or above this score.
-    above_pos = F.col("P") - F.col("cpos") + F.col("pos")
-    above_all = above_pos + F.col("N") - F.col("cneg") + F.col("neg")
+    above_pos = F.col("pos_all") - F.col("cpos") + F.col("pos")
+    above_all = above_pos + F.col("neg_all") - F.col("cneg") + F.col("neg")
     precision = F.try_divide(above_pos.cast("double"), above_all)
-    gap = F.abs(F.try_divide(F.col("cpos").cast("double"), F.col("P")) - F.try_divide(F.col("cneg").cast("double"), F.col("N")))
+    gap = F.abs(F.try_divide(F.col("cpos").cast("double"), F.col("pos_all")) - F.try_divide(F.col("cneg").cast("double"), F.col("neg_all")))
     agg = rows.groupBy(*by).agg(
         F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), _u_statistic().alias("_u"),
         F.sum(F.col("pos") * precision).alias("_ap"), F.max(gap).alias("ks"),
@@ -107,7 +107,7 @@ def top_decile(df: DataFrame, by: Sequence[str] = (), y: str = Y, p: str = P, ke
     rows = running_totals(
         counts.withColumn("m", F.col("pos") + F.col("neg")), by, [P], {"cm": F.col("m")}, cuts, grand={"n": F.col("pos") + F.col("neg")}
     ).withColumn("k", size)
-    tot = _totals(counts, by).withColumn("n", F.col("P") + F.col("N")).withColumn("k", size)
+    tot = _totals(counts, by).withColumn("n", F.col("pos_all") + F.col("neg_all")).withColumn("k", size)
     above = F.col("n") - F.col("cm")
     full = rows.where(above + F.col("m") <= F.col("k")).groupBy(*by).agg(F.sum("pos").alias("full_pos"))
     edge = rows.where((above < F.col("k")) & (above + F.col("m") > F.col("k"))).select(*by, F.col(P).alias("_edge"), (F.col("k") - above).alias("_need"))
@@ -120,11 +120,11 @@ def top_decile(df: DataFrame, by: Sequence[str] = (), y: str = Y, p: str = P, ke
     for extra in (full, part):
         out = out.join(extra, list(by), "left") if by else out.join(F.broadcast(extra))
     hit = F.coalesce("full_pos", F.lit(0)) + F.coalesce("part_pos", F.lit(0))
-    base = F.try_divide(F.col("P").cast("double"), F.col("n"))
+    base = F.try_divide(F.col("pos_all").cast("double"), F.col("n"))
     return out.select(
         *by, "n", F.col("k").alias("n_top"), hit.alias("top_pos"),
         F.try_divide(F.try_divide(hit.cast("double"), F.col("k")), base).alias("lift_top10"),
-        F.try_divide(hit.cast("double"), F.col("P")).alias("recall_top10"),
+        F.try_divide(hit.cast("double"), F.col("pos_all")).alias("recall_top10"),
     )
 
 
@@ -157,18 +157,18 @@ def _placement_variance(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     A positive with score s is placed above ``(neg below + neg tied / 2) / N`` of the negatives,
     a negative below the matching share of the positives; both are constant within a score.
     """
-    v10 = (F.col("cneg") - F.col("neg") / 2.0) / F.col("N")
-    v01 = 1 - (F.col("cpos") - F.col("pos") / 2.0) / F.col("P")
+    v10 = (F.col("cneg") - F.col("neg") / 2.0) / F.col("neg_all")
+    v01 = 1 - (F.col("cpos") - F.col("pos") / 2.0) / F.col("pos_all")
     spread = lambda w, v, n: (F.sum(w * v * v) - F.pow(F.sum(w * v), 2) / n) / (n - 1)
     return rows.groupBy(*by).agg(
-        F.max("P").alias("n_pos"), F.max("N").alias("n_neg"),
-        F.sqrt(spread(F.col("pos"), v10, F.max("P")) / F.max("P") + spread(F.col("neg"), v01, F.max("N")) / F.max("N")).alias("auc_se"),
+        F.max("pos_all").alias("n_pos"), F.max("neg_all").alias("n_neg"),
+        F.sqrt(spread(F.col("pos"), v10, F.max("pos_all")) / F.max("pos_all") + spread(F.col("neg"), v01, F.max("neg_all")) / F.max("neg_all")).alias("auc_se"),
     )
 
 
 def auc_standard_error(df: DataFrame, by: Sequence[str] = (), y: str = Y, p: str = P, buckets: int | None = None) -> DataFrame:
     """DeLong standard error of the AUC per group."""
-    rows = _cumulative(df, by, y, p, buckets, None).where((F.col("P") > 1) & (F.col("N") > 1))
+    rows = _cumulative(df, by, y, p, buckets, None).where((F.col("pos_all") > 1) & (F.col("neg_all") > 1))
     return _placement_variance(rows, by)
 
 
@@ -254,10 +254,10 @@ def spearman_with_label(dist: DataFrame, by: Sequence[str], bounds: Sequence[flo
     r = F.col("_cum") - (F.col("n") - 1) / 2.0
     n, pos = F.col("n"), F.col("n_pos")
     s = cum.groupBy(*by).agg(
-        F.sum(n).alias("N"), F.sum(pos).alias("P"), F.sum(n * r).alias("sr"), F.sum(n * r * r).alias("srr"), F.sum(pos * r).alias("srp"),
+        F.sum(n).alias("all_n"), F.sum(pos).alias("all_pos"), F.sum(n * r).alias("sr"), F.sum(n * r * r).alias("srr"), F.sum(pos * r).alias("srp"),
     )
     # Correlation is unchanged by a linear map of the label's two ranks to 0 and 1.
-    cov = F.col("srp") - F.col("sr") * F.col("P") / F.col("N")
-    var_r = F.col("srr") - F.col("sr") * F.col("sr") / F.col("N")
-    var_y = F.col("P") - F.col("P") * F.col("P") / F.col("N")
-    return s.select(*by, F.col("N").alias("n"), F.when((var_r > 0) & (var_y > 0), cov / F.sqrt(var_r * var_y)).alias("rho"))
+    cov = F.col("srp") - F.col("sr") * F.col("all_pos") / F.col("all_n")
+    var_r = F.col("srr") - F.col("sr") * F.col("sr") / F.col("all_n")
+    var_y = F.col("all_pos") - F.col("all_pos") * F.col("all_pos") / F.col("all_n")
+    return s.select(*by, F.col("all_n").alias("n"), F.when((var_r > 0) & (var_y > 0), cov / F.sqrt(var_r * var_y)).alias("rho"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftmill.plans.ordered import plan_buckets, running_totals
-from siftmill.plans.sizing import estimated_bytes
+from siftmill.plans.sizing import input_bytes
 
 
 def numeric_long(df: DataFrame, features: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -31,7 +31,7 @@ def long_buckets(df: DataFrame, features: Sequence[str], buckets: int | None = N
     """Bucket boundaries over the values of all ``features`` together."""
     long = numeric_long(df, features)
     if buckets is None:
-        buckets = max(1, -(-estimated_bytes(df) * max(1, len(features)) // (256 << 20)))
+        buckets = max(1, -(-input_bytes(df) * max(1, len(features)) // (256 << 20)))
         buckets = min(buckets, 4096)
     return plan_buckets(long, "value", buckets)
 
@@ -43,19 +43,29 @@ def collapse(long: DataFrame, by: Sequence[str], label: str = "y") -> DataFrame:
     )
 
 
-def quantile_points(dist: DataFrame, by: Sequence[str], probs: Sequence[float], bounds: Sequence[float]) -> DataFrame:
+def quantile_points(dist: DataFrame, by: Sequence[str], probs: Sequence[float] | int, bounds: Sequence[float]) -> DataFrame:
     """Exact linearly interpolated quantiles per group: ``(by..., i, q)``.
 
-    ``dist`` is ``(by..., value, n)`` without NULL values. The two neighbouring ranks of each
-    quantile are found in the running counts, so no task ever holds a whole feature.
+    ``dist`` is ``(by..., value, n)`` without NULL values. ``probs`` is a list of fractions, or a
+    number k for ``0, 1/k, ..., 1``. The two neighbouring ranks of each quantile are found in the
+    running counts, so no task ever holds a whole feature.
     """
     rows = running_totals(dist, by, ["value"], {"_cum": F.col("n")}, bounds, grand={"_total": F.col("n")})
-    first, last = F.col("_cum") - F.col("n"), F.col("_cum") - 1
-    spots = F.array(*[F.struct(F.lit(i).alias("i"), ((F.col("_total") - 1) * F.lit(float(p))).alias("h")) for i, p in enumerate(probs)])
-    covers = lambda rank: (rank >= first) & (rank <= last)
-    near = F.filter(spots, lambda s: covers(F.floor(s["h"])) | covers(F.ceil(s["h"])))
-    hit = rows.select(*by, "value", first.alias("_first"), last.alias("_last"), F.explode(near).alias("s"))
+    rows = rows.withColumns({"_first": F.col("_cum") - F.col("n"), "_last": F.col("_cum") - 1})
+    top = F.col("_total") - 1
+    if isinstance(probs, int):
+        # Only the few quantiles whose position can fall on this value are looked at.
+        step = F.lit(float(probs)) / F.greatest(top, F.lit(1))
+        lo = F.greatest(F.lit(0), F.floor((F.col("_first") - 1) * step)).cast("int")
+        hi = F.least(F.lit(probs), F.ceil((F.col("_last") + 1) * step)).cast("int")
+        numbers, share = F.sequence(lo, hi), lambda i: i.cast("double") / probs
+    else:
+        listed = F.array(*[F.lit(float(p)) for p in probs])
+        numbers, share = F.sequence(F.lit(0), F.lit(len(probs) - 1)), lambda i: F.get(listed, i)
+    spots = F.transform(numbers, lambda i: F.struct(i.alias("i"), (top * share(i)).alias("h")))
     inside = lambda rank: (rank >= F.col("_first")) & (rank <= F.col("_last"))
+    near = F.filter(spots, lambda s: inside(F.floor(s["h"])) | inside(F.ceil(s["h"])))
+    hit = rows.select(*by, "value", "_first", "_last", F.explode(near).alias("s"))
     pair = hit.groupBy(*by, F.col("s.i").alias("i")).agg(
         F.max(F.when(inside(F.floor("s.h")), F.col("value"))).alias("lo"),
         F.max(F.when(inside(F.ceil("s.h")), F.col("value"))).alias("hi"),
@@ -66,7 +76,7 @@ def quantile_points(dist: DataFrame, by: Sequence[str], probs: Sequence[float],
 
 def quantile_edges(dist: DataFrame, by: Sequence[str], bins: int, bounds: Sequence[float]) -> DataFrame:
     """Distinct sorted quantile edges per group: ``(by..., edges ARRAY<DOUBLE>)``."""
-    points = quantile_points(dist, by, [i / bins for i in range(bins + 1)], bounds)
+    points = quantile_points(dist, by, bins, bounds)
     return points.groupBy(*by).agg(F.array_sort(F.collect_set("q")).alias("edges"))
 
 

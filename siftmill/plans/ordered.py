@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftmill.plans.sizing import BUCKET_BYTES, estimated_bytes
+from siftmill.plans.sizing import BUCKET_BYTES, input_bytes
 
 BUCKET = "_bucket"
 MAX_BUCKETS = 4096
@@ -53,7 +53,7 @@ def plan_buckets(df: DataFrame, order: str, buckets: int | None = None, bytes_pe
     Without ``buckets`` the number follows the optimizer's size estimate. Large inputs are
     sampled for the boundaries (rows are never dropped from the computation itself).
     """
-    size = estimated_bytes(df)
+    size = input_bytes(df)
     n = buckets if buckets is not None else min(MAX_BUCKETS, -(-size // bytes_per_bucket))
     if n <= 1:
         return []

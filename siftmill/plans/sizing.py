@@ -1,4 +1,9 @@
-"""Size checks from the optimizer's own statistics; no job is started."""
+"""Size checks from the optimizer's own statistics; no job is started.
+
+Two numbers with different uses: ``estimated_bytes`` is Catalyst's upper bound (joins multiply
+their sides) and guards broadcasts; ``input_bytes`` is the size of the scanned leaves and steers
+how finely work is cut, where a wrong guess costs time but never correctness.
+"""
 
 from __future__ import annotations
 
@@ -17,6 +22,12 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Bytes read by the plan: the sum over its leaves."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Hint a broadcast only when the estimate stays below ``limit``.
 
@@ -41,6 +52,6 @@ def settle(small: DataFrame, big: DataFrame) -> DataFrame:
     broadcast only if that size is small, and ``big`` is not shuffled for nothing. Next to a
     small table the adaptive planner decides.
     """
-    if estimated_bytes(big) <= LARGE_BYTES:
+    if input_bytes(big) <= LARGE_BYTES:
         return small
     return broadcast_if_small(cut_lineage(small))
