@@ -10,6 +10,7 @@ from siftmill.operators import screen as sc
 from siftmill.operators.policy import FieldPolicy
 from siftmill.queries import bindings as b
 from siftmill.queries.base import query, r, rounded, table
+from siftmill.session import cut_lineage
 from siftmill.queries.sqltext import edges_cte, long_cte, psi_cte, right_bin
 
 NUM = b.NUMERIC
@@ -91,7 +92,7 @@ miss AS (SELECT feature, avg(CASE WHEN v IS NULL THEN CAST(1 AS DOUBLE) ELSE 0 E
 sides AS (SELECT *, split = 'train' AS ref FROM s2 WHERE split IN ('train', 'oot_dev')), {long_cte('sides', FUNNEL, 'long2', 'ref')}, {psi_cte('long2', 'feature', 'feature', 10)},
 stage1 AS (SELECT feature, missing, iv, auc, psi, CASE WHEN missing > 0.95 THEN 'missing' WHEN iv < 0.02 THEN 'low_iv' WHEN auc > 0.75 THEN 'leak_suspect' END AS out1
   FROM miss JOIN iv_ USING (feature) JOIN auc_ USING (feature) JOIN psi_ USING (feature)),
-stage2 AS (SELECT *, row_number() OVER (PARTITION BY out1 IS NULL ORDER BY iv DESC, feature) AS pos FROM stage1),
+stage2 AS (SELECT *, row_number() OVER (PARTITION BY out1 IS NULL ORDER BY round(iv, 10) DESC, feature) AS pos FROM stage1),
 twins AS (SELECT 'signal' AS a, 'signal_dup' AS b WHERE (SELECT abs(corr(signal, signal_dup)) FROM train) > 0.9),
 stage3 AS (SELECT s.*, EXISTS (SELECT 1 FROM twins t JOIN stage2 o ON o.feature IN (t.a, t.b) AND o.feature <> s.feature WHERE s.feature IN (t.a, t.b) AND o.out1 IS NULL AND o.pos < s.pos) AS near FROM stage2 s)
 SELECT feature, {r('missing')} AS missing, CASE WHEN missing > 0.95 THEN NULL ELSE {r('iv')} END AS iv,
@@ -100,6 +101,7 @@ SELECT feature, {r('missing')} AS missing, CASE WHEN missing > 0.95 THEN NULL EL
 def screening_funnel(spark, sf):
     late = F.when(F.col("split") == "oot_dev", 80).otherwise(0)
     s = b.splits(spark, sf).withColumn("drift_only", ((F.col("h") * 7 + F.col("h2")) % 100 + 30 * F.col("_label") + late).cast("double"))
+    s = cut_lineage(s, ("split",))
     res = sc.screen(s.where("split = 'train'"), s.where("split = 'oot_dev'"), FUNNEL)
     return rounded(res.table, 6, "missing", "iv", "auc", "psi")
 
