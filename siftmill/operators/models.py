@@ -194,10 +194,11 @@ def fit_gbt(train: DataFrame, valid: DataFrame | None, inputs: Inputs, params: M
     gbt = GBTClassifier(
         labelCol=LABEL, maxIter=int(params.get("max_iter", 20)), maxDepth=int(params.get("max_depth", 5)), stepSize=float(params.get("step_size", 0.1)),
         minInstancesPerNode=int(params.get("min_instances", 20)), subsamplingRate=float(params.get("subsampling", 1.0)), maxBins=int(params.get("max_bins", 64)), seed=seed,
+        validationTol=float(params.get("validation_tol", 0.005)),
     )
     rows = transform(train).select(LABEL, "features", F.lit(False).alias("is_valid"))
     if valid is not None:
-        gbt = gbt.setValidationIndicatorCol("is_valid").setValidationTol(float(params.get("validation_tol", 0.005)))
+        gbt = gbt.setValidationIndicatorCol("is_valid")
         rows = rows.unionByName(transform(valid).select(LABEL, "features", F.lit(True).alias("is_valid")))
     fitted = gbt.fit(rows)
     return Fitted("gbt", inputs, transform, fitted, {"best_iter": fitted.getNumTrees})
