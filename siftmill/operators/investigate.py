@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siftmill.columns import ID, LABEL, OBS
 from siftmill.operators.metrics import shift_from_counts
-from siftmill.operators.screen import EDGE_ROW_BYTES, binned, value_counts_by_label
+from siftmill.operators.screen import EDGE_ROW_BYTES, per_bin, value_counts_by_label
 from siftmill.plans.distribution import long_buckets, numeric_long, quantile_edges, quantile_points, text_long
 from siftmill.plans.ordered import order_key, plan_buckets, running_totals
 from siftmill.plans.sizing import broadcast_bounded
@@ -25,9 +25,10 @@ def top_features(scores: DataFrame, by: str, n: int = TOP) -> DataFrame:
 
 
 def _bins_of(df: DataFrame, features: Sequence[str], bins: int, buckets: int | None) -> DataFrame:
-    dist = value_counts_by_label(df, features)
-    edges = quantile_edges(dist.where("value is not null"), ["feature"], bins, long_buckets(df, features, buckets))
-    return binned(dist, edges, len(features)).groupBy("feature", "bin").agg(F.sum("n").alias("n"), F.sum("n_pos").alias("n_pos"))
+    """Bins with consecutive numbers; at most ``bins + 1`` rows per feature reach the window."""
+    cells = per_bin(df, features, bins=bins, buckets=buckets)
+    dense = F.dense_rank().over(Window.partitionBy("feature", F.col("bin") < 0).orderBy("bin")) - 1
+    return cells.withColumn("bin", F.when(F.col("bin") < 0, F.col("bin")).otherwise(dense))
 
 
 def mutual_information(df: DataFrame, features: Sequence[str], bins: int = 10, buckets: int | None = None) -> DataFrame:
@@ -44,16 +45,17 @@ def mutual_information(df: DataFrame, features: Sequence[str], bins: int = 10, b
     return cells.groupBy("feature").agg(F.sum(mi).alias("mi"))
 
 
-def _rates(cells: DataFrame, n_features: int) -> DataFrame:
-    base = cells.groupBy("feature").agg((F.sum("n_pos").cast("double") / F.sum("n")).alias("base"))
-    out = cells.join(broadcast_bounded(base, n_features, 64), "feature")
+def _rates(cells: DataFrame) -> DataFrame:
+    """Rate and lift per bin; the window sees one row per bin or top category."""
+    size = Window.partitionBy("feature")
+    base = F.sum("n_pos").over(size).cast("double") / F.sum("n").over(size)
     rate = F.col("n_pos").cast("double") / F.col("n")
-    return out.withColumns({"target_rate": rate, "lift": F.try_divide(rate, F.col("base"))}).drop("base", "n_pos")
+    return cells.withColumns({"target_rate": rate, "lift": F.try_divide(rate, base)}).drop("n_pos")
 
 
 def target_rate_by_bin(df: DataFrame, features: Sequence[str], bins: int = 10, buckets: int | None = None) -> DataFrame:
     """Rows, target rate and lift per quantile bin; bin -1 holds the missing rows."""
-    return _rates(_bins_of(df, features, bins, buckets), len(features)).select("feature", "bin", "n", "target_rate", "lift")
+    return _rates(_bins_of(df, features, bins, buckets)).select("feature", "bin", "n", "target_rate", "lift")
 
 
 def target_rate_by_category(df: DataFrame, features: Sequence[str], top: int = TOP) -> DataFrame:
@@ -71,7 +73,7 @@ def target_rate_by_category(df: DataFrame, features: Sequence[str], top: int = T
     named = dist.join(broadcast_bounded(best, len(features) * top, 128), ["feature", "value"], "left")
     bin_name = F.when(F.col("value").isNull(), "missing").when(F.col("_top"), F.concat(F.lit("="), F.col("value"))).otherwise("other")
     cells = named.groupBy("feature", bin_name.alias("bin")).agg(F.sum("n").alias("n"), F.sum("n_pos").alias("n_pos"))
-    return _rates(cells, len(features)).select("feature", "bin", "n", "target_rate", "lift")
+    return _rates(cells).select("feature", "bin", "n", "target_rate", "lift")
 
 
 def stability_psi(df: DataFrame, features: Sequence[str], time_col: str = OBS, bins: int = 10, min_rows: int = 50, buckets: int | None = None) -> DataFrame:

@@ -29,10 +29,6 @@ def score_counts(df: DataFrame, by: Sequence[str], y: str = Y, p: str = P) -> Da
     )
 
 
-def _totals(counts: DataFrame, by: Sequence[str]) -> DataFrame:
-    return counts.groupBy(*by).agg(F.sum("pos").alias("pos_all"), F.sum("neg").alias("neg_all"))
-
-
 def _cumulative(df: DataFrame, by: Sequence[str], y: str, p: str, buckets: int | None, bounds: Sequence[float] | None) -> DataFrame:
     cuts = plan_buckets(df.select(F.col(p).cast("double").alias(P)), P, buckets) if bounds is None else bounds
     return running_totals(
@@ -101,25 +97,24 @@ def top_decile(df: DataFrame, by: Sequence[str] = (), y: str = Y, p: str = P, ke
     Running counts find the score at which the cut falls; only rows with exactly that score are
     ordered by id. When that score is very frequent the ids are cut into buckets as well.
     """
-    counts = score_counts(df, by, y, p)
     cuts = plan_buckets(df.select(F.col(p).cast("double").alias(P)), P, buckets)
-    size = F.greatest(F.lit(1), F.bround(F.col("n") * share).cast("long"))
-    rows = running_totals(
-        counts.withColumn("m", F.col("pos") + F.col("neg")), by, [P], {"cm": F.col("m")}, cuts, grand={"n": F.col("pos") + F.col("neg")}
-    ).withColumn("k", size)
-    tot = _totals(counts, by).withColumn("n", F.col("pos_all") + F.col("neg_all")).withColumn("k", size)
-    above = F.col("n") - F.col("cm")
-    full = rows.where(above + F.col("m") <= F.col("k")).groupBy(*by).agg(F.sum("pos").alias("full_pos"))
-    edge = rows.where((above < F.col("k")) & (above + F.col("m") > F.col("k"))).select(*by, F.col(P).alias("_edge"), (F.col("k") - above).alias("_need"))
+    both = F.col("pos") + F.col("neg")
+    rows = running_totals(score_counts(df, by, y, p), by, [P], {"_up": both}, cuts, grand={"n": both, "pos_all": F.col("pos")})
+    rows = rows.withColumn("k", F.greatest(F.lit(1), F.bround(F.col("n") * share).cast("long")))
+    above, m = F.col("n") - F.col("_up"), both
+    cut_here = (above < F.col("k")) & (above + m > F.col("k"))
+    tops = rows.groupBy(*by).agg(
+        F.max("n").alias("n"), F.max("pos_all").alias("pos_all"), F.max("k").alias("k"),
+        F.sum(F.when(above + m <= F.col("k"), F.col("pos")).otherwise(0)).alias("full_pos"),
+        F.max(F.when(cut_here, F.col(P))).alias("_edge"), F.max(F.when(cut_here, F.col("k") - above)).alias("_need"),
+    )
+    tops = settle(tops, df)
     ok = df.where(F.col(y).isNotNull() & F.col(p).isNotNull()).withColumn("_edge", F.col(p).cast("double"))
-    tied = ok.join(settle(edge, df), [*by, "_edge"]).select(*by, "_need", F.col(key).alias("_key"), F.col(y).alias(Y))
-    id_cuts = plan_buckets(df, key, buckets)
-    ranked = running_totals(tied, by, ["_key"], {"_rank": F.lit(1).cast("long")}, id_cuts)
+    tied = ok.join(tops.select(*by, "_edge", "_need"), [*by, "_edge"]).select(*by, "_need", F.col(key).alias("_key"), F.col(y).alias(Y))
+    ranked = running_totals(tied, by, ["_key"], {"_rank": F.lit(1).cast("long")}, plan_buckets(df.select(F.col(key).alias("_key")), "_key", buckets))
     part = ranked.where(F.col("_rank") <= F.col("_need")).groupBy(*by).agg(F.sum((F.col(Y) == 1).cast("long")).alias("part_pos"))
-    out = tot
-    for extra in (full, part):
-        out = out.join(extra, list(by), "left") if by else out.join(F.broadcast(extra))
-    hit = F.coalesce("full_pos", F.lit(0)) + F.coalesce("part_pos", F.lit(0))
+    out = tops.join(part, list(by), "left") if by else tops.join(F.broadcast(part))
+    hit = F.col("full_pos") + F.coalesce("part_pos", F.lit(0))
     base = F.try_divide(F.col("pos_all").cast("double"), F.col("n"))
     return out.select(
         *by, "n", F.col("k").alias("n_top"), hit.alias("top_pos"),
@@ -207,23 +202,34 @@ def population_shift(df: DataFrame, reference: Column, by: Sequence[str] = (), p
 def shift_from_counts(dist: DataFrame, edges: DataFrame, by: list[str], actual_by: list[str], bins: int) -> DataFrame:
     """PSI from ``(by, actual_by, _ref, value, n)`` and the edges of each ``by`` group.
 
-    One bin-count row per group; missing bins count as a share of 1e-6, like empty ones.
+    Every group is reduced to at most ``bins`` counts per side; a bin without rows counts as a
+    share of 1e-6, and one that is empty on both sides adds nothing. Groups with fewer than three
+    edges have PSI 0, groups without compared rows are left out.
     """
-    joined = dist.join(edges, by, "left") if by else dist.join(F.broadcast(edges))
-    placed = joined.withColumn("bin", left_closed_bin(F.col("edges"), F.col("value")))
-    ref = placed.where("_ref").groupBy(*by, "bin").agg(F.sum("n").alias("e"), F.max(F.size("edges")).alias("_edges"))
-    act = placed.where(~F.col("_ref")).groupBy(*by, *actual_by, "bin").agg(F.sum("n").alias("a"))
-    size = Window.partitionBy(*by)
-    ref = ref.withColumn("pe", F.greatest(F.col("e") / F.sum("e").over(size), F.lit(1e-6)))
-    act_size = Window.partitionBy(*by, *actual_by)
-    act = act.withColumn("pa", F.greatest(F.col("a") / F.sum("a").over(act_size), F.lit(1e-6)))
-    groups = act.select(*by, *actual_by).distinct() if (by or actual_by) else act.agg(F.count("*").alias("_c")).where("_c > 0").select()
-    known = edges.select(*by, F.size("edges").alias("_edges"))
-    grid = (groups.join(known, by) if by else groups.join(F.broadcast(known))).withColumn("bin", F.explode(F.sequence(F.lit(0), F.greatest(F.col("_edges") - 2, F.lit(0)))))
-    out = grid.join(ref.select(*by, "bin", "pe"), [*by, "bin"], "left").join(act.select(*by, *actual_by, "bin", "pa"), [*by, *actual_by, "bin"], "left")
-    e, a = F.coalesce("pe", F.lit(1e-6)), F.coalesce("pa", F.lit(1e-6))
-    term = F.when(F.col("_edges") < 3, F.lit(0.0)).otherwise((a - e) * F.ln(a / e))
-    return out.groupBy(*by, *actual_by).agg(F.sum(term).alias("psi"))
+    joined = dist.join(edges, by, "left") if by else dist.join(F.broadcast(edges))  # one row
+    placed = joined.select(*by, *actual_by, "_ref", "n", F.size("edges").alias("_k"), left_closed_bin(F.col("edges"), F.col("value")).alias("bin"))
+    share = lambda part, whole: F.greatest(F.coalesce(part / whole, F.lit(0.0)), F.lit(1e-6))
+    if not actual_by:
+        side = lambda ref: F.sum(F.when(F.col("_ref") == ref, F.col("n")).otherwise(0))
+        cells = placed.groupBy(*by, "bin").agg(side(True).alias("e"), side(False).alias("a"), F.max("_k").alias("_k"))
+        size = Window.partitionBy(*by)  # at most `bins` rows per group
+        cells = cells.withColumns({"_e": F.sum("e").over(size), "_a": F.sum("a").over(size)}).where((F.col("_a") > 0) & (F.col("_e") > 0))
+        pe, pa = share(F.col("e"), F.col("_e")), share(F.col("a"), F.col("_a"))
+        term = F.when(F.col("_k") < 3, F.lit(0.0)).otherwise((pa - pe) * F.ln(pa / pe))
+        return cells.groupBy(*by).agg(F.sum(term).alias("psi"))
+    counts = lambda rows, keys, name: rows.groupBy(*keys, "bin").agg(F.sum("n").alias("n"), F.max("_k").alias("_k")).groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(F.struct("bin", F.col("n").cast("double")))).alias(name), F.sum("n").alias(f"_{name}"), F.max("_k").alias(f"_k_{name}")
+    )
+    ref, act = counts(placed.where("_ref"), by, "e"), counts(placed.where(~F.col("_ref")), [*by, *actual_by], "a")
+    pair = act.join(ref, by) if by else act.join(F.broadcast(ref))  # one row
+    number = F.sequence(F.lit(0), F.lit(bins - 1))
+
+    def term(i):
+        pe, pa = share(F.try_element_at("e", i), F.col("_e")), share(F.try_element_at("a", i), F.col("_a"))
+        return (pa - pe) * F.ln(pa / pe)
+
+    psi = F.aggregate(number, F.lit(0.0), lambda acc, i: acc + term(i))
+    return pair.select(*by, *actual_by, F.when(F.col("_k_e") < 3, F.lit(0.0)).otherwise(psi).alias("psi"))
 
 
 def psi_severity(psi: Column, warn: float = 0.10, severe: float = 0.25) -> Column:

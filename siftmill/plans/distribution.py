@@ -80,6 +80,27 @@ def quantile_edges(dist: DataFrame, by: Sequence[str], bins: int, bounds: Sequen
     return points.groupBy(*by).agg(F.array_sort(F.collect_set("q")).alias("edges"))
 
 
+def rank_bins(dist: DataFrame, by: Sequence[str], bins: int, bounds: Sequence[float]) -> DataFrame:
+    """Right-closed quantile bin of every value, straight from its rank.
+
+    ``dist`` is ``(by..., value, n, ...)``, NULL values included. The i-th edge lies at position
+    ``h = (N - 1) i / bins`` of the ordered filled values. It is below a value whose first
+    position is f exactly when ``h < f``, and equals the minimum exactly when ``h`` is at most the
+    minimum's last position m; so a value's bin is the number of i with ``m < h < f``, which is
+    whole-number arithmetic on running counts. Neither edges nor a second pass are needed.
+    Repeated edges leave gaps in the numbers (the grouping is the same); missing values get -1.
+    """
+    filled = F.when(F.col("value").isNotNull(), F.col("n")).otherwise(F.lit(0).cast("long"))
+    marked = dist.withColumn("_f", filled)
+    low = F.when(F.col("value").isNotNull(), F.struct("value", "n"))
+    rows = running_totals(marked, by, ["value"], {"_cum": F.col("_f")}, bounds, grand={"_all": F.col("_f")}, lowest={"_low": low})
+    span = "greatest(_all - 1, 1)"
+    below = F.expr(f"((_cum - _f) * {bins} + {span} - 1) div {span} - 1")  # largest i with i (N - 1) < f bins
+    at_min = F.expr(f"((_low.n - 1) * {bins}) div {span}")  # largest i with i (N - 1) <= m bins
+    number = F.greatest(F.lit(0), F.least(below, F.lit(bins)) - F.least(at_min, F.lit(bins))).cast("int")
+    return rows.withColumn("bin", F.when(F.col("value").isNull(), F.lit(-1)).otherwise(number)).drop("_f", "_cum", "_low")
+
+
 def interior(edges: Column) -> Column:
     """Edges without the first and the last one."""
     return F.slice(edges, 2, F.greatest(F.size(edges) - 2, F.lit(0)))

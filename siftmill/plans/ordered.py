@@ -109,34 +109,35 @@ def running_totals(
     bounds: Sequence[float],
     bucket_on: str | None = None,
     grand: dict[str, Column] | None = None,
+    lowest: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Inclusive running totals per group, exact for any set of bucket boundaries.
 
     ``order[0]`` (or ``bucket_on``) is the column the boundaries were planned for. ``grand`` adds
-    whole-group totals to every row; they travel with the bucket offsets, so no join on the
+    whole-group totals to every row and ``lowest`` whole-group minima; they travel with the bucket offsets, so no join on the
     group alone (which a dominant group would skew) is needed.
     """
-    grand = grand or {}
+    whole_group = {**{n: (F.sum, c) for n, c in (grand or {}).items()}, **{n: (F.min, c) for n, c in (lowest or {}).items()}}
     lead = bucket_on or (order[0] if isinstance(order[0], str) else None)
     cut = assign_bucket(df, lead, bounds)
     if not bounds:
         within = Window.partitionBy(*by, BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         whole = Window.partitionBy(*by, BUCKET)
         made = {name: F.sum(c).over(within) for name, c in totals.items()}
-        return cut.withColumns({**made, **{name: F.sum(c).over(whole) for name, c in grand.items()}}).drop(BUCKET)
+        return cut.withColumns({**made, **{name: fn(c).over(whole) for name, (fn, c) in whole_group.items()}}).drop(BUCKET)
     # A struct key keeps NULL groups apart and lets window, aggregate and join share one layout.
     group = F.struct(*by) if by else F.struct(F.lit(0).alias("all"))
     cut = cut.withColumn("_g", group)
     within = Window.partitionBy("_g", BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inner = cut.withColumns({name: F.sum(c).over(within) for name, c in totals.items()})
-    sums = {**{f"_off_{n}": c for n, c in totals.items()}, **grand}
-    per_bucket = cut.groupBy("_g", BUCKET).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    parts = {**{f"_off_{n}": (F.sum, c) for n, c in totals.items()}, **whole_group}
+    per_bucket = cut.groupBy("_g", BUCKET).agg(*[fn(c).alias(n) for n, (fn, c) in parts.items()])
     before = Window.partitionBy("_g").orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("_g")
     offsets = per_bucket.select(
         "_g", BUCKET,
         *[F.coalesce(F.sum(f"_off_{n}").over(before), F.lit(0)).alias(f"_off_{n}") for n in totals],
-        *[F.sum(n).over(whole).alias(n) for n in grand],
+        *[fn(n).over(whole).alias(n) for n, (fn, _) in whole_group.items()],
     )
     joined = inner.join(offsets, ["_g", BUCKET], "left")
     return joined.withColumns({n: F.col(n) + F.col(f"_off_{n}") for n in totals}).drop("_g", BUCKET, *[f"_off_{n}" for n in totals])

@@ -11,6 +11,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ from siftmill.columns import ID, LABEL, OBS, SPLIT, SPLIT_TIME
 from siftmill.operators.label import LabelRule, drop_unlabelled, label_column
 from siftmill.operators.splits import build_splits
 from siftmill.queries.base import hash_mod, sql_hash_mod, table
+from siftmill.session import scratch_root
+from siftmill.sources.tables import path_exists
 
 WINDOWS = {"train_valid": ("1995-01", "1998-12"), "oot_dev": ("1999-01", "1999-12"), "holdout": ("2000-01", "2001-08")}
 STATUS = LabelRule("o_orderstatus", ("F",), ("O",), ("P",))
@@ -56,8 +60,17 @@ def planted(spark: SparkSession, sf: str) -> DataFrame:
     })
 
 
+_WRITTEN: dict[tuple[str, str], str] = {}
+
+
 def splits(spark: SparkSession, sf: str) -> DataFrame:
-    return build_splits(planted(spark, sf), WINDOWS, VALID, SEED)
+    """The split table, written once per application and read from then on, as a task would."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _WRITTEN or not path_exists(spark, f"{_WRITTEN[key]}/_SUCCESS"):
+        path = f"{scratch_root(spark).rstrip('/')}/splits-{uuid.uuid4().hex}"
+        build_splits(planted(spark, sf), WINDOWS, VALID, SEED).write.partitionBy(SPLIT).parquet(path)
+        _WRITTEN[key] = path
+    return spark.read.parquet(_WRITTEN[key])
 
 
 SCORES = {"price": "total / 600000.0", "signal": "signal / 125.0", "mix": "(signal + h2) / 225.0"}

@@ -139,11 +139,11 @@ def holdout_masked(spark, sf):
 
 @query("aggregate_gain", "ML16,J4")
 def aggregate_gain(spark, sf):
-    """Order columns alone against order columns plus line aggregates."""
+    """The order total alone against the total, a planted signal and line aggregates."""
     s = rows(spark, sf)
     deep = factory.deep_aggregate(table(spark, sf, "lineitem"), "l_orderkey", "line", fields=["l_quantity", "l_tax"], primitives=("mean", "max"))
     wide = cut_lineage(factory.attach(s, deep), (SPLIT,))
-    base = Inputs(numeric=("total", "signal"))
+    base = Inputs(numeric=("total",))
     extra = Inputs(numeric=("total", "signal", "count_line", "mean_line_l_quantity", "max_line_l_tax"))
     return rounded(models.agg_gain(wide, base, extra, n=50, params=SMALL["gbt"]), 4, "delta", "ci_low", "ci_high", "auc_se", "mde")
 

@@ -10,7 +10,6 @@ from siftmill.operators import screen as sc
 from siftmill.operators.policy import FieldPolicy
 from siftmill.queries import bindings as b
 from siftmill.queries.base import query, r, rounded, table
-from siftmill.session import cut_lineage
 from siftmill.queries.sqltext import edges_cte, long_cte, psi_cte, right_bin
 
 NUM = b.NUMERIC
@@ -101,7 +100,6 @@ SELECT feature, {r('missing')} AS missing, CASE WHEN missing > 0.95 THEN NULL EL
 def screening_funnel(spark, sf):
     late = F.when(F.col("split") == "oot_dev", 80).otherwise(0)
     s = b.splits(spark, sf).withColumn("drift_only", ((F.col("h") * 7 + F.col("h2")) % 100 + 30 * F.col("_label") + late).cast("double"))
-    s = cut_lineage(s, ("split",))
     res = sc.screen(s.where("split = 'train'"), s.where("split = 'oot_dev'"), FUNNEL)
     return rounded(res.table, 6, "missing", "iv", "auc", "psi")
 

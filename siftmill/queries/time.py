@@ -17,7 +17,8 @@ def time_split(spark, sf):
 
 @query("validation_part", "T2", f"WITH {b.CTE_SPLITS} SELECT _row_id, split FROM splits WHERE s0 = 'train'")
 def validation_part(spark, sf):
-    return b.splits(spark, sf).where(F.col(SPLIT).isin("train", "valid")).select(ID, SPLIT)
+    built = splits.build_splits(b.planted(spark, sf), b.WINDOWS, b.VALID, b.SEED)
+    return built.where(F.col(SPLIT).isin("train", "valid")).select(ID, SPLIT)
 
 
 FRACTIONS = {"train": 0.5, "valid": 0.2, "oot_dev": 0.15, "holdout": 0.1}
