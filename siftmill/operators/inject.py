@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftmill.functions.dates import month_of
-from siftmill.plans.ordered import row_positions
+from siftmill.plans.ordered import MAX_BUCKETS, row_positions
 from siftmill.plans.sampling import hash_hex, hash_int, with_cuts
+from siftmill.plans.sizing import BUCKET_BYTES, input_bytes
 
 HASH_SPAN = float(16**12)
 
@@ -53,14 +54,15 @@ def hash_bounds(n: int) -> list[float]:
     return [HASH_SPAN * i / n for i in range(1, n)]
 
 
-def hash_positions(df: DataFrame, key: str, seed, buckets: int = 64, name: str = "_pos") -> DataFrame:
-    """Position of every row in the hash order of its key."""
+def hash_positions(df: DataFrame, key: str, seed, buckets: int | None = None, name: str = "_pos") -> DataFrame:
+    """Position of every row in the hash order of its key; buckets follow the input size."""
+    buckets = buckets or max(16, min(MAX_BUCKETS, -(-input_bytes(df) // BUCKET_BYTES)))
     hashed = df.withColumn("_hex", hash_hex(key, seed))
     hashed = hashed.withColumn("_hd", F.conv(F.substring("_hex", 1, 12), 16, 10).cast("double"))
     return row_positions(hashed, [], ["_hd", "_hex"], hash_bounds(buckets), name).drop("_hd", "_hex")
 
 
-def plant_duplicate_keys(df: DataFrame, key: str, fraction: float, seed, buckets: int = 64) -> DataFrame:
+def plant_duplicate_keys(df: DataFrame, key: str, fraction: float, seed, buckets: int | None = None) -> DataFrame:
     """Append rows whose content comes from some rows and whose key comes from others.
 
     The first n rows of the hash order give the content, the next n give the key; every
@@ -102,7 +104,7 @@ def plant_after_cutoff(df: DataFrame, key: str, column: str, fraction: float, se
     return picked.withColumn(column, F.when(F.col("_pick"), late).otherwise(F.col(column))).drop("_pick")
 
 
-def shuffle_label(df: DataFrame, key: str, label: str, seed, buckets: int = 64) -> DataFrame:
+def shuffle_label(df: DataFrame, key: str, label: str, seed, buckets: int | None = None) -> DataFrame:
     """Labels in random order: row i of one hash order gets the label of row i of another one."""
     rows = hash_positions(df.drop(label), key, f"{seed}a", buckets)
     labels = hash_positions(df.select(key, label), key, f"{seed}b", buckets).select("_pos", label)

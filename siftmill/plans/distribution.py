@@ -11,8 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftmill.plans.ordered import plan_buckets, running_totals
-from siftmill.plans.sizing import input_bytes
+from siftmill.plans.ordered import MAX_BUCKETS, plan_buckets, running_totals
+from siftmill.plans.sizing import BUCKET_BYTES, input_bytes
 
 
 def numeric_long(df: DataFrame, features: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -31,8 +31,7 @@ def long_buckets(df: DataFrame, features: Sequence[str], buckets: int | None = N
     """Bucket boundaries over the values of all ``features`` together."""
     long = numeric_long(df, features)
     if buckets is None:
-        buckets = max(1, -(-input_bytes(df) * max(1, len(features)) // (256 << 20)))
-        buckets = min(buckets, 4096)
+        buckets = min(MAX_BUCKETS, max(1, -(-input_bytes(df) * max(1, len(features)) // BUCKET_BYTES)))
     return plan_buckets(long, "value", buckets)
 
 

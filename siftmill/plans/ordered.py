@@ -27,10 +27,10 @@ from pyspark.sql import types as T
 from siftmill.plans.sizing import BUCKET_BYTES, input_bytes
 
 BUCKET = "_bucket"
-MAX_BUCKETS = 4096
+MAX_BUCKETS = 16_384
 MAX_TEXT_BUCKETS = 256
 TEXT_SAMPLE = 20_000
-SAMPLE_BYTES = 4 << 30
+SAMPLE_BYTES = 1 << 30
 
 
 def order_key(df: DataFrame, name: str) -> Column:
@@ -62,8 +62,8 @@ def plan_buckets(df: DataFrame, order: str, buckets: int | None = None, bytes_pe
     keys = df.select(order_key(df, order).alias("k")).where(F.col("k").isNotNull() & ~F.isnan("k"))
     if size > SAMPLE_BYTES:
         keys = keys.sample(fraction=max(1e-6, SAMPLE_BYTES / size), seed=7)
-    fractions = F.array(*[F.lit(i / n) for i in range(1, n)])
-    found = keys.agg(F.percentile_approx("k", fractions, 100_000).alias("q")).first()["q"]
+    fractions = ", ".join(f"{i / n!r}D" for i in range(1, n))
+    found = keys.agg(F.expr(f"percentile_approx(k, array({fractions}), {max(1000, 20 * n)})").alias("q")).first()["q"]
     return sorted(set(found or []))
 
 
