@@ -14,6 +14,7 @@ from siftmill.functions.dates import month_of
 from siftmill.plans.ordered import MAX_BUCKETS, row_positions
 from siftmill.plans.sampling import hash_hex, hash_int, with_cuts
 from siftmill.plans.sizing import BUCKET_BYTES, input_bytes
+from siftmill.session import cut_lineage
 
 HASH_SPAN = float(16**12)
 
@@ -121,6 +122,17 @@ def shrink_split(df: DataFrame, key: str, label: str, n_pos: int, seed) -> DataF
     return kept.where(keep).drop("_h", "_cut0", "_cut1")
 
 
+def plant_in_turn(df: DataFrame, *steps: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Apply several injections one after another, writing the table in between.
+
+    Every step reads its input twice (once for the choice of rows); without the cut a chain of
+    steps would multiply the scans.
+    """
+    for step in steps:
+        df = cut_lineage(step(df))
+    return df
+
+
 def recount_values(df: DataFrame, column: str, values: Sequence) -> DataFrame:
     """Rows that hold any of the planted values."""
     return df.agg(F.count_if(F.col(column).isin(*values)).alias("n_rows"))

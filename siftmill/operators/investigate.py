@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from siftmill.columns import ID, LABEL, OBS
 from siftmill.operators.metrics import shift_from_counts
 from siftmill.operators.screen import EDGE_ROW_BYTES, per_bin, value_counts_by_label
-from siftmill.plans.distribution import long_buckets, numeric_long, quantile_edges, quantile_points, text_long
+from siftmill.plans.distribution import long_buckets, numeric_long, pair_corr, quantile_edges, quantile_points, text_long
 from siftmill.plans.ordered import order_key, plan_buckets, running_totals
 from siftmill.plans.sizing import broadcast_bounded
 from siftmill.plans.skew import hot_split_join
@@ -124,7 +124,7 @@ def redundant_pairs(df: DataFrame, features: Sequence[str], limit: float = 0.9,
     fs = list(features)
     ranks = rank_columns(df, fs, key, buckets)
     pairs = [(a, b) for i, a in enumerate(fs) for b in fs[i + 1:]]
-    wide = ranks.agg(*[F.abs(F.corr(a, b)).alias(f"c{k}") for k, (a, b) in enumerate(pairs)])
+    wide = ranks.agg(*[F.abs(pair_corr(a, b)).alias(f"c{k}") for k, (a, b) in enumerate(pairs)])
     items = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{k}").alias("corr")) for k, (a, b) in enumerate(pairs)])
     return wide.select(F.explode(items).alias("p")).select("p.*").where(F.col("corr") > limit)
 

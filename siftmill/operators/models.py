@@ -20,7 +20,7 @@ from siftmill.functions.dates import months_before
 from siftmill.operators import compare, metrics
 from siftmill.operators.inject import hash_positions
 from siftmill.operators.screen import EDGE_ROW_BYTES, value_counts_by_label
-from siftmill.plans.distribution import collapse, long_buckets, quantile_edges, right_closed_bin, text_long
+from siftmill.plans.distribution import collapse, long_buckets, pair_corr, quantile_edges, right_closed_bin, text_long
 from siftmill.plans.sizing import broadcast_bounded, broadcast_if_small
 from siftmill.session import cut_lineage
 from siftmill.sources.subset import fraction_sample
@@ -350,8 +350,8 @@ def explain(contribs: DataFrame, n_features: int, buckets: int | None = None) ->
     share = size.join(F.broadcast(total)).select("feature", F.coalesce(F.try_divide("imp", "_all"), F.lit(0.0)).alias("share"))  # one row
     rx = metrics.midranks(contribs, ["feature"], "x", buckets).select("feature", "x", F.col("midrank").alias("rx"))
     rc = metrics.midranks(contribs, ["feature"], "contribution", buckets).select("feature", "contribution", F.col("midrank").alias("rc"))
-    rho = contribs.join(rx, ["feature", "x"]).join(rc, ["feature", "contribution"]).groupBy("feature").agg(F.corr("rx", "rc").alias("corr"))
-    return share.join(broadcast_bounded(rho, n_features, 64), "feature", "left").withColumn("corr", F.coalesce(F.nanvl("corr", F.lit(0.0)), F.lit(0.0)))
+    rho = contribs.join(rx, ["feature", "x"]).join(rc, ["feature", "contribution"]).groupBy("feature").agg(pair_corr("rx", "rc").alias("corr"))
+    return share.join(broadcast_bounded(rho, n_features, 64), "feature", "left").withColumn("corr", F.coalesce("corr", F.lit(0.0)))
 
 
 # ---- monotone rules ------------------------------------------------------------------------

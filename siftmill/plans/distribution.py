@@ -100,6 +100,17 @@ def rank_bins(dist: DataFrame, by: Sequence[str], bins: int, bounds: Sequence[fl
     return rows.withColumn("bin", F.when(F.col("value").isNull(), F.lit(-1)).otherwise(number)).drop("_f", "_cum", "_low")
 
 
+def pair_corr(a: Column | str, b: Column | str) -> Column:
+    """Pearson correlation over the rows where both are filled; NULL when either is constant.
+
+    ``corr`` itself divides by zero for a constant column in ANSI mode.
+    """
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (a, b))
+    both = x.isNotNull() & y.isNotNull()
+    spread = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
+    return F.try_divide(F.covar_pop(x, y), spread)
+
+
 def interior(edges: Column) -> Column:
     """Edges without the first and the last one."""
     return F.slice(edges, 2, F.greatest(F.size(edges) - 2, F.lit(0)))

@@ -17,15 +17,26 @@ BUCKET_BYTES = 256 << 20
 LARGE_BYTES = 1 << 30
 
 
+UNKNOWN_BYTES = 1 << 62
+
+
+def _size(plan) -> int:
+    """Statistics of one plan node; joins of joins can exceed what Python parses as a number."""
+    try:
+        return min(int(str(plan.stats().sizeInBytes())), UNKNOWN_BYTES)
+    except ValueError:
+        return UNKNOWN_BYTES
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of ``df``: an upper bound for scans, filters and aggregates."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return _size(df._jdf.queryExecution().optimizedPlan())
 
 
 def input_bytes(df: DataFrame) -> int:
     """Bytes read by the plan: the sum over its leaves."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return sum(_size(leaves.apply(i)) for i in range(leaves.size()))
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
