@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftmill.plans.sizing import BUCKET_BYTES, input_bytes
+from siftmill.plans.sizing import BUCKET_BYTES, input_bytes, once
 
 BUCKET = "_bucket"
 MAX_BUCKETS = 16_384
@@ -119,7 +119,7 @@ def running_totals(
     """
     whole_group = {**{n: (F.sum, c) for n, c in (grand or {}).items()}, **{n: (F.min, c) for n, c in (lowest or {}).items()}}
     lead = bucket_on or (order[0] if isinstance(order[0], str) else None)
-    cut = assign_bucket(df, lead, bounds)
+    cut = assign_bucket(once(df, always=True) if bounds else df, lead, bounds)
     if not bounds:
         within = Window.partitionBy(*by, BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         whole = Window.partitionBy(*by, BUCKET)
@@ -186,7 +186,7 @@ def history_columns(
 
 def earlier_max(df: DataFrame, by: Sequence[str], order: Sequence[str], value: Column, name: str, bounds: Sequence[float]) -> DataFrame:
     """Largest ``value`` among the earlier rows of the group, exact for any bucket boundaries."""
-    cut = assign_bucket(df, order[0], bounds).withColumn("_g", F.struct(*by) if by else F.struct(F.lit(0).alias("all")))
+    cut = assign_bucket(once(df, always=True) if bounds else df, order[0], bounds).withColumn("_g", F.struct(*by) if by else F.struct(F.lit(0).alias("all")))
     w = Window.partitionBy("_g", BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     inner = cut.withColumn(name, F.max(value).over(w))
     if not bounds:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftmill.plans.ordered import null_safe_join
-from siftmill.plans.sizing import settle
+from siftmill.plans.sizing import once, settle
 
 PREFIX_HEX = 4
 _ALL = "_all"
@@ -61,6 +61,7 @@ def hash_cuts(df: DataFrame, key: str, seed: int | str, counts: Sequence[Callabl
 def with_cuts(df: DataFrame, key: str, seed: int | str, counts: Sequence[Callable[[Column], Column]], strata: Sequence[str] = ()) -> DataFrame:
     """``df`` with its own hash ``_h`` and the cuts of its stratum; the wide table is not shuffled
     when the cuts are few."""
+    df = once(df)
     cuts = hash_cuts(df, key, seed, counts, strata)
     base, by = df.withColumn("_h", hash_hex(key, seed)), list(strata)
     if not by:

@@ -66,3 +66,17 @@ def settle(small: DataFrame, big: DataFrame) -> DataFrame:
     if input_bytes(big) <= LARGE_BYTES:
         return small
     return broadcast_if_small(cut_lineage(small))
+
+
+def once(df: DataFrame, always: bool = False) -> DataFrame:
+    """Make sure a derived table that is about to be read by several branches is computed once.
+
+    The branches need different columns, so the planner prunes them differently and does not
+    share their shuffles. A plain scan is left alone: reading a few columns twice is cheaper than
+    writing all of them. Small inputs are left alone too unless ``always`` is set.
+    """
+    if not always and input_bytes(df) <= LARGE_BYTES:
+        return df
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    derived = any(f"{node} " in plan or f"{node}\n" in plan for node in ("Aggregate", "Join", "Window", "Generate"))
+    return cut_lineage(df) if derived else df
