@@ -45,7 +45,8 @@ def hash_cuts(df: DataFrame, key: str, seed: int | str, counts: Sequence[Callabl
     ordered = Window.partitionBy(*by).orderBy("_prefix")
     whole = Window.partitionBy(*by)
     sizes = sizes.withColumns({"_cum": F.sum("_n").over(ordered), "_total": F.sum("_n").over(whole)})
-    wanted = F.array(*[fn(F.col("_total")).cast("long") for fn in counts])
+    # Asking for more rows than there are means all of them.
+    wanted = F.array(*[F.least(fn(F.col("_total")).cast("long"), F.col("_total")) for fn in counts])
     edge = (
         sizes.select(*by, "_prefix", "_n", "_cum", F.posexplode(wanted).alias("_i", "_k"))
         .where((F.col("_cum") - F.col("_n") < F.col("_k")) & (F.col("_k") <= F.col("_cum")))

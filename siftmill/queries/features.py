@@ -220,10 +220,10 @@ def events_top(spark, sf):
     return e.orderBy(F.col("mean_value").desc(), "user_id").limit(10)
 
 
-@query("monthly_means", "A4", f"SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n, {r('avg(o_totalprice)', 3)} AS mean_price FROM orders GROUP BY 1")
+@query("monthly_means", "A4", f"SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n, {r('avg(o_totalprice)', 6)} AS mean_price FROM orders GROUP BY 1")
 def monthly_means(spark, sf):
     from siftmill.functions.dates import month_of
 
-    return rounded(table(spark, sf, "orders").groupBy(month_of("o_orderdate").alias("month")).agg(F.count("*").alias("n"), F.avg("o_totalprice").alias("mean_price")), 3, "mean_price")
+    return rounded(table(spark, sf, "orders").groupBy(month_of("o_orderdate").alias("month")).agg(F.count("*").alias("n"), F.avg("o_totalprice").alias("mean_price")), 6, "mean_price")
 
 

@@ -35,7 +35,7 @@ def missing_rates(spark, sf):
     return rounded(sc.missing_rate(train(spark, sf), NUM), 6, "missing_rate")
 
 
-@query("information_value", "SC2,A3", f"{LONG}, {BINS}, {IV} SELECT feature, {r('iv')} AS iv FROM iv_")
+@query("information_value", "SC2,A3", f"{LONG}, {BINS}, {IV}, f AS (SELECT feature, count(v) AS filled FROM long GROUP BY 1) SELECT feature, CASE WHEN filled < 50 THEN 0.0::DOUBLE ELSE {r('iv')} END AS iv FROM iv_ JOIN f USING (feature)")
 def information_value(spark, sf):
     return rounded(sc.information_value(train(spark, sf), NUM, buckets=8), 6, "iv")
 
@@ -111,7 +111,7 @@ def mutual_information(spark, sf):
     return rounded(inv.mutual_information(train(spark, sf), NUM), 6, "mi")
 
 
-@query("target_rate_by_bin", "IV2", f"""{LONG}, {BINS} SELECT feature, bin, n, {r('CAST(n_pos AS DOUBLE) / n')} AS target_rate,
+@query("target_rate_by_bin", "IV2", f"""{LONG}, {BINS} SELECT feature, CAST(CASE WHEN bin < 0 THEN bin ELSE dense_rank() OVER (PARTITION BY feature, bin < 0 ORDER BY bin) - 1 END AS INTEGER) AS bin, n, {r('CAST(n_pos AS DOUBLE) / n')} AS target_rate,
   {r('(CAST(n_pos AS DOUBLE) / n) / (CAST(sum(n_pos) OVER (PARTITION BY feature) AS DOUBLE) / sum(n) OVER (PARTITION BY feature))')} AS lift FROM cells""")
 def target_rate_by_bin(spark, sf):
     return rounded(inv.target_rate_by_bin(train(spark, sf), NUM), 6, "target_rate", "lift")

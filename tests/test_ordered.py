@@ -110,6 +110,7 @@ def test_exact_choice(skewed):
     assert got == sorted(order[:300])
     assert choose(df, "id", 9, lambda n: F.lit(0)).count() == 0
     assert choose(df, "id", 9, lambda n: n).count() == len(pdf)
+    assert choose(df, "id", 9, lambda n: n + 5).count() == len(pdf)
 
 
 def test_hot_split_join(skewed):
