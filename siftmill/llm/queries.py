@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftmill.llm import packing, token_counts, token_files
+from siftmill.llm import near_copies, packing, token_counts, token_files
 from siftmill.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,5 +25,9 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_token_files, op5_best_fit_packing, op9_token_counts)}
+def op6_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies.near_copies(read(spark, sf_dir, "documents"), width=2)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_token_files, op5_best_fit_packing, op6_near_copies, op9_token_counts)}
 ORACLES: dict[str, str] = {}
