@@ -6,12 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftmill.llm import near_copies, packing, token_counts, token_files
+from siftmill.llm import near_copies, packing, quality, token_counts, token_files
 from siftmill.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of documents labelled good and not toxic."""
+    return read(spark, sf_dir, "labels").where("quality = 1 and coalesce(toxic, 0) = 0").select("doc_id")
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read(spark, sf_dir, "documents"), trusted(spark, sf_dir))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, index = token_files.write_token_files(read(spark, sf_dir, "documents"))
     return token_files.read_token_files(spark, folder, index)
@@ -29,5 +38,5 @@ def op6_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies.near_copies(read(spark, sf_dir, "documents"), width=2)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_token_files, op5_best_fit_packing, op6_near_copies, op9_token_counts)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_classifier, op2_token_files, op5_best_fit_packing, op6_near_copies, op9_token_counts)}
 ORACLES: dict[str, str] = {}
