@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftmill.plans.sizing import input_bytes
+from siftmill.plans.sizing import broadcast_if_small, input_bytes
 from siftmill.session import cut_lineage, scratch_root
 
 #: Compressed input bytes of a block of rows; the number of blocks stays a bounded summary.
@@ -59,6 +59,14 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def without(df: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose key is not in the only column of ``gone``; rows without a key stay
+    unless ``gone`` holds null. The keys are written first and broadcast only if they are few."""
+    name = f"_gone_{uuid.uuid4().hex}"
+    keys = cut_lineage(gone.toDF(name).distinct())
+    return df.join(broadcast_if_small(keys), df[key].eqNullSafe(F.col(name)), "left_anti")
+
+
 def arrow_out(rows: dict, types: T.StructType) -> pa.RecordBatch:
     """Record batch with the columns of ``types``."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -67,4 +75,4 @@ def arrow_out(rows: dict, types: T.StructType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(rows[f.name], type=f.type) if not isinstance(rows[f.name], pa.Array) else rows[f.name].cast(f.type) for f in wanted], schema=wanted)
 
 
-__all__ = ["BLOCK_BYTES", "arrow_out", "blocks", "cut_lineage", "in_order", "read", "salted_rank", "schema", "shared_folder"]
+__all__ = ["BLOCK_BYTES", "arrow_out", "blocks", "cut_lineage", "in_order", "read", "salted_rank", "schema", "shared_folder", "without"]

@@ -292,5 +292,4 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", width: i
 
 def drop_near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """``df`` without the documents that are near copies of one with a smaller key."""
-    gone = common.cut_lineage(near_copies(df, key, text, width, percent).where("not kept").select(F.col(key).alias("_gone")).distinct())
-    return df.join(broadcast_if_small(gone), df[key] == F.col("_gone"), "left_anti")
+    return common.without(df, key, near_copies(df, key, text, width, percent).where("not kept").select(key))

@@ -269,5 +269,4 @@ def classify(df: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str =
 
 def keep_good(df: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """``df`` without the rows that ``classify`` rejects; rows of one key go or stay together."""
-    gone = classify(df, trusted, key, text, lang).where("not kept").select(F.col(key).alias("_gone")).distinct()
-    return df.join(broadcast_if_small(common.cut_lineage(gone)), df[key].eqNullSafe(F.col("_gone")), "left_anti")
+    return common.without(df, key, classify(df, trusted, key, text, lang).where("not kept").select(key))
