@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftmill.llm import language, near_copies, packing, quality, token_counts, token_files
+from siftmill.llm import language, near_copies, nearest, packing, quality, token_counts, token_files
 from siftmill.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.top_k(read(spark, sf_dir, "embeddings"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language.fit(read(spark, sf_dir, "documents"))
     return language.identify(read(spark, sf_dir, "pages"), model, "page_id", "html", url="url", html=True)
@@ -43,5 +47,5 @@ def op6_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies.near_copies(read(spark, sf_dir, "documents"), width=2)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_classifier, op2_token_files, op5_best_fit_packing, op6_near_copies, op8_language_id, op9_token_counts)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_classifier, op2_token_files, op5_best_fit_packing, op6_near_copies, op7_exact_top_k, op8_language_id, op9_token_counts)}
 ORACLES: dict[str, str] = {}
