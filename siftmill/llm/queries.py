@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftmill.llm import fingerprint, language, main_text, near_copies, nearest, packing, quality, token_counts, token_files
+from siftmill.llm import fingerprint, language, main_text, near_copies, nearest, packing, piece_lattice, quality, token_counts, token_files
 from siftmill.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,5 +56,9 @@ def op6_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies.near_copies(read(spark, sf_dir, "documents"), width=2)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_classifier, op2_token_files, op3_main_text, op4_fingerprints, op5_best_fit_packing, op6_near_copies, op7_exact_top_k, op8_language_id, op9_token_counts)}
+def op10_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_lattice.round_trip(read(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_classifier, op2_token_files, op3_main_text, op4_fingerprints, op5_best_fit_packing, op6_near_copies, op7_exact_top_k, op8_language_id, op9_token_counts, op10_piece_lattice)}
 ORACLES: dict[str, str] = {}
