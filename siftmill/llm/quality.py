@@ -34,6 +34,8 @@ QUANTILES, REACH, LEAST_REACH = (0.5, 0.95), 4.0, 0.45
 #: evidence against it.
 PRIOR_CHARS = 60.0
 SHARD_ROWS = 4 << 20
+#: Bytes of text whose n-grams are counted or looked up at once: some fifty times as much memory.
+SLICE = 3 << 20
 _KEPT_SHARDS: dict[str, tuple] = {}
 
 
@@ -104,7 +106,7 @@ def gram_counts(trusted: DataFrame, order: int = ORDER) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in arrays.slices(batch, "_text"):
+            for part in arrays.slices(batch, "_text", SLICE):
                 texts = arrays.plain_texts(part.column("_text"))
                 for lang, rows in _by_language(part):
                     grams, at, _ = windows(texts.take(pa.array(rows)), order)
@@ -223,7 +225,7 @@ def scores(rows: DataFrame, folder: str, shards: int, order: int = ORDER) -> Dat
         import pyarrow.compute as pc
 
         for batch in batches:
-            for part in arrays.slices(batch, "_text"):
+            for part in arrays.slices(batch, "_text", SLICE):
                 texts, loss, known = arrays.plain_texts(part.column("_text")), np.zeros(part.num_rows), np.zeros(part.num_rows, bool)
                 for lang, mine in _by_language(part):
                     grams, at, ends = windows(texts.take(pa.array(mine)), order)
