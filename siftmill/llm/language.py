@@ -26,6 +26,8 @@ from siftmill.plans.sizing import broadcast_if_small
 from siftmill.plans.skew import hot_split_join
 
 BUCKETS = 1 << 15
+#: Bytes of text whose trigrams a task holds at once.
+SLICE = 3 << 20
 #: The text model is fitted on about so many whole documents of each language, chosen by hash.
 SAMPLE_DOCS = 1_000
 #: At most so many languages, those with most labelled documents.
@@ -118,7 +120,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = {x: i for i, x in enumerate(names)}
         for batch in batches:
-            for part in arrays.slices(batch, "_text"):
+            for part in arrays.slices(batch, "_text", SLICE):
                 found, ends = trigrams(arrays.plain_texts(part.column("_text")))
                 row = np.repeat([place[x] for x in part.column("_lang").to_pylist()], np.diff(ends))
                 cells, n = np.unique(row * BUCKETS + found, return_counts=True)
@@ -142,7 +144,7 @@ def evidence(df: DataFrame, model: TextModel, key: str, text: str, url: str | No
 
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for part in arrays.slices(batch, "_text"):
+            for part in arrays.slices(batch, "_text", SLICE):
                 texts, said = arrays.plain_texts(part.column("_text")), part.column("_declared").to_pylist()
                 if html:
                     pages = texts.to_pylist()
