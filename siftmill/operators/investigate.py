@@ -107,11 +107,13 @@ def missing_vs_target(df: DataFrame, features: Sequence[str], label: str = LABEL
 
 def rank_columns(df: DataFrame, features: Sequence[str], key: str = ID, buckets: int | None = None) -> DataFrame:
     """``(key, features...)`` with every value replaced by its average rank."""
-    long = numeric_long(df, features, [key]).where("value is not null")
+    every = numeric_long(df, features, [key])
+    long, empty = every.where("value is not null"), every.where("value is null")
     counts = long.groupBy("feature", "value").agg(F.count("*").alias("n"))
     cum = running_totals(counts, ["feature"], ["value"], {"_cum": F.col("n")}, long_buckets(df, features, buckets), grand={"_all": F.col("n")})
     ranks = cum.select("feature", "value", (F.col("_cum") - (F.col("n") - 1) / 2.0).alias("r"), (F.col("n") > F.col("_all") * HOT_SHARE).alias("_often"))
     placed = hot_split_join(long, ranks, ["feature", "value"], F.col("_often"), int(len(features) / HOT_SHARE), key)
+    placed = placed.select(key, "feature", "r").unionByName(empty.select(key, "feature", F.lit(None).cast("double").alias("r")))
     return placed.groupBy(key).agg(*[F.max(F.when(F.col("feature") == f, F.col("r"))).alias(f) for f in features])
 
 
@@ -130,14 +132,16 @@ def redundant_pairs(df: DataFrame, features: Sequence[str], limit: float = 0.9,
 
 
 def frequency_encode(df: DataFrame, features: Sequence[str], key: str = ID) -> DataFrame:
-    """``(key, <feature>__freq...)``: each category replaced by how often it occurs."""
-    long = text_long(df, features, [key]).where("value is not null")
+    """``(key, <feature>__freq...)``: each category replaced by how often it occurs, NULL for a
+    missing one."""
+    every = text_long(df, features, [key])
+    long, empty = every.where("value is not null"), every.where("value is null")
     counts = long.groupBy("feature", "value").agg(F.count("*").alias("freq"))
     total = counts.groupBy("feature").agg(F.sum("freq").alias("_all"))
     marked = counts.join(broadcast_bounded(total, len(features), 64), "feature").select("feature", "value", "freq", (F.col("freq") > F.col("_all") * HOT_SHARE).alias("_often"))
     placed = hot_split_join(long, marked, ["feature", "value"], F.col("_often"), int(len(features) / HOT_SHARE), key)
-    wide = placed.groupBy(key).agg(*[F.max(F.when(F.col("feature") == f, F.col("freq"))).alias(f"{f}__freq") for f in features])
-    return wide
+    placed = placed.select(key, "feature", "freq").unionByName(empty.select(key, "feature", F.lit(None).cast("long").alias("freq")))
+    return placed.groupBy(key).agg(*[F.max(F.when(F.col("feature") == f, F.col("freq"))).alias(f"{f}__freq") for f in features])
 
 
 QUESTIONS = {

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftmill.operators.metrics import METRICS
-from siftmill.plans.ordered import earlier_max, history_columns, plan_buckets, row_positions
+from siftmill.plans.ordered import earlier_max, history_columns, plan_buckets, row_positions, running_totals
 from siftmill.session import cut_lineage
 
 
@@ -56,7 +56,8 @@ def diagnose(df: DataFrame, lim: JudgeLimits = JudgeLimits()) -> DataFrame:
     """Add ``codes`` (array, fixed order) and ``psi_severity`` to every experiment.
 
     Columns read when present: ``reference_gap, leak_suspects, score_psi, no_progress,
-    budget_left, model, best_iter, data_fatal, oom``.
+    budget_left, model, best_iter, max_iter, data_fatal, oom``. ``max_iter`` is the model's own
+    limit of iterations; without it the general one counts.
     """
     truth = lambda c: F.coalesce(c, F.lit(False))
     psi = _at(df, "score_psi").cast("double")
@@ -66,7 +67,7 @@ def diagnose(df: DataFrame, lim: JudgeLimits = JudgeLimits()) -> DataFrame:
         ("PSI_DRIFT", truth(psi > lim.psi_warn)),
         ("NO_PROGRESS", truth(_at(df, "no_progress").cast("boolean"))),
         ("BUDGET_LOW", truth(_at(df, "budget_left").cast("double") < lim.budget_low)),
-        ("NO_CONVERGE", truth((_at(df, "model").cast("string") == "gbt") & (_at(df, "best_iter").cast("int") < lim.n_rounds_max * lim.early_stop_frac))),
+        ("NO_CONVERGE", truth((_at(df, "model").cast("string") == "gbt") & (_at(df, "best_iter").cast("int") < F.coalesce(_at(df, "max_iter").cast("int"), F.lit(lim.n_rounds_max)) * lim.early_stop_frac))),
         ("DATA_FATAL", truth(_at(df, "data_fatal").cast("boolean"))),
         ("OOM", truth(_at(df, "oom").cast("boolean"))),
     )
@@ -90,8 +91,11 @@ def guardrail_failures(df: DataFrame, guards: Mapping[str, float], lim: JudgeLim
 
 
 def monotone_noninferior(df: DataFrame, lim: JudgeLimits = JudgeLimits()) -> Column:
-    """A constrained model may replace the same unconstrained one when it is not worse and more stable."""
+    """A constrained model may replace the same unconstrained one, on the same features, when it is not
+    worse and more stable. Feature lists are compared where both sides state one."""
     same = (F.col("model") == F.col("best_model")) & F.col("monotone") & ~F.coalesce(F.col("best_monotone"), F.lit(False))
+    if "features" in df.columns and "best_features" in df.columns:
+        same = same & F.col("features").eqNullSafe(F.col("best_features"))
     full = (F.col("fidelity") == "full") & (F.col("best_fidelity") == "full")
     stable = F.coalesce(F.col("score_psi"), F.lit(1.0)) < F.coalesce(F.col("best_score_psi"), F.lit(0.0)) - lim.psi_margin
     return F.coalesce(same & full & (F.col("ci_high") >= 0) & stable, F.lit(False))
@@ -103,7 +107,8 @@ def verdict(df: DataFrame, guards: Mapping[str, float] | None = None, lim: Judge
     One row per comparison: the candidate's columns, the best one's with prefix ``best_`` (all
     NULL for the first experiment of a task), and ``ci_low, ci_high``.
     """
-    out = diagnose(df, lim).withColumn("failures", guardrail_failures(diagnose(df, lim), guards or {}, lim))
+    out = diagnose(df, lim)
+    out = out.withColumn("failures", guardrail_failures(out, guards or {}, lim))
     first = F.col("best_exp_id").isNull()
     full, significant = F.col("fidelity") == "full", F.coalesce(F.col("ci_low") > 0, F.lit(False))
     result = (
@@ -115,7 +120,8 @@ def verdict(df: DataFrame, guards: Mapping[str, float] | None = None, lim: Judge
         .otherwise("INCONCLUSIVE")
     )
     plateau = F.when(~first & ~significant, F.array(F.lit("PLATEAU"))).otherwise(F.array().cast("array<string>"))
-    return out.withColumn("verdict", result).withColumn("codes", F.concat("codes", plateau))
+    guard = F.filter("failures", lambda f: f == "GUARD_FAIL")
+    return out.withColumn("verdict", result).withColumn("codes", F.concat("codes", plateau, guard))
 
 
 def best_so_far(exps: DataFrame, columns: Sequence[str], by: str = "task_id", order: str = "seq", score: str = "oot_dev_auc", buckets: int | None = None) -> DataFrame:
@@ -154,15 +160,23 @@ def history_mark(df: DataFrame, min_up: float = 0.0) -> DataFrame:
     return df.withColumn("mark", F.when(F.coalesce(up, F.lit(False)), "INCONCLUSIVE_UP").otherwise(F.col("verdict")))
 
 
-def no_progress(df: DataFrame, rounds: int = 3, task: str = "task_id", order: Sequence[str] = ("seq",), mark: str = "mark", buckets: int | None = None, chunk_rows: int = 1_000_000) -> DataFrame:
-    """True where the last ``rounds`` marks of the task are all REJECT or INCONCLUSIVE."""
+def no_progress(df: DataFrame, rounds: int = 3, task: str = "task_id", order: Sequence[str] = ("seq",), mark: str = "mark", buckets: int | None = None, chunk_rows: int = 1_000_000, final: Column | None = None) -> DataFrame:
+    """True where the last ``rounds`` marks of the task are all REJECT or INCONCLUSIVE.
+
+    ``final`` marks the rows that give the task a final model: before the first one nothing stops.
+    """
     stuck = df.withColumn("_stuck", F.coalesce(F.col(mark).isin("REJECT", "INCONCLUSIVE"), F.lit(False)).cast("int"))
     make = {f"_s{k}": ("lag", ("_stuck", k)) for k in range(1, rounds)}
     seen = history_columns(stuck, [task], list(order), make, max(1, rounds - 1), plan_buckets(df, order[0], buckets), chunk_rows)
     streak = F.col("_stuck")
     for name in make:
         streak = streak + F.coalesce(F.col(name), F.lit(0))
-    return seen.withColumn("no_progress", streak == rounds).drop("_stuck", *make)
+    stopped = streak == rounds
+    if final is not None:
+        held = F.coalesce(final, F.lit(False)).cast("int")
+        seen = running_totals(seen, [task], list(order), {"_final": held}, plan_buckets(df, order[0], buckets))
+        stopped = stopped & (F.col("_final") > 0)
+    return seen.withColumn("no_progress", stopped).drop("_stuck", "_final", *make)
 
 
 def promotable(exps: DataFrame) -> DataFrame:
@@ -194,44 +208,49 @@ def invalidate(exps: DataFrame, condition: Column) -> DataFrame:
     return exps.withColumn("invalidated", F.col("invalidated") | F.coalesce(condition, F.lit(False)))
 
 
-def lineage(exps: DataFrame, starts: DataFrame, max_depth: int = 1000, cut_every: int = 8) -> DataFrame:
+def lineage(exps: DataFrame, starts: DataFrame) -> DataFrame:
     """Ancestors of the given experiments, ``(start_id, exp_id, depth)`` with depth 0 = itself.
 
-    One equi-join per level over the still open branches; the loop ends when none is left.
+    Pointer doubling: round k adds the ancestors at 2^k and more steps from those known, so a chain
+    of any length takes its logarithm of joins. A cycle among the parents is an error.
     """
-    links = exps.select("exp_id", "parent_exp_id")
-    frontier = starts.select(F.col("exp_id").alias("start_id"), "exp_id", F.lit(0).alias("depth")).join(links, "exp_id").select("start_id", "exp_id", "depth", "parent_exp_id")
-    parts = [frontier]
-    for level in range(1, max_depth + 1):
-        up = frontier.where(F.col("parent_exp_id").isNotNull()).select("start_id", F.col("parent_exp_id").alias("exp_id"))
-        frontier = up.join(links, "exp_id").select("start_id", "exp_id", F.lit(level).alias("depth"), "parent_exp_id")
-        if level % cut_every == 0:
-            frontier = cut_lineage(frontier)
-        if frontier.isEmpty():
-            break
-        parts.append(frontier)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("start_id", "exp_id", "depth")
-
-
-def roots(exps: DataFrame, rounds: int = 20) -> DataFrame:
+    ids = exps.select("exp_id").distinct()
+    jump = exps.where("parent_exp_id is not null").select("exp_id", F.col("parent_exp_id").alias("up"))
+    jump = cut_lineage(jump.join(ids.withColumnRenamed("exp_id", "up"), "up", "left_semi"))
+    found = cut_lineage(starts.select(F.col("exp_id").alias("start_id"), "exp_id", F.lit(0).alias("depth")).join(ids, "exp_id", "left_semi"))
+    steps, most = 1, ids.count()
+    while True:
+        more = found.join(jump, "exp_id").select("start_id", F.col("up").alias("exp_id"), (F.col("depth") + steps).alias("depth"))
+        more = cut_lineage(more)
+        if more.isEmpty():
+            return found.select("start_id", "exp_id", "depth")
+        if steps > most:
+            raise ValueError("the parents of the experiments form a cycle")
+        found = cut_lineage(found.select("start_id", "exp_id", "depth").unionByName(more))
+        far = jump.select(F.col("exp_id").alias("up"), F.col("up").alias("_next"))
+        jump = cut_lineage(jump.join(far, "up").select("exp_id", F.col("_next").alias("up")))
+        steps *= 2
+
+
+def roots(exps: DataFrame) -> DataFrame:
     """Root and depth of every experiment by pointer doubling: log2(depth) joins.
 
     A jump table keeps, for every experiment, an ancestor and its distance; composing the table
-    with itself doubles the distance until everyone points at a root.
+    with itself doubles the distance until everyone points at a root. A cycle is an error.
     """
     ids = exps.select(F.col("exp_id"), F.col("parent_exp_id"))
     parent = ids.join(ids.select(F.col("exp_id").alias("parent_exp_id"), F.lit(True).alias("_there")), "parent_exp_id", "left")
     jump = parent.select("exp_id", F.coalesce(F.when(F.col("_there"), F.col("parent_exp_id")), F.col("exp_id")).alias("root"), F.when(F.col("_there"), 1).otherwise(0).alias("depth"))
-    for _ in range(rounds):
+    reach, most = 1, ids.count()
+    while True:
         far = jump.select(F.col("exp_id").alias("root"), F.col("root").alias("_next"), F.col("depth").alias("_more"))
         step = cut_lineage(jump.join(far, "root").select("exp_id", F.col("_next").alias("root"), (F.col("depth") + F.col("_more")).alias("depth"), (F.col("_more") > 0).alias("_moved")))
         jump = step.drop("_moved")
         if step.where("_moved").isEmpty():
-            break
-    return jump
+            return jump
+        reach *= 2
+        if reach > 2 * most:
+            raise ValueError("the parents of the experiments form a cycle")
 
 
 def node_delta(exps: DataFrame, score: str = "oot_dev_auc") -> DataFrame:

@@ -239,29 +239,48 @@ def experiment_metrics(preds: DataFrame, primary: str = "auc") -> DataFrame:
     return base.join(shift, "exp_id", "left")
 
 
-def clip_to_space(params: Mapping, space: Mapping[str, Mapping]) -> dict:
-    """Starting points outside the space move to its border; unknown parameters are left out."""
-    return {k: params[k] if "choices" in s else min(max(params[k], s["low"]), s["high"]) for k, s in space.items() if k in params}
-
-
-def sample_params(space: Mapping[str, Mapping], rng: np.random.Generator) -> dict:
-    out = {}
-    for k, s in space.items():
-        if "choices" in s:
-            out[k] = s["choices"][int(rng.integers(len(s["choices"])))]
-            continue
-        lo, hi = (np.log(s["low"]), np.log(s["high"])) if s.get("log") else (s["low"], s["high"])
-        v = rng.uniform(lo, hi)
-        v = float(np.exp(v)) if s.get("log") else float(v)
-        out[k] = int(round(v)) if s.get("type") == "int" else v
-    return out
+@dataclass(frozen=True)
+class Choice:
+    """A parameter that takes one of the given values."""
+
+    choices: tuple
+
+    def clip(self, value):
+        return value
+
+    def sample(self, rng: np.random.Generator):
+        return self.choices[int(rng.integers(len(self.choices)))]
+
+
+@dataclass(frozen=True)
+class Range:
+    """A parameter between two bounds, drawn evenly or evenly in its logarithm."""
+
+    low: float
+    high: float
+    log: bool = False
+    type: str = "float"
+
+    def clip(self, value):
+        return self.low if value < self.low else self.high if value > self.high else value
+
+    def sample(self, rng: np.random.Generator):
+        drawn = np.exp(rng.uniform(np.log(self.low), np.log(self.high))) if self.log else rng.uniform(self.low, self.high)
+        return int(round(drawn)) if self.type == "int" else float(drawn)
+
+
+def parameters(space: Mapping[str, Mapping]) -> dict[str, Choice | Range]:
+    return {name: Choice(tuple(said["choices"])) if "choices" in said else Range(**said) for name, said in space.items()}
 
 
 def search_points(space: Mapping[str, Mapping], n_trials: int, seed: int, warm: Sequence[Mapping] = (), warm_share: float = 0.10) -> list[dict]:
-    """Warm points (clipped, at most a tenth of the trials) followed by seeded random ones."""
-    first = [clip_to_space(p, space) for p in warm[: int(n_trials * warm_share)]]
-    rng = np.random.default_rng(seed)
-    return first + [sample_params(space, rng) for _ in range(n_trials - len(first))]
+    """Warm points, moved into the space and without unknown parameters, for at most a tenth of the
+    trials; then seeded random ones."""
+    known, rng = parameters(space), np.random.default_rng(seed)
+    points = [{name: known[name].clip(point[name]) for name in known.keys() & point.keys()} for point in warm[: int(n_trials * warm_share)]]
+    while len(points) < n_trials:
+        points.append({name: p.sample(rng) for name, p in known.items()})
+    return points
 
 
 def param_search(name: str, splits: DataFrame, inputs: Inputs, n_trials: int, seed: int = 0, space: Mapping | None = None, warm: Sequence[Mapping] = (), metric: str = "auc", parallelism: int = 2) -> tuple[dict, list[tuple[dict, float]]]:

@@ -18,7 +18,6 @@ DATE_NAME = r"year|month|day|date|time"
 # Common placeholders for "unknown".
 PLACEHOLDER_NUMBERS = (-1, 99, 999, 9999, 99999, 365243)
 PLACEHOLDER_TEXTS = ("", "xna", "xap", "na", "n/a", "null", "none", "undefined", "unknown", "?")
-DATE_EXAMPLES = 50
 
 
 def _numeric_fields(df: DataFrame) -> list[str]:
@@ -54,16 +53,14 @@ def profile(df: DataFrame, examples: int = 5) -> DataFrame:
 
 
 def date_candidates(df: DataFrame, patterns: Sequence[str] = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "MMM-yyyy", "MM/dd/yyyy")) -> DataFrame:
-    """Columns named like a date, or text columns whose smallest distinct values parse as dates."""
+    """Columns named like a date, or text columns most of whose filled rows parse as dates."""
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     named = df.sparkSession.createDataFrame([(c, bool(re.search(DATE_NAME, c, re.I))) for c in df.columns], "column string, by_name boolean")
     if not texts:
         return named.select("column", "by_name", F.lit(None).cast("double").alias("parse_share"), F.col("by_name").alias("candidate"))
     values = text_long(df, texts).where("value is not null").groupBy("feature", "value").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("feature").orderBy("value")
-    some = values.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= DATE_EXAMPLES)
     parsed = F.coalesce(*[F.try_to_timestamp(F.col("value"), F.lit(p)) for p in patterns])
-    share = some.groupBy("feature").agg(F.avg(parsed.isNotNull().cast("double")).alias("parse_share"))
+    share = values.groupBy("feature").agg((F.sum(F.when(parsed.isNotNull(), F.col("n")).otherwise(0)) / F.sum("n")).alias("parse_share"))
     out = named.join(broadcast_bounded(share.withColumnRenamed("feature", "column"), len(texts), 64), "column", "left")
     return out.withColumn("candidate", F.col("by_name") | F.coalesce(F.col("parse_share") > 0.9, F.lit(False)))
 

@@ -11,13 +11,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftmill.plans.ordered import MAX_BUCKETS, plan_buckets, running_totals
+from siftmill.plans.ordered import MAX_BUCKETS, order_key, plan_buckets, running_totals
 from siftmill.plans.sizing import BUCKET_BYTES, input_bytes
 
 
 def numeric_long(df: DataFrame, features: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
-    """``(keep..., feature, value)`` with one row per input row and numeric feature."""
-    wide = df.select(*keep, *[F.nanvl(F.col(f).cast("double"), F.lit(None).cast("double")).alias(f) for f in features])
+    """``(keep..., feature, value)`` with one row per input row and numeric feature; dates and
+    timestamps count as the time they stand for."""
+    wide = df.select(*keep, *[F.nanvl(order_key(df, f), F.lit(None).cast("double")).alias(f) for f in features])
     return wide.unpivot(list(keep), list(features), "feature", "value")
 
 

@@ -68,11 +68,13 @@ def plan_buckets(df: DataFrame, order: str, buckets: int | None = None, bytes_pe
 
 
 def _text_buckets(df: DataFrame, order: str, n: int, size: int) -> list[str]:
-    """Boundaries of a text order column from a bounded sample."""
+    """Boundaries of a text order column: quantiles of rows drawn from the whole column, so that
+    sorted input and frequent values give even buckets."""
     values = df.select(F.col(order).alias("k")).where(F.col("k").isNotNull())
     if size > SAMPLE_BYTES:
         values = values.sample(fraction=max(1e-6, SAMPLE_BYTES / size), seed=7)
-    found = sorted({r["k"] for r in values.limit(TEXT_SAMPLE).collect()}, key=lambda v: v.encode())
+    drawn = values.withColumn("_r", F.rand(7)).orderBy("_r").limit(TEXT_SAMPLE).select("k").collect()
+    found = sorted((r["k"] for r in drawn), key=lambda v: v.encode())
     return list(dict.fromkeys(found[len(found) * i // n] for i in range(1, n))) if found else []
 
 

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftmill.plans.ordered import null_safe_join
-from siftmill.plans.sizing import once, settle
+from siftmill.plans.sizing import broadcast_if_small, once, settle
+from siftmill.session import cut_lineage
 
 PREFIX_HEX = 4
 _ALL = "_all"
@@ -52,7 +53,8 @@ def hash_cuts(df: DataFrame, key: str, seed: int | str, counts: Sequence[Callabl
         .where((F.col("_cum") - F.col("_n") < F.col("_k")) & (F.col("_k") <= F.col("_cum")))
         .select(*by, "_prefix", "_i", (F.col("_k") - F.col("_cum") + F.col("_n")).alias("_need"))
     )
-    near = null_safe_join(ids, edge, [*by, "_prefix"], "inner")
+    # One row per stratum and cut: written first, so its true size decides and the ids stay in place.
+    near = null_safe_join(ids, broadcast_if_small(cut_lineage(edge)), [*by, "_prefix"], "inner")
     rank = F.row_number().over(Window.partitionBy(*by, "_i", "_prefix").orderBy("_h", "_key"))
     hit = near.withColumn("_rank", rank).where(F.col("_rank") == F.col("_need"))
     cuts = hit.groupBy(*by).agg(*[F.max(F.when(F.col("_i") == i, F.col("_h"))).alias(f"_cut{i}") for i in range(len(counts))])

@@ -27,8 +27,7 @@ def table_profile(spark, sf):
 
 @query("date_candidates", "Q2", """
 WITH t AS (SELECT 'month_text' AS "column", strftime(o_orderdate, '%Y-%m-%d') AS v FROM orders UNION ALL SELECT 'free', strftime(o_orderdate, '%Y-%m-%d') FROM orders UNION ALL SELECT 'o_orderstatus', o_orderstatus FROM orders),
-d AS (SELECT "column", v, row_number() OVER (PARTITION BY "column" ORDER BY v) AS rk FROM (SELECT DISTINCT "column", v FROM t)),
-s AS (SELECT "column", avg(CASE WHEN TRY_CAST(v AS DATE) IS NOT NULL THEN CAST(1 AS DOUBLE) ELSE 0 END) AS parse_share FROM d WHERE rk <= 50 GROUP BY 1)
+s AS (SELECT "column", avg(CASE WHEN TRY_CAST(v AS DATE) IS NOT NULL THEN CAST(1 AS DOUBLE) ELSE 0 END) AS parse_share FROM t WHERE v IS NOT NULL GROUP BY 1)
 SELECT "column", "column" = 'month_text' AS by_name, parse_share, "column" = 'month_text' OR parse_share > 0.9 AS candidate FROM s""")
 def date_candidates(spark, sf):
     day = F.date_format("o_orderdate", "yyyy-MM-dd")

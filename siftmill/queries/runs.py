@@ -17,7 +17,7 @@ LOG = f"WITH {b.CTE_LOG}"
 
 # Metric columns of each experiment, worked out from its number k.
 CAND_SQL = """cand AS (SELECT exp_id, task_id, seq, k, fidelity, 'gbt' AS model, CAST(0.5 AS DOUBLE) + CAST((k * 7) % 100 AS DOUBLE) / 300 AS valid_auc, oot_dev_auc, CAST(k * 3 % 40 AS DOUBLE) / 100 AS score_psi,
-  CAST(0.03 AS DOUBLE) AS reference_gap, CASE WHEN k % 17 = 0 THEN 1 ELSE 0 END AS leak_suspects, k * 5 AS best_iter, k + 20 AS n_features, 50 AS n_raw_features, CAST(k AS DOUBLE) / 100 AS budget_left, k % 6 = 0 AS monotone,
+  CAST(0.03 AS DOUBLE) AS reference_gap, CASE WHEN k % 17 = 0 THEN 1 ELSE 0 END AS leak_suspects, k * 5 AS best_iter, CASE WHEN k % 2 = 0 THEN 200 END AS max_iter, k % 3 AS features, k + 20 AS n_features, 50 AS n_raw_features, CAST(k AS DOUBLE) / 100 AS budget_left, k % 6 = 0 AS monotone,
   oot_dev_auc - CAST(0.45 AS DOUBLE) AS oot_dev_ks FROM exps)"""
 
 
@@ -25,13 +25,13 @@ def cand(spark, sf):
     k = F.col("k")
     return b.exps(spark, sf).select(
         "exp_id", "task_id", "seq", "k", "fidelity", F.lit("gbt").alias("model"), (0.5 + (k * 7 % 100) / 300.0).alias("valid_auc"), "oot_dev_auc", ((k * 3 % 40) / 100.0).alias("score_psi"),
-        F.lit(0.03).alias("reference_gap"), F.when(k % 17 == 0, 1).otherwise(0).alias("leak_suspects"), (k * 5).alias("best_iter"), (k + 20).alias("n_features"), F.lit(50).alias("n_raw_features"),
+        F.lit(0.03).alias("reference_gap"), F.when(k % 17 == 0, 1).otherwise(0).alias("leak_suspects"), (k * 5).alias("best_iter"), F.when(k % 2 == 0, 200).alias("max_iter"), (k % 3).alias("features"), (k + 20).alias("n_features"), F.lit(50).alias("n_raw_features"),
         (k / 100.0).alias("budget_left"), (k % 6 == 0).alias("monotone"), (F.col("oot_dev_auc") - 0.45).alias("oot_dev_ks"),
     )
 
 
 CODES = """concat_ws(',', CASE WHEN valid_auc - oot_dev_auc - reference_gap > 0.05 THEN 'OVERFIT_GAP' END, CASE WHEN leak_suspects > 0 THEN 'LEAK_SUSPECT' END, CASE WHEN score_psi > 0.1 THEN 'PSI_DRIFT' END,
-  CASE WHEN budget_left < 0.15 THEN 'BUDGET_LOW' END, CASE WHEN best_iter < 25 THEN 'NO_CONVERGE' END)"""
+  CASE WHEN budget_left < 0.15 THEN 'BUDGET_LOW' END, CASE WHEN best_iter < coalesce(max_iter, 500) * 0.05 THEN 'NO_CONVERGE' END)"""
 
 
 @query("diagnosis_codes", "E1", f"{EXPS}, {CAND_SQL} SELECT exp_id, {CODES} AS codes, CASE WHEN score_psi > 0.25 THEN 'severe' WHEN score_psi > 0.1 THEN 'warn' END AS psi_severity FROM cand")
@@ -39,14 +39,14 @@ def diagnosis_codes(spark, sf):
     return judge.diagnose(cand(spark, sf)).select("exp_id", F.concat_ws(",", "codes").alias("codes"), "psi_severity")
 
 
-BEST_SQL = """bst AS (SELECT c.*, p.exp_id AS best_exp_id, p.oot_dev_auc AS best_oot_dev_auc, p.oot_dev_ks AS best_oot_dev_ks, p.score_psi AS best_score_psi, p.fidelity AS best_fidelity, p.monotone AS best_monotone,
+BEST_SQL = """bst AS (SELECT c.*, p.exp_id AS best_exp_id, p.oot_dev_auc AS best_oot_dev_auc, p.oot_dev_ks AS best_oot_dev_ks, p.score_psi AS best_score_psi, p.fidelity AS best_fidelity, p.monotone AS best_monotone, p.features AS best_features,
     row_number() OVER (PARTITION BY c.exp_id ORDER BY p.oot_dev_auc DESC, p.seq) AS bk
   FROM cand c LEFT JOIN cand p ON p.task_id = c.task_id AND p.seq < c.seq),
 ver0 AS (SELECT *, CAST(k * 13 % 100 - 50 AS DOUBLE) / 1000 AS ci_low, CAST(k * 13 % 100 - 50 AS DOUBLE) / 1000 + CAST(0.03 AS DOUBLE) AS ci_high FROM bst WHERE bk = 1),
 ver AS (SELECT *, concat_ws(',', CASE WHEN valid_auc - oot_dev_auc - reference_gap > 0.05 THEN 'OVERFIT_GAP' END, CASE WHEN leak_suspects > 0 THEN 'LEAK_SUSPECT' END, CASE WHEN n_features - n_raw_features > 40 THEN 'TOO_MANY_FEATURES' END,
     CASE WHEN score_psi > 0.25 THEN 'SCORE_PSI' END, CASE WHEN best_exp_id IS NOT NULL AND best_oot_dev_ks - oot_dev_ks > 0.2 THEN 'GUARD_FAIL' END) AS failures,
-  coalesce(monotone AND NOT coalesce(best_monotone, FALSE) AND fidelity = 'full' AND best_fidelity = 'full' AND ci_high >= 0 AND score_psi < best_score_psi - 0.002, FALSE) AS noninferior FROM ver0)"""
-BEST_COLUMNS = ["exp_id", "oot_dev_auc", "oot_dev_ks", "score_psi", "fidelity", "monotone", "model"]
+  coalesce(monotone AND features IS NOT DISTINCT FROM best_features AND NOT coalesce(best_monotone, FALSE) AND fidelity = 'full' AND best_fidelity = 'full' AND ci_high >= 0 AND score_psi < best_score_psi - 0.002, FALSE) AS noninferior FROM ver0)"""
+BEST_COLUMNS = ["exp_id", "oot_dev_auc", "oot_dev_ks", "score_psi", "fidelity", "monotone", "model", "features"]
 
 
 def comparisons(spark, sf):
@@ -55,11 +55,11 @@ def comparisons(spark, sf):
     return best.withColumns({"ci_low": low, "ci_high": low + 0.03})
 
 
-@query("verdicts", "E2,E3", f"""{EXPS}, {CAND_SQL}, {BEST_SQL} SELECT exp_id, best_exp_id, failures, CASE WHEN failures <> '' THEN 'REJECT' WHEN best_exp_id IS NULL THEN CASE WHEN fidelity = 'full' THEN 'ACCEPT' ELSE 'PROMISING' END
+@query("verdicts", "E2,E3", f"""{EXPS}, {CAND_SQL}, {BEST_SQL} SELECT exp_id, best_exp_id, failures, concat_ws(',', nullif({CODES}, ''), CASE WHEN best_exp_id IS NOT NULL AND NOT ci_low > 0 THEN 'PLATEAU' END, CASE WHEN contains(failures, 'GUARD_FAIL') THEN 'GUARD_FAIL' END) AS codes, CASE WHEN failures <> '' THEN 'REJECT' WHEN best_exp_id IS NULL THEN CASE WHEN fidelity = 'full' THEN 'ACCEPT' ELSE 'PROMISING' END
   WHEN noninferior AND NOT ci_low > 0 THEN 'ACCEPT' WHEN ci_low > 0 THEN CASE WHEN fidelity = 'full' THEN 'ACCEPT' ELSE 'PROMISING' END WHEN ci_high < 0 THEN 'REJECT' ELSE 'INCONCLUSIVE' END AS verdict FROM ver""")
 def verdicts(spark, sf):
     out = judge.verdict(comparisons(spark, sf), {"ks": 0.2})
-    return out.select("exp_id", "best_exp_id", F.concat_ws(",", "failures").alias("failures"), "verdict")
+    return out.select("exp_id", "best_exp_id", F.concat_ws(",", "failures").alias("failures"), F.concat_ws(",", "codes").alias("codes"), "verdict")
 
 
 @query("monotone_noninferior", "E3", f"{EXPS}, {CAND_SQL}, {BEST_SQL} SELECT exp_id, noninferior FROM ver WHERE best_exp_id IS NOT NULL")
@@ -85,9 +85,9 @@ MARK = "mk AS (SELECT *, CASE WHEN verdict = 'INCONCLUSIVE' AND fidelity = 'low'
 
 
 @query("no_progress", "E6", f"""{EXPS}, {MARK}, s AS (SELECT *, CASE WHEN mark IN ('REJECT', 'INCONCLUSIVE') THEN 1 ELSE 0 END AS bad FROM mk)
-SELECT exp_id, mark, bad + coalesce(lag(bad, 1) OVER w, 0) + coalesce(lag(bad, 2) OVER w, 0) = 3 AS no_progress FROM s WINDOW w AS (PARTITION BY task_id ORDER BY seq)""")
+SELECT exp_id, mark, bad + coalesce(lag(bad, 1) OVER w, 0) + coalesce(lag(bad, 2) OVER w, 0) = 3 AND sum(CASE WHEN verdict = 'ACCEPT' AND fidelity = 'full' THEN 1 ELSE 0 END) OVER w > 0 AS no_progress FROM s WINDOW w AS (PARTITION BY task_id ORDER BY seq)""")
 def no_progress(spark, sf):
-    return judge.no_progress(judge.history_mark(b.exps(spark, sf)), 3, buckets=4, chunk_rows=8).select("exp_id", "mark", "no_progress")
+    return judge.no_progress(judge.history_mark(b.exps(spark, sf)), 3, buckets=4, chunk_rows=8, final=(F.col("verdict") == "ACCEPT") & (F.col("fidelity") == "full")).select("exp_id", "mark", "no_progress")
 
 
 @query("promotable", "E7", f"{EXPS} SELECT exp_id, task_id FROM exps e WHERE fidelity = 'low' AND verdict IN ('PROMISING', 'INCONCLUSIVE') AND NOT invalidated AND NOT EXISTS (SELECT 1 FROM exps d WHERE d.action_type = 'PROMOTE_FIDELITY' AND d.target_exp_id = e.exp_id AND d.task_id = e.task_id)")
