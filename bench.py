@@ -16,6 +16,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 HEADLINE = [
+    "splits_written",  # first: later queries read a split table that is written once a session
     "deep_aggregates", "windowed_features", "two_level_features", "observed_windows", "screened_history",
     "time_split", "validation_part", "random_split", "missing_rate_shift", "maturity_check",
     "history_by_entity", "history_by_entity_cut", "history_global",

@@ -42,12 +42,12 @@ def woe_table(spark, sf):
     return rounded(models.woe_table(train, INPUTS, 10, buckets=4).select("feature", "bin", "level", "n", "n_pos", "woe"), 6, "woe")
 
 
-@query("woe_transform", "ML3", f"""{WOE_SQL} SELECT al._row_id, {', '.join(f"{r(f'''max(woe) FILTER (WHERE al.feature = '{f}')''')} AS {f}__woe" for f in ['signal', 'half', 'cat'])}
+@query("woe_transform", "ML3", f"""{WOE_SQL} SELECT al._row_id, {', '.join(f"{r(f'''max(woe) FILTER (WHERE al.feature = '{f}')''')} AS {f}__woe" for f in INPUTS.names)}
 FROM al JOIN wt ON al.feature = wt.feature AND al.bin IS NOT DISTINCT FROM wt.bin AND al.level IS NOT DISTINCT FROM wt.level GROUP BY 1""")
 def woe_transform(spark, sf):
     train = rows(spark, sf).where("split = 'train'")
     fitted = cut_lineage(models.woe_table(train, INPUTS, 10))
-    names = [f"{f}__woe" for f in ("signal", "half", "cat")]
+    names = [f"{f}__woe" for f in INPUTS.names]
     return rounded(models.woe_transform(train, INPUTS, fitted).select(ID, *names), 6, *names)
 
 

@@ -15,10 +15,10 @@ def time_split(spark, sf):
     return splits.assign_time_split(b.planted(spark, sf), b.WINDOWS).select(ID, SPLIT)
 
 
-@query("validation_part", "T2", f"WITH {b.CTE_SPLITS} SELECT _row_id, split FROM splits WHERE s0 = 'train'")
+@query("validation_part", "T2", f"WITH {b.CTE_SPLITS} SELECT _row_id, split FROM splits")
 def validation_part(spark, sf):
     built = splits.build_splits(b.planted(spark, sf), b.WINDOWS, b.VALID, b.SEED)
-    return built.where(F.col(SPLIT).isin("train", "valid")).select(ID, SPLIT)
+    return built.select(ID, SPLIT)
 
 
 FRACTIONS = {"train": 0.5, "valid": 0.2, "oot_dev": 0.15, "holdout": 0.1}

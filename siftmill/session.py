@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_LOCAL_FOLDERS: dict[str, str] = {}
 
 
 def local_session(cores: int | str = 8, app: str = "siftmill", memory: str = "8g") -> SparkSession:
@@ -29,7 +32,8 @@ def local_session(cores: int | str = 8, app: str = "siftmill", memory: str = "8g
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Shared folder for cut lineage: the one the cluster names, else a fresh local one."""
+    """Shared folder for cut lineage: the one the cluster names. A local session without one gets a
+    folder of its own, one for each application, which goes when the process ends."""
     named = spark.conf.get(CHECKPOINT_CONF, None)
     if named:
         return named
@@ -38,7 +42,11 @@ def scratch_root(spark: SparkSession) -> str:
         return current
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
-    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        atexit.register(shutil.rmtree, _LOCAL_FOLDERS[app], ignore_errors=True)
+    return _LOCAL_FOLDERS[app]
 
 
 def cut_lineage(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
