@@ -6,9 +6,10 @@ maximum of two sketches is the sketch of the union. Two registers agree with a p
 the similarity of the sets, so bands of registers find candidates.
 
 Texts of equal shingle sets are one class first. In a bucket of a band every class meets the
-smallest one, which joins a large group of copies without all pairs; only classes that the links
-so found leave in different components are then compared within their buckets. Whatever the
-sketches suggest is confirmed on the full sets of the whole texts.
+smallest one, which joins a large group of copies without all pairs; classes that the links so
+found leave in different components are then compared within their buckets, each first with the
+few most alike, then with more, at last with all that are still apart. Whatever the sketches
+suggest is confirmed on the full sets of the whole texts.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ BASE, RATE = 1.07, 20.0
 SLACK = 0.2
 #: Members of a bucket that one task compares; a larger bucket is cut into pairs of such parts.
 PART = 2048
+#: Most alike partners of a class that each round after the first checks; the last round checks all.
+ROUNDS = (2, 16, None)
 _SHIFT = np.uint64(32)
 
 
@@ -86,16 +89,19 @@ def likelihood_estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.n
     """Similarity of pairs of sketches (rows of ``a`` and ``b``) that makes their registers most
     likely, given the sizes of the sets: one joint likelihood of the registers above, below and
     equal, on a grid of ``steps`` similarities."""
-    above, below = (a > b).sum(1)[:, None], (a < b).sum(1)[:, None]
-    equal = a.shape[1] - above - below
-    u = (n_a / (n_a + n_b))[:, None]
-    v = 1 - u
-    top = np.minimum(u, v) / np.maximum(u, v)
-    j = top * np.linspace(0, 1, steps)[None, :]
     chance = lambda x: -np.log1p(-np.clip(x, 1e-9, 1) * (BASE - 1) / BASE) / np.log(BASE)
-    more, less = chance(u - v * j), chance(v - u * j)
-    told = above * np.log(more) + below * np.log(less) + equal * np.log(np.maximum(1 - more - less, 1e-12))
-    return j[np.arange(len(j)), told.argmax(1)]
+    out = np.zeros(len(a))
+    for lo in range(0, len(a), 1024):  # the grid of a few pairs at a time
+        part = slice(lo, lo + 1024)
+        above, below = (a[part] > b[part]).sum(1)[:, None], (a[part] < b[part]).sum(1)[:, None]
+        equal = a.shape[1] - above - below
+        u = (n_a[part] / (n_a[part] + n_b[part]))[:, None]
+        v = 1 - u
+        j = np.minimum(u, v) / np.maximum(u, v) * np.linspace(0, 1, steps)[None, :]
+        more, less = chance(u - v * j), chance(v - u * j)
+        told = above * np.log(more) + below * np.log(less) + equal * np.log(np.maximum(1 - more - less, 1e-12))
+        out[part] = j[np.arange(len(j)), told.argmax(1)]
+    return out
 
 
 def sketches(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
@@ -119,8 +125,8 @@ def sketches(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
 
 
 def _banded(classes: DataFrame) -> DataFrame:
-    """One row for each class and band: ``bucket``, ``rep``, ``n``."""
-    types = common.schema("bucket long, rep long, n long")
+    """One row for each class and band: ``bucket``, ``band``, ``rep``, ``n``."""
+    types = common.schema("bucket long, band int, rep long, n long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,7 +137,7 @@ def _banded(classes: DataFrame) -> DataFrame:
                 for k in range(BAND):
                     keys = keys * np.uint64(256) + table[:, k::BAND][:, :bands]
             ids, n = (np.repeat(np.asarray(batch.column(c)), bands) for c in ("rep", "n"))
-            yield common.arrow_out({"bucket": arrays.mix64(keys.ravel()).astype(np.int64), "rep": ids, "n": n}, types)
+            yield common.arrow_out({"bucket": arrays.mix64(keys.ravel()).astype(np.int64), "band": np.tile(np.arange(bands, dtype=np.int32), len(table)), "rep": ids, "n": n}, types)
 
     return classes.select("rep", "n", "sketch").mapInArrow(run, types)
 
@@ -141,18 +147,19 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, floor: float) -> DataFrame:
-    """Pairs ``a``, ``b`` whose estimated similarity reaches ``floor``."""
+    """Pairs ``a``, ``b`` whose estimated similarity ``alike`` reaches ``floor``."""
     side = lambda x: classes.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    types = common.schema("a long, b long")
+    types = common.schema("a long, b long, alike double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 2048):
                 part = batch.slice(i, 2048)
                 n_a, n_b = (np.asarray(part.column(c), np.float64) for c in ("n_a", "n_b"))
-                good = likelihood_estimate(_matrix(part.column("s_a")), _matrix(part.column("s_b")), n_a, n_b) >= floor
-                yield common.arrow_out({c: part.column(c).filter(pa.array(good)) for c in ("a", "b")}, types)
+                alike = likelihood_estimate(_matrix(part.column("s_a")), _matrix(part.column("s_b")), n_a, n_b)
+                good = pa.array(alike >= floor)
+                yield common.arrow_out({c: part.column(c).filter(good) for c in ("a", "b")} | {"alike": pa.array(alike).filter(good)}, types)
 
     return both.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, types)
 
@@ -205,12 +212,12 @@ def _rooted(frame: DataFrame, roots: DataFrame, node: str, name: str) -> DataFra
     return frame.join(found, node, "left").withColumn(name, F.coalesce("_root", node)).drop("_root")
 
 
-def _left_over(members: DataFrame, classes: DataFrame, roots: DataFrame, floor: float, ratio: float) -> DataFrame:
-    """Likely pairs of bucket members that are still in different components.
+def _groups(members: DataFrame, classes: DataFrame, roots: DataFrame, ratio: float) -> DataFrame:
+    """Rows of the buckets that still hold different components, dealt to comparable groups.
 
-    ``members`` has ``bucket``, ``rep``, ``n``. Sizes are cut into classes of ``1 / ratio``, so a
-    similar pair lies in one class or in neighbours. A group above ``PART`` members is dealt to
-    parts, and every pair of parts is a group of its own.
+    ``members`` has ``bucket``, ``band``, ``rep``, ``n``. Sizes are cut into classes of
+    ``1 / ratio``, so a similar pair lies in one class or in neighbours. A group above ``PART``
+    members is dealt to parts, and every pair of parts is a group of its own.
     """
     rooted = _rooted(members, roots, "rep", "root")
     split = common.cut_lineage(rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n_members")).where("low != high and n_members > 2").select("bucket"))
@@ -222,30 +229,88 @@ def _left_over(members: DataFrame, classes: DataFrame, roots: DataFrame, floor:
     sizes = common.cut_lineage(sizes.where("low != high and not no_own").drop("low", "high", "no_own"))
     rows = rows.join(sizes, group).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select(*group, F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "rep", "root", "n", "guest")
-    rows = rows.join(classes.select("rep", "sketch"), "rep")
+    rows = rows.select(*group, "band", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "rep", "root", "n", "guest")
+    return rows.join(classes.select("rep", "sketch"), "rep")
+
+
+def _alike(group: np.ndarray, part: np.ndarray, guest: np.ndarray, n: np.ndarray, sketch: np.ndarray, floor: float, ratio: float, cross: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Likely pairs of rows of equal ``group`` (rows are sorted by it) and their estimates.
+
+    Rows of a group with two parts (``cross``) pair only with the other part. Pairs are made in
+    portions, so the memory does not grow with the square of a group.
+    """
+    ends = np.searchsorted(group, group, "right")
+    later = ends - np.arange(len(group)) - 1
+    told, at = [], 0
+    total = np.cumsum(later)
+    while at < len(group):
+        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + (1 << 15), "right")))
+        i = np.repeat(np.arange(at, stop), later[at:stop])
+        first = np.cumsum(later[at:stop]) - later[at:stop]
+        j = i + 1 + np.arange(len(i)) - np.repeat(first, later[at:stop])
+        good = ~(guest[i] & guest[j]) & (np.minimum(n[i], n[j]) >= ratio * np.maximum(n[i], n[j])) & ((part[i] != part[j]) | ~cross[i])
+        i, j = i[good], j[good]
+        # A cheap bound before the likelihood.
+        good = (sketch[i] == sketch[j]).sum(1) >= (floor - 0.1) * sketch.shape[1]
+        i, j = i[good], j[good]
+        if len(i):
+            alike = likelihood_estimate(sketch[i], sketch[j], n[i], n[j])
+            good = alike >= floor
+            told.append((i[good], j[good], alike[good]))
+        at = stop
+    return tuple(np.concatenate(x) for x in zip(*told, strict=True)) if told else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+
+
+def _compared(groups: DataFrame, floor: float, ratio: float, most: int | None) -> DataFrame:
+    """Likely pairs ``a``, ``b`` of different components in each group.
+
+    A class gives its ``most`` most alike partners (all for None). A pair counts in the first band
+    that its classes share and nowhere else.
+    """
+    by = ["bucket", "size_class", "p", "q"]
     types = common.schema("a long, b long")
 
-    def compare(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        rep, root, part, guest = (np.asarray(table.column(c)) for c in ("rep", "root", "part", "guest"))
+    def compare(table: pa.Table) -> pa.RecordBatch:
+        rep, root, part, guest, band, p, q = (np.asarray(table.column(c)) for c in ("rep", "root", "part", "guest", "band", "p", "q"))
         n, sketch = np.asarray(table.column("n")).astype(np.float64), _matrix(table.column("sketch").combine_chunks())
-        p, q = table.column("p")[0].as_py(), table.column("q")[0].as_py()
-        found = []
-        for i in range(len(rep)):
-            near = (rep > rep[i]) & (root != root[i]) & ~(guest & guest[i]) & (np.minimum(n, n[i]) >= ratio * np.maximum(n, n[i]))
-            if p != q:
-                near &= part != part[i]
-            at = np.flatnonzero(near)
-            if len(at):
-                agree = (sketch[at] == sketch[i]).sum(1)
-                at = at[agree >= (floor - 0.1) * sketch.shape[1]]  # a cheap bound before the likelihood
-            if len(at):
-                est = likelihood_estimate(sketch[at], np.repeat(sketch[i][None], len(at), 0), n[at], np.full(len(at), n[i]))
-                found += [(rep[i], rep[k]) for k in at[est >= floor]]
-        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
-
-    return rows.groupBy(*group, "p", "q").applyInArrow(compare, types)
+        group = np.cumsum(_new_group(table, by))
+        i, j, alike = _alike(group, part, guest, n, sketch, floor, ratio, p != q)
+        i, j, alike = np.concatenate([i, j]), np.concatenate([j, i]), np.tile(alike, 2)
+        if most is not None and len(i):
+            order = np.lexsort((rep[j], -alike, i))
+            i, j = i[order], j[order]
+            rank = np.arange(len(i)) - np.maximum.accumulate(np.where(np.diff(i, prepend=-1) != 0, np.arange(len(i)), 0))
+            i, j = i[rank < most], j[rank < most]
+        apart = root[i] != root[j]
+        i, j = i[apart], j[apart]
+        same = (sketch[i] == sketch[j])[:, : sketch.shape[1] // BAND * BAND].reshape(len(i), sketch.shape[1] // BAND, BAND).all(2)
+        here = same.argmax(1) == band[i]
+        pairs = np.unique(np.stack([np.maximum(rep[i], rep[j]), np.minimum(rep[i], rep[j])], 1)[here], axis=0)
+        return common.arrow_out({"a": pairs[:, 0], "b": pairs[:, 1]}, types)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            last = np.flatnonzero(_new_group(held, by))[-1] if held.num_rows else 0
+            if last and held.num_rows >= 4096:  # the last group may go on
+                yield compare(held.slice(0, last))
+                held = held.slice(last)
+        if held is not None and held.num_rows:
+            yield compare(held)
+
+    dealt = groups.repartition(*by).sortWithinPartitions(*by)
+    return dealt.mapInArrow(run, types).distinct()
+
+
+def _new_group(table: pa.Table, by: list[str]) -> np.ndarray:
+    """Whether each row starts another group than the row before."""
+    changed = np.zeros(table.num_rows, bool)
+    for c in by:
+        changed |= np.diff(np.asarray(table.column(c)), prepend=0) != 0
+    changed[:1] = True
+    return changed
 
 
 def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -273,15 +338,21 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", width: i
     fits = F.least("n", "n_leader") >= ratio * F.greatest("n", "n_leader")
     pairs = members.where((F.col("rep") != F.col("leader")) & fits).select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
     likely = common.cut_lineage(_likely(pairs, classes, floor))
-    # First each class with its smallest likely leader, then whatever that leaves apart.
-    links = common.cut_lineage(_confirmed(likely.groupBy("a").agg(F.min("b").alias("b")), texts, width, percent))
     twice = some.groupBy("_key").agg(F.min("set_hash").alias("low"), F.max("set_hash").alias("high")).where("low != high").select("_key")
     keyed = common.cut_lineage(some.select("_key", "set_hash").join(twice, "_key").join(reps, "set_hash").select(F.col("_key").alias("a"), F.col("rep").alias("b")))
-    roots = common.cut_lineage(components(links.union(keyed)))
+    links = keyed.union(_confirmed(likely.groupBy("a").agg(F.max_by("b", F.struct("alike", -F.col("b"))).alias("b")), texts, width, percent))
+    links = common.cut_lineage(links)
+    roots = common.cut_lineage(components(links))
     apart = _rooted(_rooted(likely, roots, "a", "root_a"), roots, "b", "root_b").where("root_a != root_b").select("a", "b")
-    rest = apart.union(_left_over(members.select("bucket", "rep", "n"), classes, roots, floor, ratio)).distinct()
-    more = common.cut_lineage(_confirmed(common.cut_lineage(rest), texts, width, percent))
-    roots = common.cut_lineage(components(links.union(keyed).union(more)))
+    for most in (0, *ROUNDS):
+        if most != 0:
+            groups = common.cut_lineage(_groups(members.select("bucket", "band", "rep", "n"), classes, roots, ratio))
+            apart = _compared(groups, floor, ratio, most)
+        apart = common.cut_lineage(apart)
+        if apart.isEmpty():
+            continue
+        links = common.cut_lineage(links.union(_confirmed(apart, texts, width, percent)))
+        roots = common.cut_lineage(components(links))
 
     of_class = common.cut_lineage(_rooted(reps, roots, "rep", "root").select("set_hash", "root"))
     out = rows.select("_key", "n_shingles", "set_hash").join(of_class, "set_hash", "left")
