@@ -35,7 +35,7 @@ QUANTILES, REACH, LEAST_REACH = (0.5, 0.95), 4.0, 0.45
 PRIOR_CHARS = 60.0
 SHARD_ROWS = 4 << 20
 #: Bytes of text whose n-grams are counted or looked up at once: some fifty times as much memory.
-SLICE = 3 << 20
+SLICE = 3 << 19
 _KEPT_SHARDS: dict[str, tuple] = {}
 
 
@@ -149,7 +149,7 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
 
 def write_model(model: DataFrame) -> tuple[str, int]:
     """Write the model in shards of bounded size by the key of the n-gram; folder and shards."""
-    types = common.schema("key long, alpha double, gamma double")
+    types = common.schema("key long, alpha float, gamma float")
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,10 +177,13 @@ def _shard(folder: str, i: int, shards: int) -> tuple[np.ndarray, np.ndarray, np
     name = f"{folder}/shard={i}"
     if name not in _KEPT_SHARDS:
         files, path = fs.FileSystem.from_uri(name if ":" in name else f"file://{name}")
-        table = pq.ParquetDataset(path, filesystem=files, partitioning=None).read() if files.get_file_info(path).type != fs.FileType.NotFound else pa.table({"key": pa.array([], pa.int64()), "alpha": pa.array([], pa.float64()), "gamma": pa.array([], pa.float64())})
-        keys = np.asarray(table.column("key"))
-        order = np.argsort(keys)
-        found = keys[order], np.asarray(table.column("alpha"))[order], np.asarray(table.column("gamma"))[order]
+        table = pq.ParquetDataset(path, filesystem=files, partitioning=None).read() if files.get_file_info(path).type != fs.FileType.NotFound else pa.table({"key": pa.array([], pa.int64()), "alpha": pa.array([], pa.float32()), "gamma": pa.array([], pa.float32())})
+        keys, alpha, gamma = (np.asarray(table.column(c)) for c in ("key", "alpha", "gamma"))
+        del table
+        if (keys[1:] < keys[:-1]).any():  # more than one file
+            order = np.argsort(keys)
+            keys, alpha, gamma = keys[order], alpha[order], gamma[order]
+        found = keys, alpha, gamma
         if shards > 2:
             return found
         _KEPT_SHARDS.clear() if len(_KEPT_SHARDS) > 2 else None
