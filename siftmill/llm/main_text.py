@@ -401,7 +401,10 @@ def main_texts(model: Labeller, pages: list[str]) -> list[str]:
 
 def fit(df: DataFrame, key: str = "page_id", html: str = "html") -> Labeller:
     """Labeller trained on ``SAMPLE_PAGES`` pages, those with the smallest hashes of their keys."""
-    rows = df.where(F.col(html).isNotNull()).select(F.xxhash64(F.col(key).cast("long")).alias("_order"), F.col(html).alias("_html")).orderBy("_order", "_html").limit(SAMPLE_PAGES).collect()
+    pages = df.where(F.col(html).isNotNull()).select(F.xxhash64(F.col(key).cast("long")).alias("_order"), F.col(html).alias("_html"))
+    # The last hash is found without the pages: otherwise every partition would send a sample of its own.
+    last = pages.select("_order").orderBy("_order").limit(SAMPLE_PAGES).agg(F.max("_order").alias("last")).first()["last"]
+    rows = pages.where(F.col("_order") <= last).orderBy("_order", "_html").limit(SAMPLE_PAGES).collect() if last is not None else []
     return train([r["_html"] for r in rows])
 
 
