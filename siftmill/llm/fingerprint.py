@@ -2,7 +2,8 @@
 
 A feature is a window of ``WINDOW`` bytes. Its entropy is counted over all windows of all
 documents; the rarer an entropy, the more improbable the feature. Among every ``SPAN`` windows in a
-row the rarest (leftmost of equals) scores, and windows that score often enough are selected. Their
+row the rarest (leftmost of equals) scores, and windows that score often enough are selected, or
+those that score most in a text where none does: every text but the empty one has a feature. Their
 hashes go into a chain of Bloom filters, each of ``BITS`` bits and at most ``FULL`` features, and
 two digests are as alike as their filters' bits overlap beyond chance.
 """
@@ -60,10 +61,10 @@ def entropies(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.clip(level >> 12, 0, LEVELS), at, ends
 
 
-def selected(level: np.ndarray, ends: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Indexes of the windows that are the rarest of ``OFTEN`` or more spans of their text.
+def popularity(level: np.ndarray, ends: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Number of spans of its text in which each window is the rarest.
 
-    A text with fewer windows than a span has one span of all of them, whose rarest is selected.
+    A text with fewer windows than a span has one span of all of them, whose rarest has ``OFTEN``.
     """
     if not len(level):
         return np.zeros(0, np.int64)
@@ -82,7 +83,23 @@ def selected(level: np.ndarray, ends: np.ndarray, rank: np.ndarray) -> np.ndarra
     if len(short):
         parts = [slice(ends[i], ends[i + 1]) for i in short]
         score[[p.start + int(value[p].argmin()) for p in parts]] = OFTEN
-    return np.flatnonzero(score >= OFTEN)
+    return score
+
+
+def selected(level: np.ndarray, ends: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Indexes of the windows that are the rarest of ``OFTEN`` or more spans of their text."""
+    return np.flatnonzero(popularity(level, ends, rank) >= OFTEN)
+
+
+def features(level: np.ndarray, ends: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """As ``selected``, but a text none of whose windows is selected has its most popular ones: it
+    has fewer than ``OFTEN`` spans, or its rarest windows recur so soon that they share the spans."""
+    score = popularity(level, ends, rank)
+    n = np.diff(ends)
+    if not len(score):
+        return score
+    most = np.maximum.reduceat(score, ends[:-1][n > 0])
+    return np.flatnonzero(score >= np.repeat(np.minimum(most, OFTEN), n[n > 0]))
 
 
 def feature_hashes(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -120,7 +137,7 @@ def digests(texts: pa.Array, rank: np.ndarray) -> list[np.ndarray]:
     """Chain of filters of each text."""
     flat, offsets = arrays.text_bytes(texts)
     level, at, ends = entropies(flat, offsets)
-    chosen = selected(level, ends, rank)
+    chosen = features(level, ends, rank)
     hashes = feature_hashes(flat, at[chosen])
     cut = np.searchsorted(chosen, ends)
     return [chain(hashes[cut[i] : cut[i + 1]]) if ends[i + 1] > ends[i] else whole_digest(flat[offsets[i] : offsets[i + 1]]) for i in range(len(offsets) - 1)]

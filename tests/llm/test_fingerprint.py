@@ -78,3 +78,24 @@ def test_small_and_clashing_tables(frame):
     assert fingerprint.fingerprints(frame([])).count() == 0
     one = fingerprint.fingerprints(frame([(7, "alone", 1, 2)], "doc_id long, text string, _block int, near_next int")).collect()
     assert len(one) == 1 and one[0].near_next == 1.0 and one[0].edited_sha256 == hashlib.sha256(b"aloal").hexdigest()
+
+
+def test_every_text_has_a_feature():
+    rng = random.Random(11)
+    rank = np.random.default_rng(3).permutation(fingerprint.LEVELS + 1)
+    letters = "abcdefghijklmnopqrstuvwxyz     "
+    short = ["".join(rng.choice(letters) for _ in range(n)) for n in range(127, 142)]
+    periodic = [(c * 600)[:n] for c, n in (("x", 500), ("yz", 500), ("word ", 20_000), ("another ", 9_000), ("fifteen letters", 300))]
+    texts = short + periodic + ["", "tiny", "".join(rng.choice(letters) for _ in range(3_000))]
+    found = fingerprint.digests(pa.array(texts, pa.large_string()), rank)
+    assert [bool(f.any()) for f in found] == [bool(t) for t in texts]
+    for i in range(len(texts)):
+        assert fingerprint.likeness(found[i], found[i]) == 1.0
+        assert all(fingerprint.likeness(found[i], found[k]) < 0.5 for k in range(i))
+    # One more word or period, across the length from which every window can be selected.
+    grown = [t + " and one more word" for t in short] + [t + t[: len(c)] for t, c in zip(periodic, ("x", "yz", "word ", "another ", "fifteen letters"), strict=True)]
+    after = fingerprint.digests(pa.array(grown, pa.large_string()), rank)
+    alike = [fingerprint.likeness(a, b) for a, b in zip(found, after, strict=False)]
+    assert np.mean(np.array(alike[: len(short)]) > 0.4) > 0.8 and min(alike[len(short) :]) > 0.9
+    # A text's features do not depend on its neighbours in the batch.
+    assert all((fingerprint.digests(pa.array([t], pa.large_string()), rank)[0] == f).all() for t, f in zip(texts, found, strict=True))
