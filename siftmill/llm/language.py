@@ -5,6 +5,10 @@
 * Address suffix: the same for the last label of the host name.
 * Host: a prior per host, smoothed towards its domain and that towards all rows. The counts are
   grouped sums of what the texts alone say, and leave the row itself out.
+
+These choose among the labelled languages. Whether a text is in any of them is decided by its mean
+log likelihood: it may not lie farther below the middle of its language's own documents than half
+the way from nearly all of these to a text of uniform trigrams. Short texts need more evidence.
 """
 
 from __future__ import annotations
@@ -37,6 +41,8 @@ STRONG_TRIGRAMS, SHARE = 300, 0.4
 #: Weight, in rows, of the parent in a smoothed host prior and of agreement in a declared value.
 HOST_WEIGHT, DECLARED_WEIGHT, SUFFIX_WEIGHT = 5.0, 20.0, 20.0
 LEAST_POSTERIOR = 0.6
+#: This share of a language's own documents bounds how unlikely its texts may be.
+OWN_SHARE = 0.99
 #: Hosts with more than this share of the rows are answered by a broadcast of their few rows.
 HOT_HOST = 1e-3
 
@@ -93,6 +99,14 @@ class TextModel:
 
     languages: list[str]
     table: np.ndarray  # languages x BUCKETS
+    middle: np.ndarray  # of the mean log likelihoods of a language's documents
+    limit: np.ndarray  # largest shortfall of a text of the language
+
+    def foreign(self, told: np.ndarray, n: np.ndarray, lang: np.ndarray) -> np.ndarray:
+        """Whether each text is too unlikely for its language ``lang``; a text without trigrams is not."""
+        strong = np.minimum(n, STRONG_TRIGRAMS)
+        mean = told[np.arange(len(n)), lang] / (SHARE * np.maximum(strong, 1))
+        return (n > 0) & (shortfall(self.middle[lang], mean, strong) > self.limit[lang])
 
     def log_likelihoods(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Tempered log likelihood of each text in each language, and its number of trigrams."""
@@ -105,6 +119,48 @@ class TextModel:
         return out, n
 
 
+def shortfall(middle, mean, n):
+    """How far a mean over ``n`` trigrams lies below the middle, less for a short text."""
+    return (middle - mean) * np.sqrt(np.minimum(n, STRONG_TRIGRAMS) / STRONG_TRIGRAMS)
+
+
+def calibrate(chosen: DataFrame, names: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``middle`` and ``limit`` of each language from the sampled documents, each scored with its
+    own trigrams left out of the counts. A document likelier in another language is mislabelled
+    and does not count; a language without documents has no limit."""
+    types = common.schema("language int, n long, mean double")
+    total = table.sum(1)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = {x: i for i, x in enumerate(names)}
+        for batch in batches:
+            for part in arrays.slices(batch, "_text", SLICE):
+                found, ends = trigrams(arrays.plain_texts(part.column("_text")))
+                n = np.diff(ends)
+                lang = np.array([place[x] for x in part.column("_lang").to_pylist()], np.int64)
+                _, at, own = np.unique(arrays.segment_ids(ends) * BUCKETS + found, return_inverse=True, return_counts=True)
+                left = table[np.repeat(lang, n), found] - own[at.ravel()]
+                mean = arrays.segment_sums(np.log(left), ends) / np.maximum(n, 1) - np.log(total[lang] - n)
+                other = np.full(len(n), -np.inf)
+                for i, row in enumerate(table):
+                    told = arrays.segment_sums(np.log(row / total[i])[found], ends) / np.maximum(n, 1)
+                    other = np.where(lang == i, other, np.maximum(other, told))
+                at = (n > 0) & (mean >= other)
+                yield common.arrow_out({"language": lang[at].astype(np.int32), "n": n[at], "mean": mean[at]}, types)
+
+    scored = common.cut_lineage(chosen.mapInArrow(score, types))
+    middles = scored.groupBy("language").agg(F.percentile("mean", F.lit(0.5)).alias("middle"))  # one row a language
+    strong = F.least(F.col("n"), F.lit(STRONG_TRIGRAMS)) / STRONG_TRIGRAMS
+    short = (F.col("middle") - F.col("mean")) * F.sqrt(strong)
+    found = scored.join(F.broadcast(middles), "language").groupBy("language", "middle").agg(F.percentile(short, F.lit(OWN_SHARE)).alias("own")).collect()
+    middle, limit = np.zeros(len(names)), np.full(len(names), np.inf)
+    for r in found:
+        middle[r["language"]] = r["middle"]
+        uniform = r["middle"] + np.log(BUCKETS)  # the shortfall of a long text of uniform trigrams
+        limit[r["language"]] = max(r["own"], (r["own"] + uniform) / 2)
+    return middle, limit
+
+
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> TextModel:
     """Text model from a bounded sample of labelled documents: about ``SAMPLE_DOCS`` of each
     language by a hash of the key, at most ``MOST_LANGUAGES`` languages, each taken whole."""
@@ -112,7 +168,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     n = labelled.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(MOST_LANGUAGES).collect()
     names = sorted(r["_lang"] for r in n)
     if not names:
-        return TextModel([], np.zeros((0, BUCKETS)))
+        return TextModel([], np.zeros((0, BUCKETS)), np.zeros(0), np.zeros(0))
     share = F.create_map(*[x for r in n for x in (F.lit(r["_lang"]), F.lit(min(1.0, SAMPLE_DOCS / r["count"])))])
     chosen = labelled.where(F.pmod(F.xxhash64("_key", F.lit(7)), F.lit(1_000_000)) < 1_000_000 * F.coalesce(share[F.col("_lang")], F.lit(0.0)))
     types = common.schema("language int, bucket int, n long")
@@ -129,7 +185,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     cells = chosen.mapInArrow(count, types).groupBy("language", "bucket").agg(F.sum("n").alias("n")).toPandas()  # languages x BUCKETS at most
     table = np.full((len(names), BUCKETS), 0.5)
     np.add.at(table, (cells["language"].to_numpy(), cells["bucket"].to_numpy()), cells["n"].to_numpy())
-    return TextModel(names, np.log(table / table.sum(1, keepdims=True)))
+    return TextModel(names, np.log(table / table.sum(1, keepdims=True)), *calibrate(chosen, names, table))
 
 
 def evidence(df: DataFrame, model: TextModel, key: str, text: str, url: str | None, declared: str | None, html: bool) -> DataFrame:
@@ -153,6 +209,8 @@ def evidence(df: DataFrame, model: TextModel, key: str, text: str, url: str | No
                 told, n = model.log_likelihoods(texts)
                 likely = np.exp(told - told.max(1, keepdims=True)) if told.size else told
                 likely /= np.maximum(likely.sum(1, keepdims=True), 1e-300)
+                if told.size:  # a text in none of the languages says nothing about its host or declaration
+                    likely[model.foreign(told, n, told.argmax(1))] = 0.0
                 hosts = [host_parts(u) for u in part.column("_url").to_pylist()]
                 lists = {c: pa.array(v.tolist(), pa.list_(pa.float64())) for c, v in (("told", told), ("posterior", likely))}
                 names = {c: [h[i] for h in hosts] for i, c in enumerate(("host", "domain", "suffix"))}
@@ -171,7 +229,8 @@ def identify(df: DataFrame, model: TextModel, key: str, text: str, url: str | No
     """One row for each row of ``df``: key, ``lang``, ``posterior``, ``text_lang``, ``declared``, ``host``, ``kept``.
 
     ``lang`` has the largest posterior; ties go to the first name. ``kept`` tells that the posterior
-    reaches ``LEAST_POSTERIOR``. A null or empty text says nothing, so the other evidence decides;
+    reaches ``LEAST_POSTERIOR`` and that the text is not too unlikely for ``lang``, as one in none of
+    the labelled languages is; ``text_lang`` is null if it is too unlikely for each. A null or empty text says nothing, so the other evidence decides;
     a null or broken address has the empty host, and a missing declaration counts as a value of its
     own. Without labelled languages every ``lang`` is null and nothing is kept. Repeated rows and
     null keys are judged row by row; other columns are ignored; an empty table gives an empty
@@ -222,8 +281,11 @@ def identify(df: DataFrame, model: TextModel, key: str, text: str, url: str | No
             p = np.exp(score)
             p /= p.sum(1, keepdims=True)
             best, text_best = p.argmax(1), told.argmax(1)
+            counts_of = np.asarray(batch.column("trigrams"))
+            known = ~model.foreign(told, counts_of, best)
+            seen &= ~model.foreign(told, counts_of, text_best)
             out = {"_key": batch.column("_key"), "host": batch.column("host"), "declared": batch.column("declared"), "lang": [names[i] for i in best], "posterior": p.max(1)}
-            yield common.arrow_out(out | {"text_lang": [names[i] if s else None for i, s in zip(text_best, seen, strict=True)], "kept": p.max(1) >= LEAST_POSTERIOR}, types)
+            yield common.arrow_out(out | {"text_lang": [names[i] if s else None for i, s in zip(text_best, seen, strict=True)], "kept": (p.max(1) >= LEAST_POSTERIOR) & known}, types)
 
     wanted = ["_key", "host", "suffix", "declared", "trigrams", "told", "posterior", "of_host", "of_domain", "of_suffix", "of_declared"]
     out = placed.select(*wanted).mapInArrow(fuse, types)
@@ -231,6 +293,6 @@ def identify(df: DataFrame, model: TextModel, key: str, text: str, url: str | No
 
 
 def keep_identified(df: DataFrame, model: TextModel, key: str = "doc_id", text: str = "text", declared: str | None = "lang", source: str | None = "source") -> DataFrame:
-    """``df`` without the rows whose language stays uncertain; rows of one key go or stay together.
+    """``df`` without the rows whose language stays uncertain or is none of the labelled ones; rows of one key go or stay together.
     The source of a document stands for its host."""
     return common.without(df, key, identify(df, model, key, text, source, declared).where("not kept").select(key))

@@ -95,3 +95,33 @@ def test_odd_tables(frame, model):
     clash = frame([(1, "quement eau", "bb", "s", 7)], "doc_id long, text string, lang string, source string, posterior int")
     kept = language.keep_identified(clash, model).collect()
     assert len(kept) == 1 and kept[0].posterior == 7
+
+
+FOREIGN = {
+    500: "Съешь же ещё этих мягких французских булок да выпей чаю, потом ещё раз. " * 6,
+    501: "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. " * 6,
+    502: "人人生而自由在尊严和权利上一律平等他们赋有理性和良心并应以兄弟关系的精神相对待" * 8,
+    503: "xkcd qwrt zzkp bvnm hjkl wqrtp sdfgh mnbvc lkjhg trwqp " * 8,
+}
+
+
+def test_foreign_texts_are_rejected(frame, model):
+    rng = random.Random(12)
+    known = [(i, prose(rng, lang, rng.choice([1, 3, 20, 200])), lang, "src") for i, lang in enumerate(list(STEMS) * 40)]
+    foreign = [(k, t, lang, "src") for (k, t), lang in zip(FOREIGN.items(), ("aa", "bb", None, "cc"), strict=True)]
+    uncertain = [(600, "thing " * 3 + "que eau " * 3, "bb", "src"), (601, None, None, "other")]
+    docs = frame(known + foreign + uncertain)
+    out = {r.doc_id: r for r in language.identify(docs, model, "doc_id", "text", "source", "lang").collect()}
+    assert not any(out[k].kept or out[k].text_lang for k in FOREIGN) and not out[601].kept
+    assert all(out[k].kept and out[k].lang == lang for k, _, lang, _ in known)
+    left = {r.doc_id for r in language.keep_identified(docs, model).collect()}
+    assert not left & {*FOREIGN, 601} and {k for k, *_ in known} <= left
+
+
+def test_stage_rejects_foreign_texts(spark, frame):
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    docs = [(i, prose(rng, lang, 60), lang, f"src{i % 3}") for i, lang in enumerate(list(STEMS) * 20)]
+    docs = frame(docs + [(k, t, None, "src0") for k, t in FOREIGN.items()])
+    assert {r.doc_id for r in corpus_pipeline.identified(spark, docs, "").collect()} == set(range(60))
