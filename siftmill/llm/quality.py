@@ -8,7 +8,7 @@ the different n-grams of a batch and looks them up shard by shard, so neither th
 task ever holds the whole model, and the texts are never shuffled.
 
 A part of the trusted documents stays out of the counts. The quantiles of their scores give each
-language its threshold.
+language, and in it short and long texts, a threshold.
 """
 
 from __future__ import annotations
@@ -27,9 +27,12 @@ ORDER = 5
 BEGIN, END = 2, 3  # code points that stand before and after a text
 #: One trusted document in so many, chosen by hash, calibrates instead of being counted.
 HELD_OUT = 8
-#: A threshold lies so many times the distance of these quantiles above the middle one, and at
-#: least so far: a few held-out documents may happen to be alike.
-QUANTILES, REACH, LEAST_REACH = (0.5, 0.95), 4.0, 0.45
+#: A threshold is the last of these held-out quantiles, or where few documents are held out the
+#: bound that it exceeds with a chance of 1 in 20 only, judged by the distance of the other two.
+QUANTILES, NORMAL_95, NORMAL_99 = (0.5, 0.95, 0.99), 1.645, 2.326
+#: Texts of fewer characters have thresholds of their own, and so have longer ones, where at least
+#: so many documents of the language and length are held out.
+SHORT_CHARS, FEWEST = 1_000, 20
 #: Characters of the middle score that every document is credited with: a short one needs more
 #: evidence against it.
 PRIOR_CHARS = 60.0
@@ -241,12 +244,41 @@ def scores(rows: DataFrame, folder: str, shards: int, order: int = ORDER) -> Dat
     return rows.select("_key", "_lang", "_fold", "_text").mapInArrow(score, types)
 
 
+def excess_limits(held: DataFrame, out) -> DataFrame:
+    """``_lang``, ``short``, ``reach``: the largest excess over the middle that a text may have.
+
+    From the held-out documents of the language and length if they are ``FEWEST`` or more, else
+    from those of the language; then their spread is at least that of all its trusted documents.
+    """
+
+    def summary(side, name: str) -> list:
+        return [F.count(F.when(side, 1)).alias(f"n_{name}"), F.percentile_approx(F.when(side, F.col("excess")), list(QUANTILES), 10_000).alias(f"q_{name}")]
+
+    def bound(n, q, spread):
+        # The usual approximation of a one-sided normal tolerance factor; that of few documents is large.
+        a = F.greatest(1 - NORMAL_95**2 / (2 * F.greatest(n - 1, F.lit(1))), F.lit(0.1))
+        b = NORMAL_99**2 - NORMAL_95**2 / n
+        factor = (NORMAL_99 + F.sqrt(NORMAL_99**2 - a * b)) / a
+        return F.greatest(q[2], q[0] + factor * spread / NORMAL_95)
+
+    def apart(q):
+        return q[1] - q[0]
+
+    by_lang = held.groupBy("_lang").agg(*summary(out, "out"), *summary(F.lit(True), "all"))
+    few_n, few_q = F.when(F.col("n_out") > 0, F.col("n_out")).otherwise(F.col("n_all")), F.coalesce("q_out", "q_all")
+    wide = by_lang.select("_lang", bound(few_n, few_q, F.greatest(apart(few_q), apart(F.col("q_all")))).alias("wide"))
+    own = held.groupBy("_lang", "short").agg(*summary(out, "own"))
+    own = own.where(F.col("n_own") >= FEWEST).select("_lang", "short", bound(F.col("n_own"), F.col("q_own"), apart(F.col("q_own"))).alias("own"))
+    every = wide.withColumn("short", F.explode(F.array(F.lit(True), F.lit(False))))
+    return every.join(own, ["_lang", "short"], "left").select("_lang", "short", F.coalesce("own", "wide").alias("reach"))
+
+
 def classify(df: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", order: int = ORDER) -> DataFrame:
     """One row for each row of ``df``: key, language, ``n_chars``, ``perplexity``, ``threshold``, ``kept``.
 
     ``trusted`` holds the keys of trusted documents in its first column; repeated or null keys in
     it do not matter. A row is rejected when its mean loss, with ``PRIOR_CHARS`` characters of its
-    language's middle loss added, lies above the threshold. A null or empty text, or one of white
+    language's middle loss added, lies above the threshold of its language and length. A null or empty text, or one of white
     space only, is rejected. A null language is a language of its own; a language without trusted
     text has no model: perplexity and threshold are null and its documents are kept. Repeated rows
     and null keys are judged row by row; other columns are ignored; an empty table gives an empty
@@ -262,12 +294,15 @@ def classify(df: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str =
     mean = F.col("loss") / (F.col("n_chars") + 1)
     held = scored.where("n_ink > 0 and loss is not null and _fold is not null")
     # A language whose held-out part is empty is calibrated on all its trusted documents.
-    sides = held.groupBy("_lang").agg(*[F.percentile_approx(F.when(side, mean), list(QUANTILES), 10_000).alias(n) for n, side in (("out", F.col("_fold") == 0), ("all", F.lit(True)))])
-    q = F.coalesce("out", "all")
-    limits = sides.select(F.col("_lang"), q[0].alias("middle"), (q[0] + F.greatest(REACH * (q[1] - q[0]), F.lit(LEAST_REACH))).alias("limit"))
-    judged = scored.join(broadcast_if_small(common.cut_lineage(limits)), "_lang", "left")
-    shrunk = (F.col("loss") + PRIOR_CHARS * F.col("middle")) / (F.col("n_chars") + 1 + PRIOR_CHARS)
-    kept = (F.col("n_ink") > 0) & F.coalesce(shrunk <= F.col("limit"), F.lit(True))
+    out = F.col("_fold") == 0
+    sides = held.groupBy("_lang").agg(*[F.percentile_approx(F.when(side, mean), 0.5, 10_000).alias(n) for n, side in (("out", out), ("all", F.lit(True)))])
+    middles = broadcast_if_small(common.cut_lineage(sides.select("_lang", F.coalesce("out", "all").alias("middle"))))
+    scored = scored.join(middles, "_lang", "left").withColumn("short", F.col("n_chars") < SHORT_CHARS)
+    scored = scored.withColumn("excess", (F.col("loss") - F.col("middle") * (F.col("n_chars") + 1)) / (F.col("n_chars") + 1 + PRIOR_CHARS))
+    held = scored.where("n_ink > 0 and loss is not null and _fold is not null")
+    limits = broadcast_if_small(common.cut_lineage(excess_limits(held, out)))
+    judged = scored.join(limits, ["_lang", "short"], "left").withColumn("limit", F.col("middle") + F.col("reach"))
+    kept = (F.col("n_ink") > 0) & F.coalesce(F.col("excess") <= F.col("reach"), F.lit(True))
     named = F.when(F.col("_lang") != "", F.col("_lang"))
     return judged.select(F.col("_key").alias(key), named.alias(lang), "n_chars", F.exp(mean).alias("perplexity"), F.exp("limit").alias("threshold"), kept.alias("kept"))
 

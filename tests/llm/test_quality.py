@@ -110,3 +110,26 @@ def test_filter_keeps_columns(judged, frame, spark):
     assert quality.classify(docs, names.where("false")).where("not kept").count() == 3  # no model: only texts without ink go
     clash = frame([(1, "a b", "xx", 5, 7)], "doc_id long, text string, lang string, loss int, _gone int")
     assert quality.keep_good(clash, names).count() == 1
+
+
+def test_repetition_and_menus_are_rejected(spark, frame):
+    rng = random.Random(21)
+    words = ["".join(rng.choice(["lo", "rem", "ip", "sum", "do", "lor", "ta", "ne"]) for _ in range(rng.randrange(1, 4))) for _ in range(60)]
+    after = {w: rng.sample(words, 6) for w in words}
+
+    def chained(n):
+        line = [rng.choice(words)]
+        while len(line) < n:
+            line.append(rng.choice(after[line[-1]]))
+        return " ".join(line) + "."
+
+    good = [(i, chained(rng.choice([5, 30, 200, 400])), "xx") for i in range(400)]
+    junk = {}
+    for i in range(30):
+        w = rng.choice(["ip", "Thsh", "mmm", "tane"])
+        junk[1000 + i] = chained(100) + "\n" + f"{w} " * 150
+        junk[2000 + i] = chained(150) + "\n" + " | ".join(rng.choice(words) for _ in range(40))
+    names = spark.createDataFrame([(i,) for i in range(300)], "doc_id long")
+    kept = {r.doc_id: r.kept for r in quality.classify(frame(good + [(k, t, "xx") for k, t in junk.items()]), names).collect()}
+    of = [np.mean([kept[lo + i] for i in range(n)]) for lo, n in ((300, 100), (1000, 30), (2000, 30))]
+    assert of[0] >= 0.97 and of[1] < 0.4 and of[2] < 0.1, of
