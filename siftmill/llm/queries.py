@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siftmill.llm import fingerprint, language, main_text, near_copies, nearest, packing, piece_lattice, quality, token_counts, token_files
+from siftmill.llm import fingerprint, language, main_text, manifest, near_copies, nearest, oracles, packing, piece_lattice, quality, spelling, token_counts, token_files, toxicity
 from siftmill.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,5 +61,23 @@ def op10_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_lattice.round_trip(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_classifier, op2_token_files, op3_main_text, op4_fingerprints, op5_best_fit_packing, op6_near_copies, op7_exact_top_k, op8_language_id, op9_token_counts, op10_piece_lattice)}
-ORACLES: dict[str, str] = {}
+def _key_hash() -> Column:
+    """Unsigned crc32 of the decimal ``doc_id``."""
+    return F.crc32(F.col("doc_id").cast("string"))
+
+
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(read(spark, sf_dir, "documents"), slips=31))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = read(spark, sf_dir, "documents"), _key_hash() % 4 == 2
+    return toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels").where(~held)), held_out=held)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(read(spark, sf_dir, "documents"), tampered=_key_hash() % 3 == 0)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_classifier, op2_token_files, op3_main_text, op4_fingerprints, op5_best_fit_packing, op6_near_copies, op7_exact_top_k, op8_language_id, op9_token_counts, op10_piece_lattice, op11_spelling_variants, op12_toxicity, op13_merkle_manifest)}
+ORACLES: dict[str, str] = {"op11_spelling_variants": oracles.VARIANTS, "op13_merkle_manifest": oracles.MANIFEST}
