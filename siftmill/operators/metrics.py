@@ -29,7 +29,7 @@ def score_counts(df: DataFrame, by: Sequence[str], y: str = Y, p: str = P) -> Da
     )
 
 
-def _cumulative(df: DataFrame, by: Sequence[str], y: str, p: str, buckets: int | None, bounds: Sequence[float] | None) -> DataFrame:
+def cumulative(df: DataFrame, by: Sequence[str], y: str, p: str, buckets: int | None, bounds: Sequence[float] | None) -> DataFrame:
     cuts = plan_buckets(df.select(F.col(p).cast("double").alias(P)), P, buckets) if bounds is None else bounds
     return running_totals(
         score_counts(df, by, y, p), by, [P], {"cpos": F.col("pos"), "cneg": F.col("neg")}, cuts,
@@ -45,7 +45,7 @@ def _u_statistic() -> Column:
 
 def auc(df: DataFrame, by: Sequence[str] = (), y: str = Y, p: str = P, buckets: int | None = None, bounds: Sequence[float] | None = None) -> DataFrame:
     """Midrank AUC per group with class counts; NULL when a class is missing."""
-    cum = _cumulative(df, by, y, p, buckets, bounds)
+    cum = cumulative(df, by, y, p, buckets, bounds)
     agg = cum.groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), _u_statistic().alias("_u"))
     pairs = F.col("n_pos").cast("double") * F.col("n_neg")
     return agg.withColumn("auc", F.try_divide(F.col("_u"), pairs)).drop("_u")
@@ -53,7 +53,7 @@ def auc(df: DataFrame, by: Sequence[str] = (), y: str = Y, p: str = P, buckets:
 
 def ranking_metrics(df: DataFrame, by: Sequence[str] = (), y: str = Y, p: str = P, buckets: int | None = None, bounds: Sequence[float] | None = None) -> DataFrame:
     """AUC, average precision and KS of every group from one set of running counts."""
-    rows = _cumulative(df, by, y, p, buckets, bounds)
+    rows = cumulative(df, by, y, p, buckets, bounds)
     # Seen from the top: everything at or above this score.
     above_pos = F.col("pos_all") - F.col("cpos") + F.col("pos")
     above_all = above_pos + F.col("neg_all") - F.col("cneg") + F.col("neg")
@@ -163,7 +163,7 @@ def _placement_variance(rows: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def auc_standard_error(df: DataFrame, by: Sequence[str] = (), y: str = Y, p: str = P, buckets: int | None = None) -> DataFrame:
     """DeLong standard error of the AUC per group."""
-    rows = _cumulative(df, by, y, p, buckets, None).where((F.col("pos_all") > 1) & (F.col("neg_all") > 1))
+    rows = cumulative(df, by, y, p, buckets, None).where((F.col("pos_all") > 1) & (F.col("neg_all") > 1))
     return _placement_variance(rows, by)
 
 

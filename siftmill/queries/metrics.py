@@ -84,11 +84,24 @@ def oot_power(spark, sf):
     return rounded(m.oot_power(b.preds(spark, sf).where("split = 'oot_dev'"), ["exp_id"]), 6, "auc_se", "mde")
 
 
-@query("paired_bootstrap", "M10,J5")
+REPLICATES = 200
+WEIGHT = " ".join(f"WHEN u < '{limit}' THEN {k}.0" for k, limit in enumerate(compare.poisson_limits()))
+BOOTSTRAP = f"""{PREDS}, w AS (SELECT a._row_id, a.y, a.p AS pn, b.p AS pb FROM preds a JOIN preds b USING (_row_id) WHERE a.exp_id = 'signal' AND b.exp_id = 'mix' AND a.split = 'oot_dev' AND a.y IS NOT NULL),
+rk AS (SELECT *, CAST(sum(y) OVER () AS DOUBLE) AS pp, CAST(sum(1 - y) OVER () AS DOUBLE) AS nn,
+  rank() OVER (ORDER BY pn) + (count(*) OVER (PARTITION BY pn) - 1) / CAST(2 AS DOUBLE) - rank() OVER (PARTITION BY y ORDER BY pn) - (count(*) OVER (PARTITION BY y, pn) - 1) / CAST(2 AS DOUBLE) AS dn,
+  rank() OVER (ORDER BY pb) + (count(*) OVER (PARTITION BY pb) - 1) / CAST(2 AS DOUBLE) - rank() OVER (PARTITION BY y ORDER BY pb) - (count(*) OVER (PARTITION BY y, pb) - 1) / CAST(2 AS DOUBLE) AS db FROM w),
+sh AS (SELECT _row_id, y, CASE WHEN y = 1 THEN (dn - db) / nn ELSE (db - dn) / pp END AS d FROM rk),
+us AS (SELECT y, d, rep, substr(md5('0|' || (rep // 4) || '|' || _row_id), 8 * (rep % 4) + 1, 8) AS u FROM sh, range({REPLICATES}) t(rep)),
+ws AS (SELECT y, d, rep, CASE {WEIGHT} ELSE 12.0 END AS wt FROM us),
+point AS (SELECT avg(d) AS delta FROM sh WHERE y = 1),
+reps AS (SELECT rep, sum(wt * d) FILTER (WHERE y = 1) / sum(wt) FILTER (WHERE y = 1) + sum(wt * d) FILTER (WHERE y = 0) / sum(wt) FILTER (WHERE y = 0) - max(delta) AS d FROM ws, point GROUP BY rep),
+q AS (SELECT quantile_cont(d, CAST(0.05 AS DOUBLE)) AS lo, quantile_cont(d, CAST(0.95 AS DOUBLE)) AS hi FROM reps)"""
+
+
+@query("paired_bootstrap", "M10,J5", f"{BOOTSTRAP} SELECT {r('delta')} AS delta, {r('lo')} AS ci_low, {r('hi')} AS ci_high, CAST(0.05 AS DOUBLE) AS alpha, lo > 0 AS significant FROM point, q")
 def paired_bootstrap(spark, sf):
-    """Bootstrap bounds are random draws; the tests check them against the DeLong interval."""
     pairs = compare.pair_predictions(b.preds(spark, sf).where("split = 'oot_dev'"), "signal", "mix")
-    return rounded(compare.paired_bootstrap(pairs, n=200), 6, "delta", "ci_low", "ci_high")
+    return rounded(compare.paired_bootstrap(pairs, n=REPLICATES), 6, "delta", "ci_low", "ci_high")
 
 
 @query("paired_delong", "M11,J5", f"""{PREDS}, w AS (SELECT a._row_id, a.y, a.p AS pn, b.p AS pb FROM preds a JOIN preds b USING (_row_id) WHERE a.exp_id = 'signal' AND b.exp_id = 'mix' AND a.split = 'oot_dev'),

@@ -72,10 +72,30 @@ def pairs(spark):
 
 @pytest.mark.parametrize("metric", ["auc", "ks", "pr_auc"])
 def test_bootstrap_finds_gain_not_noise(pairs, metric):
-    gain = compare.paired_bootstrap(pairs.select(ID, "y", "p_new", "p_base"), n=200, metric=metric).first()
-    assert gain["significant"] and gain["ci_low"] < gain["delta"] < gain["ci_high"]
-    same = compare.paired_bootstrap(pairs.select(ID, "y", F.col("p_same").alias("p_new"), "p_base"), n=200, metric=metric).first()
-    assert not same["significant"]
+    for form in (compare.approximate_bootstrap, *([compare.paired_bootstrap] if metric != "pr_auc" else [])):
+        gain = form(pairs.select(ID, "y", "p_new", "p_base"), n=200, metric=metric).first()
+        assert gain["significant"] and gain["ci_low"] < gain["delta"] < gain["ci_high"]
+        same = form(pairs.select(ID, "y", F.col("p_same").alias("p_new"), "p_base"), n=200, metric=metric).first()
+        assert not same["significant"]
+
+
+def test_bootstrap_is_one_rule_at_any_number_of_scores(pairs):
+    """Next to resampled rows in numpy, for scores all different, few and all equal."""
+    def area(y, p):
+        r = pd.Series(p).rank().to_numpy()
+        return (r[y == 1].mean() - ((y == 1).sum() + 1) / 2) / (y != 1).sum()
+
+    for digits in (9, 0, -3):
+        some = pairs.select(ID, "y", F.round("p_new", digits).alias("p_new"), F.round("p_base", digits).alias("p_base"))
+        d, rng = some.toPandas(), np.random.default_rng(4)
+        y, new, base = d["y"].to_numpy(), d["p_new"].to_numpy(), d["p_base"].to_numpy()
+        drawn = [area(y[i], new[i]) - area(y[i], base[i]) for i in (rng.integers(0, len(d), len(d)) for _ in range(400))]
+        got = compare.paired_bootstrap(some, n=400, buckets=3).first()
+        assert np.isclose(got["delta"], area(y, new) - area(y, base))
+        assert np.allclose([got["ci_low"], got["ci_high"]], np.quantile(drawn, [0.05, 0.95]), atol=0.004)
+        assert got == compare.paired_bootstrap(some.repartition(5, ID), n=400).first()
+    one = compare.paired_bootstrap(pairs.where("y = 1").select(ID, "y", "p_new", "p_base"), n=8).first()
+    assert one["delta"] is None and one["ci_low"] is None and one["significant"] is None
 
 
 def test_bootstrap_agrees_with_delong(pairs):
