@@ -47,6 +47,15 @@ def order_key(df: DataFrame, name: str) -> Column:
     return c.cast("double")
 
 
+def instant(df: DataFrame, name: str) -> Column:
+    """Microseconds of a date or timestamp column as a whole number, independent of the session time zone."""
+    key = order_key(df, name)
+    kind = df.schema[name].dataType
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(F.col(name))
+    return F.round(key * (86_400e6 if isinstance(kind, T.DateType) else 1e6)).cast("long")
+
+
 def plan_buckets(df: DataFrame, order: str, buckets: int | None = None, bytes_per_bucket: int = BUCKET_BYTES) -> list[float]:
     """Interior bucket boundaries for ``order``; empty when one bucket is small enough.
 
@@ -112,37 +121,44 @@ def running_totals(
     bucket_on: str | None = None,
     grand: dict[str, Column] | None = None,
     lowest: dict[str, Column] | None = None,
+    extremes: dict[str, tuple[str, Column]] | None = None,
 ) -> DataFrame:
     """Inclusive running totals per group, exact for any set of bucket boundaries.
 
+    ``extremes`` adds running minima and maxima: a name with ("min" or "max", column).
+
     ``order[0]`` (or ``bucket_on``) is the column the boundaries were planned for. ``grand`` adds
     whole-group totals to every row and ``lowest`` whole-group minima; they travel with the bucket offsets, so no join on the
     group alone (which a dominant group would skew) is needed.
     """
     whole_group = {**{n: (F.sum, c) for n, c in (grand or {}).items()}, **{n: (F.min, c) for n, c in (lowest or {}).items()}}
+    running = {**{n: (F.sum, c) for n, c in totals.items()}, **{n: (getattr(F, kind), c) for n, (kind, c) in (extremes or {}).items()}}
     lead = bucket_on or (order[0] if isinstance(order[0], str) else None)
     cut = assign_bucket(once(df, always=True) if bounds else df, lead, bounds)
     if not bounds:
         within = Window.partitionBy(*by, BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         whole = Window.partitionBy(*by, BUCKET)
-        made = {name: F.sum(c).over(within) for name, c in totals.items()}
+        made = {name: fn(c).over(within) for name, (fn, c) in running.items()}
         return cut.withColumns({**made, **{name: fn(c).over(whole) for name, (fn, c) in whole_group.items()}}).drop(BUCKET)
     # A struct key keeps NULL groups apart and lets window, aggregate and join share one layout.
     group = F.struct(*by) if by else F.struct(F.lit(0).alias("all"))
     cut = cut.withColumn("_g", group)
     within = Window.partitionBy("_g", BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inner = cut.withColumns({name: F.sum(c).over(within) for name, c in totals.items()})
-    parts = {**{f"_off_{n}": (F.sum, c) for n, c in totals.items()}, **whole_group}
+    inner = cut.withColumns({name: fn(c).over(within) for name, (fn, c) in running.items()})
+    parts = {**{f"_off_{n}": made for n, made in running.items()}, **whole_group}
     per_bucket = cut.groupBy("_g", BUCKET).agg(*[fn(c).alias(n) for n, (fn, c) in parts.items()])
     before = Window.partitionBy("_g").orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("_g")
     offsets = per_bucket.select(
         "_g", BUCKET,
         *[F.coalesce(F.sum(f"_off_{n}").over(before), F.lit(0)).alias(f"_off_{n}") for n in totals],
+        *[getattr(F, kind)(f"_off_{n}").over(before).alias(f"_off_{n}") for n, (kind, _) in (extremes or {}).items()],
         *[fn(n).over(whole).alias(n) for n, (fn, _) in whole_group.items()],
     )
     joined = inner.join(offsets, ["_g", BUCKET], "left")
-    return joined.withColumns({n: F.col(n) + F.col(f"_off_{n}") for n in totals}).drop("_g", BUCKET, *[f"_off_{n}" for n in totals])
+    shifted = {n: F.col(n) + F.col(f"_off_{n}") for n in totals}
+    shifted |= {n: (F.least if kind == "min" else F.greatest)(n, f"_off_{n}") for n, (kind, _) in (extremes or {}).items()}
+    return joined.withColumns(shifted).drop("_g", BUCKET, *[f"_off_{n}" for n in running])
 
 
 def row_positions(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], bounds: Sequence[float], name: str = "_pos", bucket_on: str | None = None) -> DataFrame:

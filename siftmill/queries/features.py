@@ -174,8 +174,8 @@ def feature_definitions(spark, sf):
 
 
 @query("observed_windows", "FA2,FA3", f"""
-WITH rows_ AS (SELECT o_orderkey, o_custkey, CAST(o_orderdate AS DATE) AS d, o_totalprice FROM orders),
-j AS (SELECT a.o_orderkey, b.o_totalprice, date_diff('day', b.d, a.d) AS age FROM rows_ a JOIN rows_ b ON a.o_custkey = b.o_custkey AND b.d < a.d)
+WITH rows_ AS (SELECT o_orderkey, o_custkey, o_orderdate AS t, o_totalprice FROM orders),
+j AS (SELECT a.o_orderkey, b.o_totalprice, date_diff('microsecond', b.t, a.t) / 86400000000.0 AS age FROM rows_ a JOIN rows_ b ON a.o_custkey = b.o_custkey AND b.t <= a.t)
 SELECT r.o_orderkey AS _row_id, CASE WHEN count(age) > 0 THEN count(*) FILTER (WHERE age <= 90) END AS count__w90, CASE WHEN count(age) > 0 THEN count(age) END AS count__wall,
        {r('sum(j.o_totalprice) FILTER (WHERE age <= 90)', 2)} AS sum_amount__w90, {r('avg(j.o_totalprice)', 6)} AS avg_amount__wall,
        min(j.o_totalprice) FILTER (WHERE age <= 90) AS min_amount__w90, max(j.o_totalprice) AS max_amount__wall
@@ -188,6 +188,28 @@ def observed_windows(spark, sf):
     return rounded(rounded(out, 2, "sum_amount__w90"), 6, "avg_amount__wall")
 
 
+_EVENT_WINDOWS = (0.25, 7, 90)
+
+
+def _tag(w):
+    return str(w).replace(".", "_")
+
+
+
+@query("observed_instants", "FA2,FA3", f"""
+WITH j AS (SELECT a.event_id, b.value, date_diff('microsecond', b.ts, a.ts) / 86400000000.0 AS age FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts <= a.ts WHERE a.event_type = 'purchase')
+SELECT event_id AS _row_id, {', '.join(f"""count(*) FILTER (WHERE age <= {w}) AS count__w{_tag(w)}, {r(f'sum(value) FILTER (WHERE age <= {w})', 4)} AS sum_v__w{_tag(w)}, {r(f'avg(value) FILTER (WHERE age <= {w})', 10)} AS avg_v__w{_tag(w)},
+  min(value) FILTER (WHERE age <= {w}) AS min_v__w{_tag(w)}, max(value) FILTER (WHERE age <= {w}) AS max_v__w{_tag(w)}""" for w in _EVENT_WINDOWS)}
+FROM j GROUP BY 1""")
+def observed_instants(spark, sf):
+    """What each purchase knew at its instant, with its own event and events of the same instant."""
+    e = table(spark, sf, "events")
+    rows = e.where("event_type = 'purchase'").select(F.col("event_id").alias(ID), "user_id", F.col("ts").alias(OBS))
+    out = factory.observed_window_totals(rows, e, "user_id", OBS, "ts", {"v": "value"}, _EVENT_WINDOWS, buckets=4).drop("user_id", OBS)
+    out = rounded(out, 4, *[f"sum_v__w{_tag(w)}" for w in _EVENT_WINDOWS])
+    return rounded(out, 10, *[f"avg_v__w{_tag(w)}" for w in _EVENT_WINDOWS])
+
+
 # ---- flagship -------------------------------------------------------------------------------
 
 FLAG_FEATURES = ["hist__a0__w180", "hist__a0__w365", "hist__a0__wall", "hist__a2__w365", "hist__a3__wall", "hist__a4__wall", "hist__recency2"]

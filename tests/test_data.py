@@ -57,11 +57,32 @@ def test_prose_is_not_an_aggregate():
 
 
 def test_no_history_and_none_in_window(spark):
-    rows = spark.createDataFrame([(1, 7, datetime.date(2020, 3, 1)), (2, 8, datetime.date(2020, 3, 1)), (3, 7, datetime.date(2020, 3, 1))], f"{ID} long, e long, obs date")
-    child = spark.createDataFrame([(7, datetime.date(2020, 1, 1), 5.0), (7, datetime.date(2020, 1, 1), 7.0), (7, datetime.date(2020, 3, 1), 99.0)], "e long, t date, v double")
+    rows = spark.createDataFrame([(1, 7, datetime.date(2020, 2, 29)), (2, 8, datetime.date(2020, 3, 1)), (3, 7, datetime.date(2020, 3, 1)), (4, None, None)], f"{ID} long, e long, obs date")
+    child = spark.createDataFrame([(7, datetime.date(2020, 1, 1), 5.0), (7, datetime.date(2020, 1, 1), 7.0), (7, datetime.date(2020, 3, 1), 99.0), (None, None, 1.0)], "e long, t date, v double")
     out = {r[ID]: r for r in factory.observed_window_totals(rows, child, "e", "obs", "t", {"v": "v"}, [30, "all"]).collect()}
-    assert out[1]["count__w30"] == 0 and out[1]["count__wall"] == 2 and out[1]["avg_v__wall"] == 6.0
-    assert out[2]["count__wall"] is None and out[3]["count__wall"] == 2
+    assert out[1]["count__w30"] == 0 and out[1]["sum_v__w30"] is None and out[1]["count__wall"] == 2 and out[1]["avg_v__wall"] == 6.0
+    assert out[2]["count__wall"] is None and out[3]["count__wall"] == 3 and out[3]["max_v__w30"] == 99.0 and out[4]["count__w30"] is None
+
+
+@pytest.mark.parametrize("buckets", [1, 9])
+def test_windows_at_exact_instants(spark, buckets):
+    """Every pair of row and event; one entity holds most events, instants repeat and precede 1970."""
+    rng = np.random.default_rng(buckets)
+    base = datetime.datetime(1969, 12, 28)
+    at = lambda: base + datetime.timedelta(hours=int(rng.integers(0, 200)), microseconds=int(rng.integers(0, 3)))
+    child = [(int(rng.choice([1, 1, 1, 2, 3])), at(), None if rng.random() < 0.2 else float(rng.integers(-50, 50))) for _ in range(300)]
+    rows = [(i, int(rng.choice([1, 2, 3, 4])), at()) for i in range(60)] + [(60, 1, child[0][1]), (61, 1, child[0][1])]
+    windows = {"0_5": 0.5, "2": 2, "all": None}
+    events = spark.createDataFrame(child, "e int, t timestamp_ntz, v double")
+    got = {r[ID]: r for r in factory.observed_window_totals(spark.createDataFrame(rows, f"{ID} long, e int, obs timestamp_ntz"), events, "e", "obs", "t", {"v": "v"}, [0.5, 2, "all"], buckets).collect()}
+    assert len(got) == len(rows)
+    for i, e, obs in rows:
+        seen = [(t, v) for x, t, v in child if x == e and t <= obs]
+        for tag, days in windows.items():
+            inside = [v for t, v in seen if days is None or obs - t <= datetime.timedelta(days=days)]
+            known = [v for v in inside if v is not None]
+            want = (len(inside), sum(known), sum(known) / len(known), min(known), max(known)) if known else (len(inside), None, None, None, None)
+            assert tuple(got[i][f"{c}__w{tag}"] for c in ("count", "sum_v", "avg_v", "min_v", "max_v")) == pytest.approx(want if seen else (None,) * 5), (i, tag)
 
 
 def test_feature_store(spark, hist, scratch):
