@@ -7,17 +7,16 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftmill.columns import ID, LABEL, OBS, SPLIT
-from siftmill.functions.dates import months_before
 from siftmill.operators import compare, metrics
+from siftmill.operators.encoding import Encoder, Inputs, fit_encoder, prepare
 from siftmill.operators.inject import hash_positions
 from siftmill.operators.screen import EDGE_ROW_BYTES, value_counts_by_label
 from siftmill.plans.distribution import collapse, long_buckets, pair_corr, quantile_edges, right_closed_bin, text_long
@@ -28,47 +27,6 @@ from siftmill.sources.subset import fraction_sample
 RARE, RARE_BELOW = "__rare__", 50
 
 
-@dataclass(frozen=True)
-class Inputs:
-    """Feature columns by kind. Date fields are text and become months before the observation."""
-
-    numeric: tuple[str, ...] = ()
-    categorical: tuple[str, ...] = ()
-    dates: tuple[str, ...] = ()
-    date_pattern: str = "MMM-yyyy"
-
-    @property
-    def numbers(self) -> list[str]:
-        return [*self.numeric, *self.dates]
-
-    @property
-    def names(self) -> list[str]:
-        return [*self.numeric, *self.dates, *self.categorical]
-
-
-def prepare(df: DataFrame, inputs: Inputs) -> DataFrame:
-    """Dates as months before the observation point, numbers as doubles."""
-    out = {c: months_before(F.try_to_timestamp(F.col(c), F.lit(inputs.date_pattern)), OBS).cast("double") for c in inputs.dates}
-    out.update({c: F.nanvl(F.col(c).cast("double"), F.lit(None)) for c in inputs.numeric})
-    return df.withColumns(out) if out else df
-
-
-def fit_encoder(train: DataFrame, inputs: Inputs) -> PipelineModel:
-    """Category levels and medians frozen on the training rows; unseen categories get their own code."""
-    stages: list = []
-    columns = []
-    if inputs.numbers:
-        made = [f"{c}__filled" for c in inputs.numbers]
-        stages.append(Imputer(inputCols=inputs.numbers, outputCols=made, strategy="median"))
-        columns += made
-    if inputs.categorical:
-        made = [f"{c}__code" for c in inputs.categorical]
-        stages.append(StringIndexer(inputCols=list(inputs.categorical), outputCols=made, handleInvalid="keep", stringOrderType="alphabetAsc"))
-        columns += made
-    stages.append(VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="keep"))
-    return Pipeline(stages=stages).fit(prepare(train, inputs))
-
-
 # ---- weight of evidence --------------------------------------------------------------------
 
 def woe_table(train: DataFrame, inputs: Inputs, bins: int = 10, label: str = LABEL, buckets: int | None = None) -> DataFrame:
@@ -182,33 +140,35 @@ def fit_scorecard(train: DataFrame, valid: DataFrame | None, inputs: Inputs, par
     return Fitted("scorecard", inputs, transform, fitted, {"woe": table, "coef": dict(zip(inputs.names, fitted.coefficients.toArray().tolist()))})
 
 
-def _encoded(train: DataFrame, inputs: Inputs):
-    encoder = fit_encoder(train, inputs)
-    return lambda df: encoder.transform(prepare(df, inputs))
+def encoder_for(train: DataFrame, inputs: Inputs, params: Mapping) -> Encoder:
+    """The encoder given with the parameters, or a new one for these rows."""
+    return params.get("encoder") or fit_encoder(train, inputs, int(params.get("max_bins", 64)))
 
 
 @model("gbt", {"max_depth": {"low": 2, "high": 8, "type": "int"}, "step_size": {"low": 0.02, "high": 0.3, "log": True}, "min_instances": {"low": 5, "high": 200, "type": "int", "log": True}, "subsampling": {"low": 0.5, "high": 1.0}})
 def fit_gbt(train: DataFrame, valid: DataFrame | None, inputs: Inputs, params: Mapping, seed: int = 0) -> Fitted:
     """Boosted trees that stop when the validation rows no longer improve."""
-    transform = _encoded(train, inputs)
+    encoder = encoder_for(train, inputs, params)
+    limit = int(params.get("max_iter", 20))
     gbt = GBTClassifier(
-        labelCol=LABEL, maxIter=int(params.get("max_iter", 20)), maxDepth=int(params.get("max_depth", 5)), stepSize=float(params.get("step_size", 0.1)),
+        labelCol=LABEL, maxIter=limit, maxDepth=int(params.get("max_depth", 5)), stepSize=float(params.get("step_size", 0.1)),
         minInstancesPerNode=int(params.get("min_instances", 20)), subsamplingRate=float(params.get("subsampling", 1.0)), maxBins=int(params.get("max_bins", 64)), seed=seed,
         validationTol=float(params.get("validation_tol", 0.005)),
     )
-    rows = transform(train).select(LABEL, "features", F.lit(False).alias("is_valid"))
+    rows = encoder.transform(train, F.lit(True)).select(LABEL, "features", F.lit(False).alias("is_valid"))
     if valid is not None:
         gbt = gbt.setValidationIndicatorCol("is_valid")
-        rows = rows.unionByName(transform(valid).select(LABEL, "features", F.lit(True).alias("is_valid")))
+        rows = rows.unionByName(encoder.transform(valid, F.lit(False)).select(LABEL, "features", F.lit(True).alias("is_valid")))
     fitted = gbt.fit(rows)
-    return Fitted("gbt", inputs, transform, fitted, {"best_iter": fitted.getNumTrees})
+    return Fitted("gbt", inputs, encoder.transform, fitted, {"best_iter": fitted.getNumTrees, "max_iter": limit, "encoder": encoder})
 
 
 @model("random_forest", {"n_trees": {"low": 20, "high": 200, "type": "int"}, "max_depth": {"low": 4, "high": 14, "type": "int"}, "min_instances": {"low": 1, "high": 50, "type": "int"}})
 def fit_forest(train: DataFrame, valid: DataFrame | None, inputs: Inputs, params: Mapping, seed: int = 0) -> Fitted:
-    transform = _encoded(train, inputs)
+    encoder = encoder_for(train, inputs, params)
     rf = RandomForestClassifier(labelCol=LABEL, numTrees=int(params.get("n_trees", 20)), maxDepth=int(params.get("max_depth", 6)), minInstancesPerNode=int(params.get("min_instances", 5)), maxBins=int(params.get("max_bins", 64)), seed=seed)
-    return Fitted("random_forest", inputs, transform, rf.fit(transform(train).select(LABEL, "features")))
+    fitted = rf.fit(encoder.transform(train, F.lit(True)).select(LABEL, "features"))
+    return Fitted("random_forest", inputs, encoder.transform, fitted, {"encoder": encoder})
 
 
 # ---- experiments ---------------------------------------------------------------------------

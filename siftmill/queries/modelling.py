@@ -51,12 +51,53 @@ def woe_transform(spark, sf):
     return rounded(models.woe_transform(train, INPUTS, fitted).select(ID, *names), 6, *names)
 
 
-@query("encoded_rows", "ML1")
+TRAIN_SQL = f"WITH {b.CTE_SPLITS}, levels AS (SELECT cat, row_number() OVER (ORDER BY cat) - 1 AS code FROM (SELECT DISTINCT cat FROM splits WHERE split = 'train' AND cat IS NOT NULL))"
+
+
+@query("encoded_rows", "ML1", f"""{TRAIN_SQL}, coded AS (SELECT split, coalesce(code, (SELECT count(*) FROM levels)) AS code FROM splits LEFT JOIN levels ON splits.cat = levels.cat)
+SELECT split, CAST(code AS INTEGER) AS code, count(*) AS n FROM coded GROUP BY 1, 2""")
 def encoded_rows(spark, sf):
     """Frozen levels and medians: unseen categories get the extra code."""
     s = rows(spark, sf)
     enc = models.fit_encoder(s.where("split = 'train'"), INPUTS)
-    return enc.transform(models.prepare(s, INPUTS)).groupBy(SPLIT, F.col("cat__code").cast("int").alias("code")).agg(F.count("*").alias("n"))
+    return enc.transform(s).groupBy(SPLIT, F.col("cat__code").cast("int").alias("code")).agg(F.count("*").alias("n"))
+
+
+@query("frozen_medians", "ML1", f"WITH {b.CTE_SPLITS}, train AS (SELECT * FROM splits WHERE split = 'train'), {long_cte('train', list(INPUTS.numeric))} SELECT feature, {r('quantile_cont(v, CAST(0.5 AS DOUBLE))')} AS median FROM long WHERE v IS NOT NULL GROUP BY 1")
+def frozen_medians(spark, sf):
+    enc = models.fit_encoder(rows(spark, sf).where("split = 'train'"), INPUTS, buckets=4)
+    return rounded(spark.createDataFrame(sorted(enc.medians.items()), "feature string, median double"), 6, "median")
+
+
+MANY = Inputs(numeric=("total", "signal"), categorical=("cust_id", "cat"))
+
+
+def many_rows(spark, sf):
+    """The split table with the customer as a category of very many levels."""
+    return cut_lineage(b.splits(spark, sf).select(ID, "_label", "_obs_time", SPLIT, "total", "signal", "cat", F.concat(F.lit("c"), F.col("cust").cast("string")).alias("cust_id")), (SPLIT,))
+
+
+_FOLD = "(CAST('0x' || substr(md5('fold|' || CAST(_row_id AS VARCHAR)), 1, 8) AS BIGINT) % 5)"
+
+
+@query("target_statistics", "ML1,ML5,ML6", f"""WITH {b.CTE_SPLITS}, t AS (SELECT *, {_FOLD} AS fold FROM splits),
+prior AS (SELECT avg(CAST(_label AS DOUBLE)) AS p FROM t WHERE split = 'train'),
+lv AS (SELECT cust, fold, count(*) AS n, sum(_label) AS pos FROM t WHERE split = 'train' GROUP BY 1, 2),
+j AS (SELECT t._row_id, t.split, sum(coalesce(lv.n, 0)) FILTER (WHERE NOT (t.split = 'train' AND lv.fold = t.fold)) AS n, sum(lv.pos) FILTER (WHERE NOT (t.split = 'train' AND lv.fold = t.fold)) AS pos FROM t LEFT JOIN lv ON t.cust = lv.cust GROUP BY 1, 2)
+SELECT _row_id, split, {r('(coalesce(pos, 0) + 20 * p) / (coalesce(n, 0) + 20)')} AS cust_rate FROM j, prior""")
+def target_statistics(spark, sf):
+    """Event rate of each row's customer, a training row's own fold left out."""
+    s = many_rows(spark, sf)
+    enc = models.fit_encoder(s.where("split = 'train'"), MANY)
+    return rounded(enc.transform(s).select(ID, SPLIT, F.col("cust_id__rate").alias("cust_rate")), 6, "cust_rate")
+
+
+@query("many_levels", "ML5,ML6")
+def many_levels(spark, sf):
+    """Both tree models with a category of very many levels."""
+    s = many_rows(spark, sf)
+    out = [summary(models.run_experiment(name, name, s, MANY, SMALL[name])[1]) for name in ("gbt", "random_forest")]
+    return out[0].unionByName(out[1])
 
 
 @query("scorecard", "ML4,ML7")
