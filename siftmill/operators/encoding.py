@@ -79,6 +79,20 @@ def level_table(rows: DataFrame, features: list[str], label: str = LABEL, bucket
     return cut_lineage(row_positions(levels, ["feature"], ["value"], plan_buckets(levels, "value", buckets), "code"))
 
 
+def level_codes(df: DataFrame, features: list[str], buckets: int | None = None) -> DataFrame:
+    """``df`` with ``_code_<feature>``: the place of each value among the column's values in the alphabet."""
+    if not features:
+        return df
+    n = df.count()
+    long = text_long(df, features).where("value is not null")
+    levels = cut_lineage(long.groupBy("feature", "value").agg(F.count("*").alias("n")))
+    codes = cut_lineage(row_positions(levels, ["feature"], ["value"], plan_buckets(levels, "value", buckets), "code"))
+    for c in features:
+        own = codes.where(F.col("feature") == c).select(F.col("value").alias(f"_l_{c}"), F.col("code").cast("double").alias(f"_code_{c}"), (F.col("n") > HOT * n).alias("_often"))
+        df = hot_split_join(df.withColumn(f"_l_{c}", F.col(c).cast("string")), own, [f"_l_{c}"], F.col("_often"), int(1 / HOT), ID).drop(f"_l_{c}", "_often")
+    return df
+
+
 @dataclass(frozen=True)
 class Encoder:
     """Fitted inputs; ``features`` is the assembled vector column."""

@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from siftmill.columns import ID, LABEL, OBS, SPLIT
 from siftmill.operators import compare, metrics
 from siftmill.operators.encoding import Encoder, Inputs, fit_encoder, prepare
-from siftmill.operators.inject import hash_positions
+from siftmill.operators.explain import contributions, explain
 from siftmill.operators.screen import EDGE_ROW_BYTES, value_counts_by_label
-from siftmill.plans.distribution import collapse, long_buckets, pair_corr, quantile_edges, right_closed_bin, text_long
+from siftmill.plans.distribution import collapse, long_buckets, quantile_edges, right_closed_bin, text_long
 from siftmill.plans.sizing import broadcast_bounded, broadcast_if_small
 from siftmill.session import cut_lineage
 from siftmill.sources.subset import fraction_sample
@@ -137,7 +137,7 @@ def fit_scorecard(train: DataFrame, valid: DataFrame | None, inputs: Inputs, par
     n = train.count()
     lr = LogisticRegression(labelCol=LABEL, regParam=1.0 / (float(params.get("C", 1.0)) * max(n, 1)), elasticNetParam=0.0, standardization=False, maxIter=100)
     fitted = lr.fit(transform(train))
-    return Fitted("scorecard", inputs, transform, fitted, {"woe": table, "coef": dict(zip(inputs.names, fitted.coefficients.toArray().tolist()))})
+    return Fitted("scorecard", inputs, transform, fitted, {"woe": table, "woe_transform": lambda df: woe_transform(df, inputs, table), "n": n, "coef": dict(zip(inputs.names, fitted.coefficients.toArray().tolist()))})
 
 
 def encoder_for(train: DataFrame, inputs: Inputs, params: Mapping) -> Encoder:
@@ -294,45 +294,6 @@ def holdout_result(fitted: Fitted, rows: DataFrame, oot_score: float, reference_
     return out.drop("g")
 
 
-# ---- explanation ---------------------------------------------------------------------------
-
-def contributions(fitted: Fitted, rows: DataFrame, seed: int = 0) -> DataFrame:
-    """``(_row_id, feature, x, contribution)``.
-
-    Scorecard: WOE times coefficient. Other models: one feature at a time is taken from another
-    random row; the contribution is how much the prediction changes. All features are scored in
-    one job over the exploded rows.
-    """
-    inputs = fitted.inputs
-    number = lambda f: F.xxhash64(f).cast("double") if f in inputs.categorical else F.col(f).cast("double")
-    if fitted.name == "scorecard":
-        woe = woe_transform(rows, inputs, fitted.info["woe"])
-        items = F.array(*[F.struct(F.lit(f).alias("feature"), number(f).alias("x"), (F.col(f"{f}__woe") * F.lit(fitted.info["coef"][f])).alias("contribution")) for f in inputs.names])
-        return woe.select(ID, F.explode(items).alias("i")).select(ID, "i.*")
-    names = inputs.names
-    base = rows.select(ID, *([OBS] if OBS in rows.columns else []), *names)
-    other = hash_positions(base.select(ID, F.struct(*names).alias("_other")), ID, f"{seed}b").select("_pos", "_other")
-    paired = hash_positions(base, ID, f"{seed}a").join(other, "_pos")
-    swapped = paired.withColumn("feature", F.explode(F.array(F.lit(""), *[F.lit(f) for f in names])))
-    originals = {f"_x_{f}": number(f) for f in names}
-    changed = {f: F.when(F.col("feature") == f, F.col(f"_other.{f}")).otherwise(F.col(f)) for f in names}
-    scored = fitted.score(swapped.withColumns(originals).withColumns(changed))
-    truth = scored.where("feature = ''").select(ID, F.col("p").alias("_p0"))
-    x = F.coalesce(*[F.when(F.col("feature") == f, F.col(f"_x_{f}")) for f in names])
-    return scored.where("feature != ''").join(truth, ID).select(ID, "feature", x.alias("x"), (F.col("_p0") - F.col("p")).alias("contribution"))
-
-
-def explain(contribs: DataFrame, n_features: int, buckets: int | None = None) -> DataFrame:
-    """Share of the mean absolute contribution and rank correlation with the feature value."""
-    size = contribs.groupBy("feature").agg(F.avg(F.abs("contribution")).alias("imp"))
-    total = size.agg(F.sum("imp").alias("_all"))
-    share = size.join(F.broadcast(total)).select("feature", F.coalesce(F.try_divide("imp", "_all"), F.lit(0.0)).alias("share"))  # one row
-    rx = metrics.midranks(contribs, ["feature"], "x", buckets).select("feature", "x", F.col("midrank").alias("rx"))
-    rc = metrics.midranks(contribs, ["feature"], "contribution", buckets).select("feature", "contribution", F.col("midrank").alias("rc"))
-    rho = contribs.join(rx, ["feature", "x"]).join(rc, ["feature", "contribution"]).groupBy("feature").agg(pair_corr("rx", "rc").alias("corr"))
-    return share.join(broadcast_bounded(rho, n_features, 64), "feature", "left").withColumn("corr", F.coalesce("corr", F.lit(0.0)))
-
-
 # ---- monotone rules ------------------------------------------------------------------------
 
 def monotone_guard(df: DataFrame, features: Sequence[str], priors: Mapping[str, int], categorical: Sequence[str] = (), min_rho: float = 0.01, label: str = LABEL, buckets: int | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siftmill.columns import ID, SPLIT
-from siftmill.operators import factory, metrics, models
+from siftmill.operators import explain, factory, metrics, models
 from siftmill.operators.models import Inputs
 from siftmill.queries import bindings as b
 from siftmill.queries.base import query, r, rounded, table
@@ -150,6 +150,20 @@ def contributions(spark, sf):
     return rounded(models.explain(parts, len(INPUTS.names)), 4, "share", "corr")
 
 
+@query("contributions_add_up", "ML11", f"WITH {b.CTE_SPLITS}, m AS (SELECT unnest(['gbt', 'random_forest']) AS model) SELECT _row_id, model, CAST(3 AS BIGINT) AS n_features, CAST(0 AS DOUBLE) AS gap FROM splits, m WHERE split = 'oot_dev'")
+def contributions_add_up(spark, sf):
+    """Base and contributions next to the margin of every row, for both kinds of trees."""
+    s = b.splits(spark, sf).select(ID, "_label", "_obs_time", SPLIT, "total", "half", "cat")
+    inputs, out = Inputs(numeric=("total", "half"), categorical=("cat",)), None
+    for name in ("gbt", "random_forest"):
+        fitted, _ = models.run_experiment(name, name, s, inputs, SMALL[name])
+        parts = explain.tree_contributions(fitted, s.where("split = 'oot_dev'"))
+        per = parts.groupBy(ID).agg(F.count("*").alias("n_features"), F.round(F.abs(F.max("base") + F.sum("contribution") - F.max("margin")), 6).alias("gap"))
+        per = per.select(ID, F.lit(name).alias("model"), "n_features", "gap")
+        out = per if out is None else out.unionByName(per)
+    return out
+
+
 PRIORS = {"signal": 1, "total": 0, "qty_sum": -1, "half": 1}
 
 

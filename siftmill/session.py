@@ -49,6 +49,11 @@ def scratch_root(spark: SparkSession) -> str:
     return _LOCAL_FOLDERS[app]
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared scratch space; every executor reaches it by this address."""
+    return f"{scratch_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` once to shared storage and read it back.
 
