@@ -233,60 +233,80 @@ def _groups(members: DataFrame, classes: DataFrame, roots: DataFrame, ratio: flo
     return rows.join(classes.select("rep", "sketch"), "rep")
 
 
-def _alike(group: np.ndarray, part: np.ndarray, guest: np.ndarray, n: np.ndarray, sketch: np.ndarray, floor: float, ratio: float, cross: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Likely pairs of rows of equal ``group`` (rows are sorted by it) and their estimates.
+#: Pairs that a task looks at together, and ranked pairs that it holds before it drops the lower ones.
+PORTION, HELD = 1 << 15, 1 << 18
 
-    Rows of a group with two parts (``cross``) pair only with the other part. Pairs are made in
-    portions, so the memory does not grow with the square of a group.
+
+def _alike(rows: dict[str, np.ndarray], floor: float, ratio: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Likely pairs of rows of equal ``group`` (rows are sorted by it) and their estimates, a portion
+    at a time, so the memory does not grow with the square of a group.
+
+    Rows of a group with two parts (``cross``) pair only with the other part. Rows of one component
+    do not pair, and a pair counts in the first band that its classes share and nowhere else.
     """
-    ends = np.searchsorted(group, group, "right")
-    later = ends - np.arange(len(group)) - 1
-    told, at = [], 0
-    total = np.cumsum(later)
+    group, guest, n, part, cross, root, band, sketch = (rows[c] for c in ("group", "guest", "n", "part", "cross", "root", "band", "sketch"))
+    later = np.searchsorted(group, group, "right") - np.arange(len(group)) - 1
+    total, bands = np.cumsum(later), sketch.shape[1] // BAND
+    at = 0
     while at < len(group):
-        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + (1 << 15), "right")))
+        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PORTION, "right")))
         i = np.repeat(np.arange(at, stop), later[at:stop])
         first = np.cumsum(later[at:stop]) - later[at:stop]
         j = i + 1 + np.arange(len(i)) - np.repeat(first, later[at:stop])
-        good = ~(guest[i] & guest[j]) & (np.minimum(n[i], n[j]) >= ratio * np.maximum(n[i], n[j])) & ((part[i] != part[j]) | ~cross[i])
+        good = ~(guest[i] & guest[j]) & (np.minimum(n[i], n[j]) >= ratio * np.maximum(n[i], n[j])) & ((part[i] != part[j]) | ~cross[i]) & (root[i] != root[j])
         i, j = i[good], j[good]
+        same = sketch[i] == sketch[j]
         # A cheap bound before the likelihood.
-        good = (sketch[i] == sketch[j]).sum(1) >= (floor - 0.1) * sketch.shape[1]
+        good = same.sum(1) >= (floor - 0.1) * sketch.shape[1]
+        good &= same[:, : bands * BAND].reshape(len(i), bands, BAND).all(2).argmax(1) == band[i]
         i, j = i[good], j[good]
         if len(i):
             alike = likelihood_estimate(sketch[i], sketch[j], n[i], n[j])
             good = alike >= floor
-            told.append((i[good], j[good], alike[good]))
+            yield i[good], j[good], alike[good]
         at = stop
-    return tuple(np.concatenate(x) for x in zip(*told, strict=True)) if told else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+
+
+def _closest(i: np.ndarray, j: np.ndarray, alike: np.ndarray, rep: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``most`` most alike ``j`` of each ``i``; ties to the smaller key."""
+    order = np.lexsort((rep[j], -alike, i))
+    i, j, alike = i[order], j[order], alike[order]
+    rank = np.arange(len(i)) - np.maximum.accumulate(np.where(np.diff(i, prepend=-1) != 0, np.arange(len(i)), 0))
+    return i[rank < most], j[rank < most], alike[rank < most]
+
+
+def _chosen(rows: dict[str, np.ndarray], floor: float, ratio: float, most: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys of likely pairs in portions; with ``most`` only those that rank high for one of the two."""
+    rep, held, size = rows["rep"], [], 0
+    for i, j, alike in _alike(rows, floor, ratio):
+        if most is None:
+            yield np.maximum(rep[i], rep[j]), np.minimum(rep[i], rep[j])
+            continue
+        held.append((np.concatenate([i, j]), np.concatenate([j, i]), np.tile(alike, 2)))
+        size += 2 * len(i)
+        if size > HELD:
+            held = [_closest(*(np.concatenate(x) for x in zip(*held, strict=True)), rep, most)]
+            size = 0
+    if held:
+        i, j, _ = _closest(*(np.concatenate(x) for x in zip(*held, strict=True)), rep, most)
+        yield np.maximum(rep[i], rep[j]), np.minimum(rep[i], rep[j])
 
 
 def _compared(groups: DataFrame, floor: float, ratio: float, most: int | None) -> DataFrame:
     """Likely pairs ``a``, ``b`` of different components in each group.
 
-    A class gives its ``most`` most alike partners (all for None). A pair counts in the first band
-    that its classes share and nowhere else.
+    A class gives its ``most`` most alike partners (all for None).
     """
     by = ["bucket", "size_class", "p", "q"]
     types = common.schema("a long, b long")
 
-    def compare(table: pa.Table) -> pa.RecordBatch:
-        rep, root, part, guest, band, p, q = (np.asarray(table.column(c)) for c in ("rep", "root", "part", "guest", "band", "p", "q"))
-        n, sketch = np.asarray(table.column("n")).astype(np.float64), _matrix(table.column("sketch").combine_chunks())
-        group = np.cumsum(_new_group(table, by))
-        i, j, alike = _alike(group, part, guest, n, sketch, floor, ratio, p != q)
-        i, j, alike = np.concatenate([i, j]), np.concatenate([j, i]), np.tile(alike, 2)
-        if most is not None and len(i):
-            order = np.lexsort((rep[j], -alike, i))
-            i, j = i[order], j[order]
-            rank = np.arange(len(i)) - np.maximum.accumulate(np.where(np.diff(i, prepend=-1) != 0, np.arange(len(i)), 0))
-            i, j = i[rank < most], j[rank < most]
-        apart = root[i] != root[j]
-        i, j = i[apart], j[apart]
-        same = (sketch[i] == sketch[j])[:, : sketch.shape[1] // BAND * BAND].reshape(len(i), sketch.shape[1] // BAND, BAND).all(2)
-        here = same.argmax(1) == band[i]
-        pairs = np.unique(np.stack([np.maximum(rep[i], rep[j]), np.minimum(rep[i], rep[j])], 1)[here], axis=0)
-        return common.arrow_out({"a": pairs[:, 0], "b": pairs[:, 1]}, types)
+    def compare(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        rows = {c: np.asarray(table.column(c)) for c in ("rep", "root", "part", "guest", "band")}
+        rows["n"], rows["sketch"] = np.asarray(table.column("n")).astype(np.float64), _matrix(table.column("sketch").combine_chunks())
+        rows["group"], rows["cross"] = np.cumsum(_new_group(table, by)), np.asarray(table.column("p")) != np.asarray(table.column("q"))
+        for a, b in _chosen(rows, floor, ratio, most):
+            pairs = np.unique(np.stack([a, b], 1), axis=0)
+            yield common.arrow_out({"a": pairs[:, 0], "b": pairs[:, 1]}, types)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -295,10 +315,10 @@ def _compared(groups: DataFrame, floor: float, ratio: float, most: int | None) -
             held = table if held is None else pa.concat_tables([held, table])
             last = np.flatnonzero(_new_group(held, by))[-1] if held.num_rows else 0
             if last and held.num_rows >= 4096:  # the last group may go on
-                yield compare(held.slice(0, last))
+                yield from compare(held.slice(0, last))
                 held = held.slice(last)
         if held is not None and held.num_rows:
-            yield compare(held)
+            yield from compare(held)
 
     dealt = groups.repartition(*by).sortWithinPartitions(*by)
     return dealt.mapInArrow(run, types).distinct()

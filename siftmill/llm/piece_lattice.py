@@ -14,7 +14,6 @@ border are themselves edges of the word's lattice.
 
 from __future__ import annotations
 
-import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,12 +28,11 @@ from siftmill.llm import arrays, common
 from siftmill.llm.encode import public_path
 
 SPACE = "▁"
-NEVER = 1 << 30
+NEVER = (1 << 20) - 1
 #: Edges that end within the longest piece of a position: its length squared.
 NEAR = 256
 #: Words of the encoded table that one shard holds.
 SHARD_WORDS = 1 << 22
-_SPINE = "array<struct<n:int,made:int,gone:int>>"
 _KEPT: dict[str, tuple] = {}
 
 
@@ -166,26 +164,46 @@ def lattice(words: DataFrame, name: str) -> DataFrame:
 
 
 def _merges(name: str):
-    """A constant array by id: the rank of each piece and its spines."""
+    """A constant array by id: the rank of each piece and its spines, a part of a spine as one number
+    (20 bits each for its length and the ranks at which it is made and gone)."""
     rows = [None] * _processor(name).get_piece_size() + [(NEVER, [(1, -1, NEVER)], [(1, -1, NEVER)])]
     for _, i, *rest in pieces(name):
         rows[i] = rest
-    named = lambda parts: [dict(zip(("n", "made", "gone"), p, strict=True)) for p in parts]
-    said = [r and {"rank": r[0] if r[0] >= 0 else NEVER, "left": named(r[1]), "right": named(r[2])} for r in rows]
-    return F.from_json(F.lit(json.dumps(said)), f"array<struct<rank:int,left:{_SPINE},right:{_SPINE}>>")
+    short = lambda rank: min(rank + 1, NEVER)
+    packed = lambda parts: ",".join(str(n << 40 | short(made) << 20 | short(gone)) for n, made, gone in parts)
+    # A number a part and text a row: parsed once, as it is the only use of the constant.
+    said = F.lit(";".join("" if r is None else f"{short(r[0])}|{packed(r[1])}|{packed(r[2])}" for r in rows))
+    numbers = lambda text: F.transform(F.split(text, ","), lambda x: x.cast("long"))
+    parts = lambda row: F.split(row, r"\|")
+    return F.transform(F.split(said, ";"), lambda r: F.when(r != "", F.struct(F.get(parts(r), 0).cast("long").alias("rank"), numbers(F.get(parts(r), 1)).alias("left"), numbers(F.get(parts(r), 2)).alias("right"))))
+
+
+def _n(part):
+    return F.shiftrightunsigned(part, 40)
+
+
+def _made(part):
+    return F.shiftrightunsigned(part, 20).bitwiseAND(0xFFFFF)
+
+
+def _gone(part):
+    return part.bitwiseAND(0xFFFFF)
 
 
 def best_path(edges, name: str):
     """The edges of the best way through a word's edges."""
-    merges = _merges(name)
+    # Bound to a variable: written out at every use the constant would be held once for each.
+    return F.get(F.transform(F.array(_merges(name)), lambda merges: _best_path(edges, merges)), 0)
+
 
+def _best_path(edges, merges):
     def stable(near, last, e):
         """No edge across the border of ``last`` and ``e`` merges before their own parts do."""
 
         def across(x):
             rank = F.get(merges, _id(x))["rank"]
-            fits = lambda a, b: (F.greatest(rank, a["made"], b["made"]) < a["gone"]) & (F.greatest(rank, a["made"], b["made"]) <= b["gone"])
-            right = lambda a: (a["n"] == _start(e) - _start(x)) & F.exists(F.get(merges, _id(e))["left"], lambda b: (b["n"] == _end(x) - _start(e)) & fits(a, b))
+            fits = lambda a, b: (F.greatest(rank, _made(a), _made(b)) < _gone(a)) & (F.greatest(rank, _made(a), _made(b)) <= _gone(b))
+            right = lambda a: (_n(a) == _start(e) - _start(x)) & F.exists(F.get(merges, _id(e))["left"], lambda b: (_n(b) == _end(x) - _start(e)) & fits(a, b))
             # Numbers of edges compare by end first: the order of the tests is from cheap to dear.
             return (x < e) & (_end(x) > _start(e)) & (_start(x) < _start(e)) & (_start(x) >= _start(last)) & F.exists(F.get(merges, _id(last))["right"], right)
 

@@ -38,7 +38,7 @@ SHORT_CHARS, FEWEST = 1_000, 20
 PRIOR_CHARS = 60.0
 SHARD_ROWS = 4 << 20
 #: Bytes of text whose n-grams are counted or looked up at once: some fifty times as much memory.
-SLICE = 3 << 19
+SLICE = 1 << 19
 _KEPT_SHARDS: dict[str, tuple] = {}
 
 
@@ -189,7 +189,8 @@ def _shard(folder: str, i: int, shards: int) -> tuple[np.ndarray, np.ndarray, np
         found = keys, alpha, gamma
         if shards > 2:
             return found
-        _KEPT_SHARDS.clear() if len(_KEPT_SHARDS) > 2 else None
+        if any(not kept.startswith(f"{folder}/") for kept in _KEPT_SHARDS):
+            _KEPT_SHARDS.clear()  # of a model that is done with
         _KEPT_SHARDS[name] = found
     return _KEPT_SHARDS[name]
 

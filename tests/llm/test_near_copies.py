@@ -101,3 +101,32 @@ def test_sketch_merges_and_estimates():
 def test_shingles_of_short_texts():
     hashes, ends = near_copies.shingles(pa.array(["a b c", "A  b", "x", "", "a b"], pa.large_string()), 3)
     assert np.diff(ends).tolist() == [1, 1, 1, 0, 1] and hashes[ends[1]] == hashes[ends[4]] != hashes[0]
+
+
+@pytest.mark.parametrize("n,most,portions", [(4096, None, 12), (700, 2, None)])
+def test_thousands_of_classes_in_one_bucket_fit(n, most, portions):
+    """Classes alike in their sketches that all stay apart: memory follows the portions, not the pairs."""
+    import itertools
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    sketch = np.tile(rng.integers(50, 60, near_copies.REGISTERS).astype(np.uint8), (n, 1))
+    at = rng.integers(near_copies.BAND, near_copies.REGISTERS, (n, 20))
+    sketch[np.arange(n)[:, None], at] += rng.integers(1, 40, (n, 20)).astype(np.uint8)
+    flat = np.zeros(n, np.int64)
+    rows = {"group": flat, "guest": flat > 0, "n": np.full(n, 100.0), "part": flat, "cross": flat > 0, "root": np.arange(n), "band": flat, "rep": np.arange(n) * 7, "sketch": sketch}
+    tracemalloc.start()
+    found = sum(len(a) for a, _ in itertools.islice(near_copies._chosen(rows, 0.6, 0.8, most), portions))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found >= n and (most is None or found <= most * n) and peak < 500 << 20
+
+
+def test_ranked_pairs_are_the_closest():
+    """Portions and early drops do not change which partners a class names."""
+    rng = np.random.default_rng(2)
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(40), np.arange(40)))
+    alike, rep = rng.integers(0, 5, len(i)) / 4.0, rng.permutation(40)
+    got = {(a, b) for a, b in zip(*near_copies._closest(i, j, alike, rep, 3)[:2], strict=True)}
+    want = {(a, b) for a in range(40) for b in sorted(range(40), key=lambda b: (-alike[(i == a) & (j == b)][0], rep[b]))[:3]}
+    assert got == want
