@@ -38,10 +38,10 @@ class Leaf:
     """One leaf: its path's conditions by feature and what each pattern of met conditions gives."""
 
     features: tuple[int, ...]
-    #: Per feature: lowest excluded and highest included value, or the set of categories.
+    #: Per feature: lowest excluded and highest included value, or categories that do and do not pass.
     low: np.ndarray
     high: np.ndarray
-    categories: tuple[frozenset | None, ...]
+    categories: tuple[tuple[frozenset | None, frozenset], ...]
     #: Contribution of each feature by pattern: ``2 ** len(features)`` rows.
     table: np.ndarray
     expected: float
@@ -84,15 +84,16 @@ def tree_leaves(nodes: dict[int, dict], weight: float) -> list[Leaf]:
         f, split = node["feature"], node["split"]
         for child, left in ((node["left"], True), (node["right"], False)):
             share = nodes[child]["n"] / node["n"] if node["n"] else 0.5
-            z, low, high, cats = path.get(f, (1.0, -np.inf, np.inf, None))
-            if node["categories"] >= 0:
-                side = frozenset(split) if left else frozenset(range(node["categories"])) - frozenset(split)
-                cats = side if cats is None else cats & side
+            z, low, high, (inside, outside) = path.get(f, (1.0, -np.inf, np.inf, (None, frozenset())))
+            if node["categories"] >= 0 and left:
+                inside = frozenset(split) if inside is None else inside & frozenset(split)
+            elif node["categories"] >= 0:
+                outside = outside | frozenset(split)
             elif left:
                 high = min(high, split[0])
             else:
                 low = max(low, split[0])
-            stack.append((child, {**path, f: (z * share, low, high, cats)}, reach * share))
+            stack.append((child, {**path, f: (z * share, low, high, (inside, outside))}, reach * share))
     return out
 
 
@@ -119,9 +120,13 @@ def shapley(leaves: list[Leaf], x: np.ndarray) -> np.ndarray:
     out = np.zeros(x.shape)
     for leaf in leaves:
         pattern = np.zeros(len(x), np.int64)
-        for k, (f, cats) in enumerate(zip(leaf.features, leaf.categories, strict=True)):
+        for k, (f, (inside, outside)) in enumerate(zip(leaf.features, leaf.categories, strict=True)):
             column = x[:, f]
-            met = np.isin(column, list(cats)) if cats is not None else (column > leaf.low[k]) & (column <= leaf.high[k])
+            if inside is None and not outside:
+                met = (column > leaf.low[k]) & (column <= leaf.high[k])
+            else:
+                met = ~np.isin(column, list(outside))
+                met &= np.isin(column, list(inside)) if inside is not None else True
             pattern |= met.astype(np.int64) << k
         if leaf.features:
             out[:, list(leaf.features)] += leaf.table[pattern]

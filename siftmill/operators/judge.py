@@ -186,6 +186,35 @@ def promotable(exps: DataFrame) -> DataFrame:
     return open_ones.join(done, ["task_id", "exp_id"], "left_anti")
 
 
+def promote_candidates(exps: DataFrame) -> DataFrame:
+    """Promotable experiments that looked better than what they were compared with: promising ones,
+    and undecided ones with a better point estimate."""
+    better = (F.col("verdict") == "PROMISING") | F.coalesce(F.col("delta") > 0, F.lit(False))
+    return promotable(exps).where(better)
+
+
+def decision_codes(exps: DataFrame, task: str = "task_id", order: str = "seq", rounds_left: str | None = None) -> DataFrame:
+    """``task``, ``decision_codes``: the last experiment's ``codes`` and what the task as a whole calls for.
+
+    NO_FINAL_MODEL: nothing is accepted at full fidelity, but something can be promoted; not asked for
+    right after a promotion failed for OVERFIT_GAP, unless this is the last round (``rounds_left``
+    below 2). PROMOTE_CANDIDATE: there is a final model and a better candidate not promoted yet.
+    """
+    final = (F.col("verdict") == "ACCEPT") & (F.col("fidelity") == "full") & ~F.coalesce(F.col("invalidated"), F.lit(False))
+    left = F.col(rounds_left) if rounds_left else F.lit(None).cast("int")
+    last = F.max_by(F.struct("codes", "action_type", left.alias("left")), order)
+    tasks = exps.groupBy(task).agg(last.alias("_last"), (F.count_if(final) > 0).alias("_final"))
+    can = promotable(exps).groupBy(task).agg(F.count("*").alias("_can"))
+    wanted = promote_candidates(exps).groupBy(task).agg(F.count("*").alias("_wanted"))
+    rows = tasks.join(can, task, "left").join(wanted, task, "left")
+    gap_again = (F.col("_last.action_type") == "PROMOTE_FIDELITY") & F.array_contains("_last.codes", "OVERFIT_GAP") & F.coalesce(F.col("_last.left") >= 2, F.lit(True))
+    more = F.array_compact(F.array(
+        F.when(~F.col("_final") & F.col("_can").isNotNull() & ~F.coalesce(gap_again, F.lit(False)), "NO_FINAL_MODEL"),
+        F.when(F.col("_final") & F.col("_wanted").isNotNull(), "PROMOTE_CANDIDATE"),
+    ))
+    return rows.select(task, F.concat(F.coalesce(F.col("_last.codes"), F.array().cast("array<string>")), more).alias("decision_codes"))
+
+
 def top_experiments(exps: DataFrame, k: int, score: str = "oot_dev_auc") -> DataFrame:
     """The k best valid experiments per task; the planner limits each task before the shuffle."""
     w = Window.partitionBy("task_id").orderBy(F.col(score).desc(), "seq")
@@ -265,11 +294,15 @@ MAX_DISTANCE = 2.0
 
 
 def nearest_tasks(queries: DataFrame, stored: DataFrame, scales: Mapping[str, float] = FINGERPRINT_SCALES, max_distance: float = MAX_DISTANCE) -> DataFrame:
-    """Nearest stored task within ``max_distance`` per query task; none = cold start (NULL).
-
-    Points within the radius lie in neighbouring cells of a grid with the radius as cell size, so
-    an equi-join on cells of the first three dimensions finds every candidate; the pair distances
-    are reduced to one row per query straight away.
+    """``task_id``, ``nearest``, ``distance``, ``cold_start``: the nearest other stored task of each query.
+
+    Beyond ``max_distance`` it is a cold start: nothing is reused, but the distance is told; without
+    any other task that is null too. A grid is searched in rounds of doubling radius. In a round the
+    open queries meet the boxes of small cells in the neighbourhood; boxes that cannot hold the
+    nearest point, by the largest distance to another box, are dropped before single points are
+    looked at. A query is settled when its best distance lies within the radius, so dense regions
+    are done in early rounds and only far queries see large cells. Of equal fingerprints two tasks
+    are kept, which is enough to find another than one's own. A fingerprint with a null matches none.
     """
     dims = list(scales)
     grid = dims[:3]
@@ -278,16 +311,49 @@ def nearest_tasks(queries: DataFrame, stored: DataFrame, scales: Mapping[str, fl
         base = df.withColumn("log10_n_samples", F.log10(F.greatest(F.col("n_samples"), F.lit(1))))
         return base.select(F.col("task_id").alias(f"{prefix}task"), *[(F.col(d).cast("double") / scales[d]).alias(f"{prefix}{d}") for d in dims])
 
-    cell = lambda c: F.floor(F.col(c) / max_distance)
-    q, s = scaled(queries, "q_"), scaled(stored, "s_")
-    spread = s
-    for d in grid:
-        spread = spread.withColumn(f"c_{d}", F.explode(F.array(*[cell(f"s_{d}") + o for o in (-1, 0, 1)])))
-    placed = q.withColumns({f"c_{d}": cell(f"q_{d}") for d in grid})
-    near = placed.join(spread, [f"c_{d}" for d in grid]).where(F.col("q_task") != F.col("s_task"))
-    dist = F.sqrt(sum((F.pow(F.col(f"q_{d}") - F.col(f"s_{d}"), 2) for d in dims), F.lit(0.0)))
-    best = near.withColumn("_d", dist).where(F.col("_d") <= max_distance).groupBy("q_task").agg(F.min(F.struct("_d", "s_task")).alias("_b"))
-    return q.select("q_task").join(best, "q_task", "left").select(F.col("q_task").alias("task_id"), F.col("_b.s_task").alias("nearest"), F.col("_b._d").alias("distance"), F.col("_b").isNull().alias("cold_start"))
+    every = scaled(queries, "q_")
+    points = scaled(stored, "s_").where(" and ".join(f"s_{d} is not null" for d in dims))
+    same = Window.partitionBy(*[f"s_{d}" for d in dims]).orderBy("s_task")
+    points = cut_lineage(points.withColumn("_k", F.row_number().over(same)).where("_k <= 2").drop("_k"))
+    still = cut_lineage(every.where(" and ".join(f"q_{d} is not null" for d in dims)))
+    reach = [F.max(x).alias(f"hi_{x}") for df in (points,) for x in df.columns[1:]] + [F.min(x).alias(f"lo_{x}") for x in points.columns[1:]]
+    ends = points.agg(*reach).first()
+    far = still.agg(*[F.max(f"q_{d}").alias(f"hi_{d}") for d in dims], *[F.min(f"q_{d}").alias(f"lo_{d}") for d in dims]).first()
+    span = 0.0
+    if ends[0] is not None and far[0] is not None:
+        span = sum((max(ends[f"hi_s_{d}"], far[f"hi_{d}"]) - min(ends[f"lo_s_{d}"], far[f"lo_{d}"])) ** 2 for d in dims) ** 0.5
+
+    found, radius = None, max_distance / 8
+    while ends[0] is not None:
+        cell = lambda c, size: F.floor(F.col(c) / size)
+        fine = points.withColumns({f"f_{d}": cell(f"s_{d}", radius / 4) for d in grid})
+        boxes = fine.groupBy(*[f"f_{d}" for d in grid]).agg(
+            F.min("s_task").alias("one"), F.max("s_task").alias("two"), *[F.min(f"s_{d}").alias(f"lo_{d}") for d in dims], *[F.max(f"s_{d}").alias(f"hi_{d}") for d in dims])
+        boxes = boxes.withColumns({f"c_{d}": F.floor(F.col(f"f_{d}") / 4) for d in grid})
+        around = still
+        for d in grid:
+            around = around.withColumn(f"c_{d}", F.explode(F.array(*[cell(f"q_{d}", radius) + o for o in (-1, 0, 1)])))
+        near = around.join(boxes, [f"c_{d}" for d in grid]).where("one != q_task or two != q_task")
+        apart = lambda d: F.greatest(F.col(f"lo_{d}") - F.col(f"q_{d}"), F.col(f"q_{d}") - F.col(f"hi_{d}"), F.lit(0.0))
+        most = lambda d: F.greatest(F.abs(F.col(f"q_{d}") - F.col(f"lo_{d}")), F.abs(F.col(f"q_{d}") - F.col(f"hi_{d}")))
+        norm = lambda side: F.sqrt(sum((F.pow(side(d), 2) for d in dims), F.lit(0.0)))
+        near = cut_lineage(near.select("q_task", *[f"q_{d}" for d in dims], *[f"f_{d}" for d in grid], norm(apart).alias("_low"), norm(most).alias("_high")))
+        limit = near.groupBy("q_task").agg(F.min("_high").alias("_limit"))
+        kept = near.join(limit, "q_task").where(F.col("_low") <= F.col("_limit") + 1e-9)
+        dist = F.sqrt(sum((F.pow(F.col(f"q_{d}") - F.col(f"s_{d}"), 2) for d in dims), F.lit(0.0)))
+        pairs = kept.join(fine, [f"f_{d}" for d in grid]).where("q_task != s_task").withColumn("_d", dist)
+        best = pairs.groupBy("q_task").agg(F.min(F.struct("_d", "s_task")).alias("_b")).where(F.col("_b._d") <= radius)
+        best = cut_lineage(best.select("q_task", F.col("_b.s_task").alias("near"), F.col("_b._d").alias("_d")))
+        found = best if found is None else found.unionByName(best)
+        still = cut_lineage(still.join(best, "q_task", "left_anti"))
+        if radius > 2 * span or still.isEmpty():
+            break
+        radius *= 2
+    if found is None:
+        return every.select(F.col("q_task").alias("task_id"), F.lit(None).cast("string").alias("nearest"), F.lit(None).cast("double").alias("distance"), F.lit(True).alias("cold_start"))
+    out = every.select("q_task").join(found, "q_task", "left")
+    cold = F.coalesce(F.col("_d") > max_distance, F.lit(True))
+    return out.select(F.col("q_task").alias("task_id"), F.when(~cold, F.col("near")).alias("nearest"), F.col("_d").alias("distance"), cold.alias("cold_start"))
 
 
 def sanity_flags(contributions: DataFrame, min_share: float = 0.01, max_share: float = 0.4) -> DataFrame:

@@ -114,6 +114,8 @@ class Fitted:
 
 
 MODELS: dict[str, Callable[..., Fitted]] = {}
+#: Models that take a fitted encoder among their parameters.
+ENCODED = ("gbt", "random_forest")
 SPACES: dict[str, dict] = {}
 
 
@@ -243,18 +245,39 @@ def search_points(space: Mapping[str, Mapping], n_trials: int, seed: int, warm:
     return points
 
 
-def param_search(name: str, splits: DataFrame, inputs: Inputs, n_trials: int, seed: int = 0, space: Mapping | None = None, warm: Sequence[Mapping] = (), metric: str = "auc", parallelism: int = 2) -> tuple[dict, list[tuple[dict, float]]]:
-    """Best parameters by the metric on the validation rows; candidates are fitted side by side."""
-    train, valid = splits.where(F.col(SPLIT) == "train"), splits.where(F.col(SPLIT) == "valid")
-
-    def trial(params):
-        fitted = MODELS[name](train, valid, inputs, params, seed)
-        row = metrics.METRICS[metric][0](predictions(fitted, valid, "trial"), ["exp_id"]).first()
-        return params, float(row[metric])
+def param_search(
+    name: str, splits: DataFrame, inputs: Inputs, n_trials: int, seed: int = 0, space: Mapping | None = None, warm: Sequence[Mapping] = (), metric: str = "auc",
+    parallelism: int = 2, rungs: int = 1, keep: float = 1 / 3, min_rows: int = 2000,
+) -> tuple[dict, list[tuple[dict, float | None]]]:
+    """Best parameters by the metric on the validation rows, and ``(parameters, metric)`` of every trial.
 
-    with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        done = list(pool.map(trial, search_points(space or SPACES[name], n_trials, seed, warm)))
-    return max(done, key=lambda t: t[1])[0], done
+    With more than one rung the candidates start on a nested hash sample of the training rows, each
+    rung takes ``1 / keep`` times as many rows and only the best ``keep`` of the candidates, and the
+    last one all rows. A trial that leaves the race keeps its last value. Tree models share one
+    encoder, fitted once on all training rows; the rows of a rung are written once. A trial whose
+    metric is not defined has the value None and loses against every other.
+    """
+    train, valid = splits.where(F.col(SPLIT) == "train"), splits.where(F.col(SPLIT) == "valid")
+    shared = {"encoder": fit_encoder(train, inputs)} if name in ENCODED else {}
+    done: list[tuple[dict, float | None]] = [(p, None) for p in search_points(space or SPACES[name], n_trials, seed, warm)]
+    rank = lambda i: (done[i][1] is None, -(done[i][1] or 0.0), i)
+    alive = list(range(len(done)))
+    for rung in range(rungs):
+        share = keep ** (rungs - 1 - rung)
+        rows = cut_lineage(fraction_sample(train, ID, share, min_rows, seed)) if share < 1 else train
+
+        def trial(i, rows=rows):
+            fitted = MODELS[name](rows, valid, inputs, {**done[i][0], **shared}, seed)
+            row = metrics.METRICS[metric][0](predictions(fitted, valid, "trial"), ["exp_id"]).first()
+            return None if row is None or row[metric] is None else float(row[metric])
+
+        with ThreadPoolExecutor(max_workers=parallelism) as pool:
+            for i, value in zip(alive, list(pool.map(trial, alive)), strict=True):
+                done[i] = (done[i][0], value)
+        alive.sort(key=rank)
+        if rung < rungs - 1:
+            alive = alive[: max(1, int(np.ceil(len(alive) * keep)))]
+    return done[alive[0]][0], done
 
 
 def model_race(models: Sequence[str], splits: DataFrame, inputs: Inputs, fraction: float = 1.0, min_rows: int = 0, seed: int = 0, params: Mapping[str, Mapping] | None = None) -> DataFrame:
@@ -266,14 +289,6 @@ def model_race(models: Sequence[str], splits: DataFrame, inputs: Inputs, fractio
     return out
 
 
-def reference_gap(splits: DataFrame, inputs: Inputs, primary: str = "auc", params: Mapping | None = None) -> DataFrame:
-    """Valid-minus-OOT gap of the default model: the normal drift of this data."""
-    _, preds = run_experiment("reference", "gbt", splits, inputs, params)
-    rows = metrics.METRICS[primary][0](preds, ["exp_id", SPLIT])
-    side = lambda s: F.max(F.when(F.col(SPLIT) == s, F.col(primary)))
-    return rows.groupBy("exp_id").agg(side("valid").alias("valid"), side("oot_dev").alias("oot_dev")).withColumn("gap", F.col("valid") - F.col("oot_dev"))
-
-
 def masked(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     """The same rows with some fields missing, types unchanged."""
     kinds = {f.name: f.dataType for f in df.schema.fields}
@@ -296,6 +311,18 @@ def holdout_result(fitted: Fitted, rows: DataFrame, oot_score: float, reference_
 
 # ---- monotone rules ------------------------------------------------------------------------
 
+def merged_priors(table: Mapping[str, object], aliases: Mapping[str, str] | None = None, definitions: DataFrame | Sequence[Mapping] = ()) -> dict[str, int]:
+    """Monotone priors by feature: those of generated features (``name``, ``prior``) win over the table's
+    own, and these over a name that is only an alias of one of the table. Only whole numbers of the
+    table count; one row a feature."""
+    stated = {f: d for f, d in table.items() if isinstance(d, int) and not isinstance(d, bool)}
+    out = {f: stated[known] for f, known in (aliases or {}).items() if known in stated}
+    out.update(stated)
+    rows = definitions.where("prior is not null").select("name", "prior").collect() if isinstance(definitions, DataFrame) else definitions
+    out.update({d["name"]: int(d["prior"]) for d in rows if d["prior"] is not None})
+    return out
+
+
 def monotone_guard(df: DataFrame, features: Sequence[str], priors: Mapping[str, int], categorical: Sequence[str] = (), min_rho: float = 0.01, label: str = LABEL, buckets: int | None = None) -> DataFrame:
     """``(feature, decision, rho)``: which features may carry a monotone constraint.
 

@@ -15,7 +15,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftmill.columns import LABEL, SPLIT
+from siftmill.columns import SPLIT
 from siftmill.operators import compare, metrics
 from siftmill.operators.encoding import Encoder, Inputs
 from siftmill.operators.models import MODELS, Fitted, predictions, woe_transform
@@ -117,4 +117,4 @@ def experiment_record(exp_id: str, fitted: Fitted, preds: DataFrame, fidelity: s
     return out.withColumns({c: F.lit(v).cast(kinds.get(c, "long")) for c, v in facts.items()}).withColumn("gap", F.col("valid_auc") - F.col("oot_dev_auc"))
 
 
-__all__ = ["LABEL", "against_reference", "experiment_record", "load", "reference_drop", "reference_gap", "reference_model", "save"]
+__all__ = ["against_reference", "experiment_record", "load", "reference_drop", "reference_gap", "reference_model", "save"]

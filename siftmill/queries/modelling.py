@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siftmill.columns import ID, SPLIT
-from siftmill.operators import explain, factory, metrics, models
+from siftmill.operators import explain, factory, judge, metrics, models, stored
 from siftmill.operators.models import Inputs
 from siftmill.queries import bindings as b
 from siftmill.queries.base import query, r, rounded, table
 from siftmill.queries.sqltext import edges_cte, long_cte, right_bin
-from siftmill.session import cut_lineage
+from siftmill.session import cut_lineage, scratch_folder
 
 INPUTS = Inputs(numeric=("total", "n_lines", "qty_sum", "signal", "half"), categorical=("cat",))
 SMALL = {"gbt": {"max_iter": 5, "max_depth": 3}, "random_forest": {"n_trees": 8, "max_depth": 4}, "scorecard": {"C": 1.0, "n_bins": 8}}
@@ -123,23 +123,72 @@ def experiment_metrics(spark, sf):
 
 @query("model_race", "ML9,U3")
 def model_race(spark, sf):
-    from siftmill.operators.judge import race_tie
-
     preds = models.model_race(["scorecard", "random_forest"], rows(spark, sf), INPUTS, params=SMALL)
     scores = metrics.auc(preds.where("split = 'oot_dev'"), ["exp_id"]).select(F.lit("t").alias("task_id"), F.col("exp_id").alias("model"), F.col("auc").alias("score"))
-    return race_tie(scores, 0.01, ["random_forest", "scorecard"])
+    return judge.race_tie(scores, 0.01, ["random_forest", "scorecard"])
 
 
 @query("parameter_search", "ML8")
 def parameter_search(spark, sf):
     s = rows(spark, sf)
     best, done = models.param_search("scorecard", s, INPUTS, 3, seed=1)
-    return spark.createDataFrame([(i, float(p["C"]), int(p["n_bins"]), round(v, 4), p == best) for i, (p, v) in enumerate(done)], "trial int, c double, n_bins int, auc double, best boolean")
+    return spark.createDataFrame([(i, float(p["C"]), int(p["n_bins"]), v and round(v, 4), p == best) for i, (p, v) in enumerate(done)], "trial int, c double, n_bins int, auc double, best boolean")
+
+
+@query("halving_search", "ML8")
+def halving_search(spark, sf):
+    """Four forests on a ninth of the rows, two on a third, the best on all; one encoder."""
+    s = rows(spark, sf)
+    space = {"n_trees": {"low": 2, "high": 8, "type": "int"}, "max_depth": {"low": 2, "high": 5, "type": "int"}}
+    best, done = models.param_search("random_forest", s, INPUTS, 4, seed=1, space=space, rungs=3, min_rows=200)
+    return spark.createDataFrame([(i, int(p["n_trees"]), int(p["max_depth"]), v and round(v, 4), p == best) for i, (p, v) in enumerate(done)], "trial int, n_trees int, max_depth int, auc double, best boolean")
+
+
+_REFERENCES: dict[tuple[str, str], str] = {}
+
+
+def reference(spark, sf, s):
+    """The task's reference model, fitted once per application and read from then on."""
+    key = (spark.sparkContext.applicationId, sf)
+    folder = _REFERENCES.setdefault(key, scratch_folder(spark, "reference"))
+    return stored.reference_model(s, INPUTS, folder, SMALL["gbt"])
 
 
 @query("reference_gap", "ML10,ML14")
 def reference_gap(spark, sf):
-    return rounded(models.reference_gap(rows(spark, sf), INPUTS, params=SMALL["gbt"]), 4, "valid", "oot_dev", "gap")
+    s = rows(spark, sf)
+    return rounded(stored.reference_gap(reference(spark, sf, s), s), 4, "valid", "oot_dev", "gap", "auc_se", "mde")
+
+
+@query("reference_holdout", "ML10,ML14,ML15,E5")
+def reference_holdout(spark, sf):
+    """A scorecard on the holdout, its drop judged by the stored reference model's own."""
+    s = rows(spark, sf)
+    oot, final = s.where("split = 'oot_dev'"), s.where("split = 'holdout'")
+    drop = stored.reference_drop(reference(spark, sf, s), oot, final)
+    fitted, preds = models.run_experiment("card", "scorecard", s, INPUTS, SMALL["scorecard"])
+    score = metrics.auc(preds.where("split = 'oot_dev'"), ["exp_id"]).first()["auc"]
+    out = models.holdout_result(fitted, final, score, drop).withColumn("reference_drop", F.lit(drop))
+    return rounded(out.select("auc", "oot_dev", "drop", "reference_drop", "overfit_to_oot"), 4, "auc", "oot_dev", "drop", "reference_drop")
+
+
+@query("against_reference", "ML14,J5")
+def against_reference(spark, sf):
+    """Two candidates next to the reference model, on the same rows."""
+    s = rows(spark, sf)
+    preds = models.model_race(["scorecard", "random_forest"], s, INPUTS, params=SMALL)
+    out = stored.against_reference(reference(spark, sf, s), s, preds, ["scorecard", "random_forest"], n=100)
+    return rounded(out, 4, "delta", "ci_low", "ci_high")
+
+
+@query("experiment_record", "ML7,E1")
+def experiment_record(spark, sf):
+    """What the judgement reads about an experiment: trees that stop at their own limit have converged."""
+    s = rows(spark, sf)
+    fitted, preds = models.run_experiment("gbt", "gbt", s, INPUTS, SMALL["gbt"])
+    record = judge.diagnose(stored.experiment_record("gbt", fitted, preds))
+    out = record.select("exp_id", "model", "n_features", "n_rows", "best_iter", "max_iter", "valid_auc", "oot_dev_auc", "gap", "score_psi", F.concat_ws(",", "codes").alias("codes"))
+    return rounded(out, 4, "valid_auc", "oot_dev_auc", "gap", "score_psi")
 
 
 @query("contributions", "ML11")

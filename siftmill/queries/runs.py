@@ -95,6 +95,25 @@ def promotable(spark, sf):
     return judge.promotable(b.exps(spark, sf)).select("exp_id", "task_id")
 
 
+PROMOTABLE = "fidelity = 'low' AND verdict IN ('PROMISING', 'INCONCLUSIVE') AND NOT invalidated AND NOT EXISTS (SELECT 1 FROM exps d WHERE d.action_type = 'PROMOTE_FIDELITY' AND d.target_exp_id = e.exp_id AND d.task_id = e.task_id)"
+
+
+@query("promote_candidates", "E7", f"{EXPS} SELECT exp_id, task_id FROM exps e WHERE {PROMOTABLE} AND (verdict = 'PROMISING' OR delta > 0)")
+def promote_candidates(spark, sf):
+    return judge.promote_candidates(b.exps(spark, sf)).select("exp_id", "task_id")
+
+
+@query("decision_codes", "E7,E1", f"""{EXPS}, marked AS (SELECT *, CASE WHEN k % 5 = 0 THEN 'OVERFIT_GAP' ELSE 'PLATEAU' END AS code, k % 4 AS left_ FROM exps),
+t AS (SELECT task_id, arg_max(code, seq) AS code, arg_max(action_type, seq) AS action, arg_max(left_, seq) AS left_, bool_or(verdict = 'ACCEPT' AND fidelity = 'full' AND NOT invalidated) AS final FROM marked GROUP BY 1),
+c AS (SELECT task_id, count(*) AS can, count(*) FILTER (WHERE verdict = 'PROMISING' OR delta > 0) AS wanted FROM exps e WHERE {PROMOTABLE} GROUP BY 1)
+SELECT t.task_id, concat_ws(',', code, CASE WHEN NOT final AND can > 0 AND NOT (action = 'PROMOTE_FIDELITY' AND code = 'OVERFIT_GAP' AND left_ >= 2) THEN 'NO_FINAL_MODEL' END, CASE WHEN final AND wanted > 0 THEN 'PROMOTE_CANDIDATE' END) AS codes
+FROM t LEFT JOIN c ON t.task_id = c.task_id""")
+def decision_codes(spark, sf):
+    k = F.col("k")
+    e = b.exps(spark, sf).withColumns({"codes": F.array(F.when(k % 5 == 0, "OVERFIT_GAP").otherwise("PLATEAU")), "left": k % 4})
+    return judge.decision_codes(e, rounds_left="left").select("task_id", F.concat_ws(",", "decision_codes").alias("codes"))
+
+
 @query("top_experiments", "E8,L2", f"{EXPS}, t AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY oot_dev_auc DESC, seq) AS rank FROM exps WHERE NOT invalidated) SELECT task_id, exp_id, CAST(rank AS INTEGER) AS rank FROM t WHERE rank <= 3")
 def top_experiments(spark, sf):
     return judge.top_experiments(b.exps(spark, sf), 3).select("task_id", "exp_id", "rank")
@@ -155,7 +174,7 @@ PRINT_SQL = """fp AS (SELECT CAST(c_nationkey AS VARCHAR) AS task_id, c_nationke
 @query("nearest_tasks", "E10,T11", f"""WITH {PRINT_SQL}, d AS (SELECT a.task_id, s.task_id AS nearest, sqrt(pow((log10(a.n_samples) - log10(s.n_samples)) / 0.5, 2) + pow((a.n_features - s.n_features) / 20.0, 2) + pow((a.bad_rate - s.bad_rate) / 0.05, 2) + pow((a.missing_rate - s.missing_rate) / 0.1, 2) + pow((a.time_span_months - s.time_span_months) / 12.0, 2)) AS distance
   FROM fp a, fp s WHERE a.side = 0 AND s.side = 1),
 n AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY distance, nearest) AS rk FROM d)
-SELECT task_id, CASE WHEN distance <= 2 THEN nearest END AS nearest, CASE WHEN distance <= 2 THEN {r('distance')} END AS distance, distance > 2 AS cold_start FROM n WHERE rk = 1""")
+SELECT task_id, CASE WHEN distance <= 2 THEN nearest END AS nearest, {r('distance')} AS distance, distance > 2 AS cold_start FROM n WHERE rk = 1""")
 def nearest_tasks(spark, sf):
     j = table(spark, sf, "customer").join(table(spark, sf, "orders"), F.col("c_custkey") == F.col("o_custkey"))
     months = lambda c: F.year(c) * 12 + F.month(c)
