@@ -164,18 +164,26 @@ def lattice(words: DataFrame, name: str) -> DataFrame:
 
 
 def _merges(name: str):
-    """A constant array by id: the rank of each piece and its spines, a part of a spine as one number
-    (20 bits each for its length and the ranks at which it is made and gone)."""
-    rows = [None] * _processor(name).get_piece_size() + [(NEVER, [(1, -1, NEVER)], [(1, -1, NEVER)])]
+    """A constant by id: the rank of each piece and its spines, a part of a spine as one number (20
+    bits each for its length and the ranks at which it is made and gone)."""
+    rows = [(0, [], [])] * _processor(name).get_piece_size() + [(NEVER, [(1, -1, NEVER)], [(1, -1, NEVER)])]
     for _, i, *rest in pieces(name):
         rows[i] = rest
     short = lambda rank: min(rank + 1, NEVER)
-    packed = lambda parts: ",".join(str(n << 40 | short(made) << 20 | short(gone)) for n, made, gone in parts)
-    # A number a part and text a row: parsed once, as it is the only use of the constant.
-    said = F.lit(";".join("" if r is None else f"{short(r[0])}|{packed(r[1])}|{packed(r[2])}" for r in rows))
-    numbers = lambda text: F.transform(F.split(text, ","), lambda x: x.cast("long"))
-    parts = lambda row: F.split(row, r"\|")
-    return F.transform(F.split(said, ";"), lambda r: F.when(r != "", F.struct(F.get(parts(r), 0).cast("long").alias("rank"), numbers(F.get(parts(r), 1)).alias("left"), numbers(F.get(parts(r), 2)).alias("right"))))
+    # Splits and casts of text are worked out once, by the optimizer; a higher-order function would not be.
+    numbers = lambda values: F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+    sides = {}
+    for side, k in (("left", 1), ("right", 2)):
+        sizes = [len(r[k]) for r in rows]
+        sides[side] = numbers([n << 40 | short(made) << 20 | short(gone) for r in rows for n, made, gone in r[k]])
+        sides[f"{side}_at"] = numbers(np.cumsum([1, *sizes]).tolist())
+    return F.struct(numbers([short(r[0]) for r in rows]).alias("rank"), *[c.alias(n) for n, c in sides.items()])
+
+
+def _spine(merges, side: str, edge):
+    at = merges[f"{side}_at"]
+    first = F.get(at, _id(edge))
+    return F.slice(merges[side], first.cast("int"), (F.get(at, _id(edge) + 1) - first).cast("int"))
 
 
 def _n(part):
@@ -201,11 +209,11 @@ def _best_path(edges, merges):
         """No edge across the border of ``last`` and ``e`` merges before their own parts do."""
 
         def across(x):
-            rank = F.get(merges, _id(x))["rank"]
+            rank = F.get(merges["rank"], _id(x))
             fits = lambda a, b: (F.greatest(rank, _made(a), _made(b)) < _gone(a)) & (F.greatest(rank, _made(a), _made(b)) <= _gone(b))
-            right = lambda a: (_n(a) == _start(e) - _start(x)) & F.exists(F.get(merges, _id(e))["left"], lambda b: (_n(b) == _end(x) - _start(e)) & fits(a, b))
+            right = lambda a: (_n(a) == _start(e) - _start(x)) & F.exists(_spine(merges, "left", e), lambda b: (_n(b) == _end(x) - _start(e)) & fits(a, b))
             # Numbers of edges compare by end first: the order of the tests is from cheap to dear.
-            return (x < e) & (_end(x) > _start(e)) & (_start(x) < _start(e)) & (_start(x) >= _start(last)) & F.exists(F.get(merges, _id(last))["right"], right)
+            return (x < e) & (_end(x) > _start(e)) & (_start(x) < _start(e)) & (_start(x) >= _start(last)) & F.exists(_spine(merges, "right", last), right)
 
         return ~F.exists(near, across)
 
