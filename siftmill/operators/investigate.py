@@ -6,14 +6,16 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftmill.columns import ID, LABEL, OBS
 from siftmill.operators.metrics import shift_from_counts
-from siftmill.operators.screen import EDGE_ROW_BYTES, per_bin, value_counts_by_label
-from siftmill.plans.distribution import long_buckets, numeric_long, pair_corr, quantile_edges, quantile_points, text_long
+from siftmill.operators.screen import EDGE_ROW_BYTES, correlation_table, per_bin, value_counts_by_label
+from siftmill.plans.distribution import long_buckets, numeric_long, quantile_edges, quantile_points, text_long
 from siftmill.plans.ordered import order_key, plan_buckets, running_totals
 from siftmill.plans.sizing import broadcast_bounded
 from siftmill.plans.skew import hot_split_join
+from siftmill.session import cut_lineage
 
 TOP = 10
 HOT_SHARE = 0.001
@@ -24,6 +26,16 @@ def top_features(scores: DataFrame, by: str, n: int = TOP) -> DataFrame:
     return scores.orderBy(F.col(by).desc(), "feature").limit(n)
 
 
+def as_numbers(df: DataFrame, features: Sequence[str], key: str = ID) -> DataFrame:
+    """``df`` with each text feature replaced by how often its value occurs; missing stays missing."""
+    text = [f for f in features if isinstance(df.schema[f].dataType, T.StringType)]
+    if not text:
+        return df
+    told = frequency_encode(df, text, key)
+    renamed = told.select(key, *[F.col(f"{f}__freq").cast("double").alias(f) for f in text])
+    return df.drop(*text).join(renamed, key)
+
+
 def _bins_of(df: DataFrame, features: Sequence[str], bins: int, buckets: int | None) -> DataFrame:
     """Bins with consecutive numbers; at most ``bins + 1`` rows per feature reach the window."""
     cells = per_bin(df, features, bins=bins, buckets=buckets)
@@ -31,10 +43,11 @@ def _bins_of(df: DataFrame, features: Sequence[str], bins: int, buckets: int | N
     return cells.withColumn("bin", F.when(F.col("bin") < 0, F.col("bin")).otherwise(dense))
 
 
-def mutual_information(df: DataFrame, features: Sequence[str], bins: int = 10, buckets: int | None = None) -> DataFrame:
-    """Mutual information (nats) between quantile bins of a feature and the label."""
+def mutual_information(df: DataFrame, features: Sequence[str], bins: int = 10, buckets: int | None = None, key: str = ID) -> DataFrame:
+    """Mutual information (nats) between quantile bins of a feature and the label; text features
+    count by the frequency of their values."""
     size = Window.partitionBy("feature")
-    cells = _bins_of(df, features, bins, buckets)
+    cells = _bins_of(as_numbers(df, features, key), features, bins, buckets)
     cells = cells.withColumns({"all_n": F.sum("n").over(size).cast("double"), "all_pos": F.sum("n_pos").over(size).cast("double")})
 
     def term(count, label_total):
@@ -76,8 +89,10 @@ def target_rate_by_category(df: DataFrame, features: Sequence[str], top: int = T
     return _rates(cells).select("feature", "bin", "n", "target_rate", "lift")
 
 
-def stability_psi(df: DataFrame, features: Sequence[str], time_col: str = OBS, bins: int = 10, min_rows: int = 50, buckets: int | None = None) -> DataFrame:
-    """PSI between the early and the late half of the rows, split at the median time."""
+def stability_psi(df: DataFrame, features: Sequence[str], time_col: str = OBS, bins: int = 10, min_rows: int = 50, buckets: int | None = None, key: str = ID) -> DataFrame:
+    """PSI between the early and the late half of the rows, split at the median time; text features
+    count by the frequency of their values."""
+    df = as_numbers(df, features, key)
     timed = df.withColumn("_t", order_key(df, time_col))
     times = timed.groupBy(F.col("_t").alias("value")).agg(F.count("*").alias("n")).where("value is not null")
     half = quantile_points(times, [], [0.5], plan_buckets(timed, "_t", buckets)).first()["q"]
@@ -120,15 +135,12 @@ def rank_columns(df: DataFrame, features: Sequence[str], key: str = ID, buckets:
 def redundant_pairs(df: DataFrame, features: Sequence[str], limit: float = 0.9, key: str = ID, buckets: int | None = None) -> DataFrame:
     """Feature pairs with an absolute rank correlation above ``limit``.
 
-    Ranks are taken over the filled values of each feature; a pair uses the rows where both are
-    filled.
+    Ranks are taken over the filled values of each feature, frequencies for text; a pair uses the
+    rows where both are filled.
     """
     fs = list(features)
-    ranks = rank_columns(df, fs, key, buckets)
-    pairs = [(a, b) for i, a in enumerate(fs) for b in fs[i + 1:]]
-    wide = ranks.agg(*[F.abs(pair_corr(a, b)).alias(f"c{k}") for k, (a, b) in enumerate(pairs)])
-    items = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{k}").alias("corr")) for k, (a, b) in enumerate(pairs)])
-    return wide.select(F.explode(items).alias("p")).select("p.*").where(F.col("corr") > limit)
+    ranks = cut_lineage(rank_columns(as_numbers(df, fs, key), fs, key, buckets))
+    return correlation_table(ranks, fs).select("a", "b", F.abs("corr").alias("corr")).where(F.col("corr") > limit)
 
 
 def frequency_encode(df: DataFrame, features: Sequence[str], key: str = ID) -> DataFrame:

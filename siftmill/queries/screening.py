@@ -155,6 +155,41 @@ def redundant_pairs(spark, sf):
     return rounded(inv.redundant_pairs(train(spark, sf), RANKED, buckets=4), 6, "corr")
 
 
+# Text features count by how often their value occurs.
+TEXT = ["cat_text", "status", "priority"]
+TRAIN_TEXT = f"""WITH {b.CTE_SPLITS}, train AS (SELECT _row_id, _label AS y, _obs_time, signal, CASE WHEN cat IS NOT NULL THEN CAST(count(*) OVER (PARTITION BY cat) AS DOUBLE) END AS cat_text,
+  CAST(count(*) OVER (PARTITION BY status) AS DOUBLE) AS status, CAST(count(*) OVER (PARTITION BY priority) AS DOUBLE) AS priority FROM splits WHERE split = 'train')"""
+
+
+def text_train(spark, sf):
+    return train(spark, sf).select(ID, "_label", "_obs_time", "signal", F.col("cat").alias("cat_text"), "status", "priority")
+
+
+@query("mutual_information_text", "IV1", f"""{TRAIN_TEXT}, {long_cte('train', TEXT, extra='y')}, {BINS}, t AS (SELECT *, CAST(sum(n) OVER (PARTITION BY feature) AS DOUBLE) AS nn, CAST(sum(n_pos) OVER (PARTITION BY feature) AS DOUBLE) AS pp FROM cells),
+j AS (SELECT feature, nn, n AS m, n_pos AS c, pp AS s FROM t UNION ALL SELECT feature, nn, n, n - n_pos, nn - pp FROM t)
+SELECT feature, {r('sum(CASE WHEN c > 0 THEN c / nn * ln((c / nn) / ((m / nn) * (s / nn))) ELSE 0 END)')} AS mi FROM j GROUP BY 1""")
+def mutual_information_text(spark, sf):
+    return rounded(inv.mutual_information(text_train(spark, sf), TEXT), 6, "mi")
+
+
+@query("stability_psi_text", "IV3", f"""{TRAIN_TEXT}, o AS (SELECT epoch(_obs_time) AS t, row_number() OVER (ORDER BY _obs_time) - 1 AS rn, count(*) OVER () - 1 AS top FROM train),
+med AS (SELECT (max(t) FILTER (WHERE rn = floor(top * 0.5)) + max(t) FILTER (WHERE rn = ceil(top * 0.5))) / 2 AS half_time FROM o),
+halves AS (SELECT train.*, epoch(_obs_time) <= half_time AS ref FROM train, med), {long_cte('halves', TEXT, extra='ref')}, {psi_cte('long', 'feature', 'feature', 10)},
+big AS (SELECT feature FROM long WHERE v IS NOT NULL GROUP BY 1 HAVING count(*) FILTER (WHERE ref) > 50 AND count(*) FILTER (WHERE NOT ref) > 50)
+SELECT feature, {r('psi')} AS psi FROM psi_ SEMI JOIN big USING (feature)""")
+def stability_psi_text(spark, sf):
+    return rounded(inv.stability_psi(text_train(spark, sf), TEXT), 6, "psi")
+
+
+TEXT_PAIRS = [(a, c) for i, a in enumerate([*TEXT, "signal"]) for c in [*TEXT, "signal"][i + 1:]]
+
+
+@query("redundant_pairs_text", "IV5", f"{TRAIN_TEXT}, ranks AS (SELECT " + ", ".join(f"CASE WHEN {c} IS NOT NULL THEN rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / CAST(2 AS DOUBLE) END AS {c}" for c in [*TEXT, "signal"])
+    + " FROM train), p AS (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{c}' AS b, {r(f'abs(corr({a}, {c}))')} AS corr FROM ranks WHERE {a} IS NOT NULL AND {c} IS NOT NULL" for a, c in TEXT_PAIRS) + ") SELECT * FROM p WHERE corr > 0.01")
+def redundant_pairs_text(spark, sf):
+    return rounded(inv.redundant_pairs(text_train(spark, sf), [*TEXT, "signal"], limit=0.01, buckets=4), 6, "corr")
+
+
 @query("frequency_encoding", "IV6", "SELECT o_orderkey AS _row_id, count(*) OVER (PARTITION BY o_orderpriority) AS o_orderpriority__freq, count(*) OVER (PARTITION BY o_custkey) AS cust__freq FROM orders")
 def frequency_encoding(spark, sf):
     df = table(spark, sf, "orders").select(F.col("o_orderkey").alias(ID), "o_orderpriority", F.col("o_custkey").alias("cust"))

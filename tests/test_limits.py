@@ -26,6 +26,41 @@ def test_correlation_of_many_features_with_nulls(spark):
         assert (c is None and "flat" in (a, b)) or np.isclose(c, want.loc[a, b], atol=1e-9)
 
 
+def test_tiles_do_not_matter(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(120, 60))
+    x[:, 7] = x[:, 51] * 2
+    x[rng.random(x.shape) < 0.1] = np.nan
+    pdf = pd.DataFrame(x, columns=[f"f{i}" for i in range(60)])
+    df, want = spark.createDataFrame(pdf).repartition(3), pdf.corr()
+    for tile in (1000, 23):
+        got = {(r["a"], r["b"]): r["corr"] for r in screen.correlation_table(df, list(pdf.columns), tile=tile).collect()}
+        assert len(got) == 60 * 59 // 2 and all(np.isclose(c, want.loc[a, b], atol=1e-9) for (a, b), c in got.items())
+
+
+def greedy(order, pairs):
+    close = {frozenset(p) for p in pairs}
+    kept, dropped = [], {}
+    for f in order:
+        rival = next((k for k in kept if frozenset((k, f)) in close), None)
+        if rival is None:
+            kept.append(f)
+        else:
+            dropped[f] = rival
+    return kept, dropped
+
+
+def test_pruning_by_rounds_is_greedy(spark):
+    rng = np.random.default_rng(9)
+    order = [f"f{i}" for i in rng.permutation(30)]
+    for share in (0.0, 0.05, 0.4):
+        pairs = [(a, b) for i, a in enumerate(order) for b in order[i + 1 :] if rng.random() < share]
+        pairs += [(b, a) for a, b in pairs[:3]] + [("f1", "f1"), ("f1", "other")]
+        assert screen.prune_pairs(order, spark.createDataFrame(pairs, "a string, b string")) == greedy(order, [p for p in pairs if p[0] != p[1]])
+    chain = [(a, b) for a, b in zip(order[:8], order[1:8], strict=False)]
+    assert screen.prune_pairs(order, spark.createDataFrame(chain, "a string, b string")) == greedy(order, chain)
+
+
 def test_text_boundaries_of_sorted_rows(spark):
     df = spark.range(40_000).select(F.format_string("%08d", "id").alias("k"))
     bounds = ordered.plan_buckets(df, "k", 16)
