@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 from siftmill.functions.dates import month_of
 from siftmill.operators.label import LabelRule, label_column
 from siftmill.plans.distribution import long_buckets, numeric_long, quantile_points, text_long
-from siftmill.plans.sizing import broadcast_bounded
+from siftmill.plans.sizing import broadcast_bounded, broadcast_if_small
+from siftmill.session import cut_lineage
 
 DATE_NAME = r"year|month|day|date|time"
 # Common placeholders for "unknown".
@@ -142,22 +143,39 @@ def placeholder_texts(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     return counts.where(hit).select(F.col("feature").alias("column"), "value", "n")
 
 
+#: A value in more than this share of the rows is one of at most 1 / share and is broadcast.
+HOT_ROWS = 1e-3
+
+
+def repeated_rows(df: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is in more than one row.
+
+    Counts are combined before their shuffle. Rows of very frequent keys are picked by a broadcast of
+    these few and stay where they are; only the other rows may be shuffled to meet their keys.
+    """
+    total = df.count()
+    again = cut_lineage(df.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1"))
+    hot = F.broadcast(again.where(F.col("_n") > HOT_ROWS * total).select(key))  # at most 1 / HOT_ROWS rows
+    rare = broadcast_if_small(cut_lineage(again.where(F.col("_n") <= HOT_ROWS * total).select(key)))
+    return df.join(hot, key, "left_semi").unionByName(df.join(hot, key, "left_anti").join(rare, key, "left_semi"))
+
+
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """``(n_duplicates, n_groups)``: surplus copies of fully identical rows.
 
-    Only row hashes are shuffled; whole rows are compared for the few hashes that repeat.
+    Only row hashes are counted first; whole rows are compared for the hashes that repeat, and equal
+    ones are combined before they are shuffled, so a row repeated in a third of the table is one row
+    of each input partition.
     """
     cols = df.columns
     hashed = df.withColumn("_h", F.xxhash64(*cols))
-    again = hashed.groupBy("_h").agg(F.count("*").alias("_n")).where("_n > 1").select("_h")
-    same = hashed.join(again, "_h", "left_semi").groupBy(*cols).agg(F.count("*").alias("_n")).where("_n > 1")
+    same = repeated_rows(hashed, "_h").groupBy(*cols).agg(F.count("*").alias("_n")).where("_n > 1")
     return same.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("n_duplicates"), F.count("*").alias("n_groups"))
 
 
 def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
     """``(key, n_versions)`` for keys that occur with different content; exact copies do not count."""
-    again = df.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key)
-    return df.join(again, key, "left_semi").distinct().groupBy(key).agg(F.count("*").alias("n_versions")).where("n_versions > 1")
+    return repeated_rows(df, key).distinct().groupBy(key).agg(F.count("*").alias("n_versions")).where("n_versions > 1")
 
 
 def normal_form(value: Column) -> Column:

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siftmill.columns import ID, SPLIT
-from siftmill.operators import explain, factory, judge, metrics, models, stored
+from siftmill.operators import explain, factory, judge, metrics, models, registry, stored
+from siftmill.operators import user_code as user_code_sets
 from siftmill.operators.models import Inputs
 from siftmill.queries import bindings as b
 from siftmill.queries.base import query, r, rounded, table
-from siftmill.queries.sqltext import edges_cte, long_cte, right_bin
+from siftmill.queries.screening import AUCS, BINS, IV
+from siftmill.queries.sqltext import edges_cte, long_cte, psi_cte, right_bin
 from siftmill.session import cut_lineage, scratch_folder
 
 INPUTS = Inputs(numeric=("total", "n_lines", "qty_sum", "signal", "half"), categorical=("cat",))
@@ -261,3 +263,24 @@ def user_code(spark, sf):
 
     df = b.main(spark, sf).select(ID, "total", "n_lines")
     return rounded(models.apply_user_code(df, compute, f"{ID} long, log_total double, twice double"), 6, "log_total")
+
+
+CODED = ["log_total", "twice", "half_up", "flat"]
+
+
+@query("user_code_registered", "U1,P14,FA14", f"""WITH {b.CTE_SPLITS}, s2 AS (SELECT *, _label AS y, ln(1 + total) AS log_total, 2 * n_lines AS twice, half + 1 AS half_up, CAST(0 AS DOUBLE) AS flat FROM splits),
+train AS (SELECT * FROM s2 WHERE split = 'train'), {long_cte('train', CODED, extra='y')}, {BINS}, {IV}, {AUCS},
+sides AS (SELECT *, split = 'train' AS ref FROM s2 WHERE split IN ('train', 'oot_dev')), {long_cte('sides', CODED, 'long2', 'ref')}, {psi_cte('long2', 'feature', 'feature', 10)}
+SELECT feature AS "column", CASE WHEN iv < 0.02 THEN 'low_iv' WHEN auc > 0.75 THEN 'leak_suspect' WHEN psi > 0.25 THEN 'psi' ELSE 'kept' END AS outcome, 'half,n_lines,total' AS inputs,
+  (SELECT count(*) FROM splits WHERE split <> 'holdout') AS n_rows FROM iv_ JOIN auc_ USING (feature) JOIN psi_ USING (feature)""")
+def user_code_registered(spark, sf):
+    """Code on the open splits, its columns through the funnel, and what became of them."""
+    import numpy as np
+
+    def compute(batch):
+        made = batch.assign(log_total=np.log1p(batch["total"]), twice=batch["n_lines"] * 2, half_up=batch["half"] + 1, flat=0.0)
+        return made[[ID, *CODED]]
+
+    store = registry.FeatureStore(spark, scratch_folder(spark, "store"))
+    done = user_code_sets.register_user_code(store, b.splits(spark, sf), "log1p, doubled, shifted, flat", compute, f"{ID} long, log_total double, twice double, half_up double, flat double", ["half", "n_lines", "total"])
+    return done.select("column", "outcome", F.concat_ws(",", "inputs").alias("inputs"), "n_rows")

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from siftmill.operators import judge, regression, runlog
 from siftmill.queries import bindings as b
 from siftmill.queries.base import query, r, rounded, table
-from siftmill.session import scratch_root
+from siftmill.session import scratch_folder
 from siftmill.streaming import live_totals
 
 EXPS = f"WITH RECURSIVE {b.CTE_EXPS}"
@@ -392,10 +390,10 @@ def small_oot_scenario(spark, sf):
   CAST(coalesce(sum(CASE WHEN itemised THEN k + 1 END), 0) AS BIGINT) AS output, CAST(0 AS BIGINT) AS reasoning, {r('coalesce(sum(sec), 0)')} AS sec FROM log GROUP BY 1, 2""")
 def live_run_totals(spark, sf):
     """Streams the log files through the running totals and returns the final state."""
-    root, name = f"{scratch_root(spark)}/{uuid.uuid4().hex}", f"totals_{uuid.uuid4().hex}"
+    root = scratch_folder(spark, "totals")
     log = b.runlog(spark, sf)
     log.repartition(4, "id").write.parquet(f"{root}/log")
     stream = live_totals.read_event_stream(spark, f"{root}/log", log.schema, files_per_trigger=2)
-    q = live_totals.write_totals(live_totals.run_totals(stream), name, f"{root}/checkpoint").start()
+    q = live_totals.write_totals(live_totals.run_totals(stream), f"{root}/table", f"{root}/checkpoint").start()
     q.awaitTermination()
-    return rounded(spark.table(name), 6, "sec")
+    return rounded(live_totals.read_totals(spark, f"{root}/table"), 6, "sec")
