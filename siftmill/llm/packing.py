@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from siftmill.llm import arrays, common, encode
 
 CAPACITY = 1024
+#: Bytes of text that a task encodes at once.
+SLICE = 3 << 20
 _PIECES = "_key long, _row long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -88,7 +90,7 @@ def pieces(df: DataFrame, key: str, text: str, tokenizer: str, end_id: int, capa
 
         coder, row = encode.encoder(tokenizer), TaskContext.get().partitionId() << 40
         for batch in batches:
-            for part in arrays.slices(batch, "_text"):
+            for part in arrays.slices(batch, "_text", SLICE):
                 ids, ends = coder.ids(arrays.plain_texts(part.column("_text")))
                 n = np.diff(ends) + 1
                 number = -(-n // capacity)

@@ -241,6 +241,7 @@ def scores(rows: DataFrame, folder: str, shards: int, order: int = ORDER) -> Dat
                         known[mine], loss[mine] = True, arrays.segment_sums(nats[at], ends)
                 n, ink = pc.utf8_length(texts), pc.utf8_length(pc.utf8_trim_whitespace(texts))
                 yield common.arrow_out({c: part.column(c) for c in ("_key", "_lang", "_fold")} | {"n_chars": n, "n_ink": ink, "loss": pa.array(loss, mask=~known)}, types)
+        _KEPT_SHARDS.clear()  # the worker goes on with other work
 
     return rows.select("_key", "_lang", "_fold", "_text").mapInArrow(score, types)
 
