@@ -16,11 +16,12 @@ from pyspark.sql import functions as F
 
 from siftmill.columns import ID, LABEL, OBS, SPLIT
 from siftmill.operators import compare, metrics
-from siftmill.operators.encoding import Encoder, Inputs, fit_encoder, prepare
+from siftmill.operators.encoding import HOT, Encoder, Inputs, fit_encoder, prepare
 from siftmill.operators.explain import contributions, explain
 from siftmill.operators.screen import EDGE_ROW_BYTES, value_counts_by_label
 from siftmill.plans.distribution import collapse, long_buckets, quantile_edges, right_closed_bin, text_long
-from siftmill.plans.sizing import broadcast_bounded, broadcast_if_small
+from siftmill.plans.sizing import broadcast_bounded
+from siftmill.plans.skew import hot_split_join
 from siftmill.session import cut_lineage
 from siftmill.sources.subset import fraction_sample
 
@@ -85,13 +86,17 @@ def woe_transform(df: DataFrame, inputs: Inputs, table: DataFrame) -> DataFrame:
             cells = F.when(inside, F.element_at(values, at + 1)).otherwise(F.lit(float(woe.get(-1, 0.0))))
         made[f"{f}__woe"] = cells
     out = out.withColumns(made) if made else out
+    texts = table.where("kind = 'text'")
+    total = texts.groupBy("feature").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] if inputs.categorical else 0
     for f in inputs.categorical:
-        level = table.where((F.col("kind") == "text") & (F.col("feature") == f)).select(F.col("level").alias(f"_l_{f}"), F.col("woe").alias(f"_w_{f}"))
+        own = texts.where(F.col("feature") == f)
+        level = own.select(F.col("level").alias(f"_l_{f}"), F.col("woe").alias(f"_w_{f}"), (F.col("n") > HOT * (total or 0)).alias("_often"))
         rare = level.where(F.col(f"_l_{f}") == RARE).select(F.col(f"_w_{f}")).collect()  # at most one row
         other = float(rare[0][0]) if rare else 0.0
-        hit = out.withColumn(f"_l_{f}", F.col(f).cast("string")).join(broadcast_if_small(level), f"_l_{f}", "left")
+        # At most 1 / HOT levels can be that frequent.
+        hit = hot_split_join(out.withColumn(f"_l_{f}", F.col(f).cast("string")), level, [f"_l_{f}"], F.col("_often"), int(1 / HOT), ID)
         value = F.coalesce(F.col(f"_w_{f}"), F.lit(other))
-        out = hit.withColumn(f"{f}__woe", value).drop(f"_l_{f}", f"_w_{f}")
+        out = hit.withColumn(f"{f}__woe", value).drop(f"_l_{f}", f"_w_{f}", "_often")
     return out
 
 

@@ -40,7 +40,7 @@ def profile(df: DataFrame, examples: int = 5) -> DataFrame:
     first = counts.where("value is not null").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= examples)
     shown = first.groupBy("feature").agg(F.concat_ws("|", F.transform(F.array_sort(F.collect_list(F.struct("_r", "value"))), lambda s: s["value"])).alias("examples"))
     types = df.sparkSession.createDataFrame([(f.name, f.dataType.simpleString()) for f in df.schema.fields], "feature string, sql_type string")
-    out = broadcast_bounded(types, len(names), 64).join(stats, "feature").join(broadcast_bounded(shown, len(names), 4096), "feature", "left")
+    out = broadcast_bounded(types, len(names), 64).join(stats, "feature").join(broadcast_if_small(cut_lineage(shown)), "feature", "left")
     nums = _numeric_fields(df)
     if nums:
         items = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"`lo|{f}`").alias("min_value"), F.col(f"`hi|{f}`").alias("max_value")) for f in nums])

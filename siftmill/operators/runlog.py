@@ -108,17 +108,16 @@ def wall_seconds(events: DataFrame) -> DataFrame:
 def wasted_rounds(exps: DataFrame) -> DataFrame:
     """Experiments that failed or repeat an earlier configuration of the task, and their share.
 
-    The first use of a configuration is an aggregate, joined back on the configuration.
+    All that counts is how many rounds of a configuration there are, how many failed and what its
+    first one did, so rows are summed by configuration and never joined back to it.
     """
-    h = F.when(F.col("fidelity") != "none", F.col("config_hash"))
-    keyed = exps.withColumn("_hash", h)
-    first = keyed.where(F.col("_hash").isNotNull() & (F.col("_hash") != "")).groupBy("task_id", "_hash").agg(F.min("seq").alias("_first"))
-    seen = keyed.join(first, ["task_id", "_hash"], "left")
-    failed = F.arrays_overlap("diagnosis_codes", F.array(*[F.lit(c) for c in FAIL_CODES]))
-    wasted = (F.col("action_type") != "RACE") & (F.coalesce(failed, F.lit(False)) | F.coalesce(F.col("seq") > F.col("_first"), F.lit(False)))
-    return seen.groupBy("task_id").agg(
-        F.count_if(F.col("action_type") != "RACE").alias("n_rounds"), F.count_if(wasted).alias("n_wasted"),
-    ).withColumn("wasted_rate", F.try_divide(F.col("n_wasted").cast("double"), F.col("n_rounds")))
+    used = F.when(F.col("fidelity") != "none", F.col("config_hash"))
+    failed = F.coalesce(F.arrays_overlap("diagnosis_codes", F.array(*[F.lit(c) for c in FAIL_CODES])), F.lit(False))
+    round_ = F.col("action_type") != "RACE"
+    by_seq = exps.groupBy("task_id", F.when(used != "", used).alias("_hash"), "seq").agg(F.count_if(round_).alias("_n"), F.count_if(round_ & failed).alias("_bad"))
+    by_hash = by_seq.groupBy("task_id", "_hash").agg(F.sum("_n").alias("_n"), F.sum("_bad").alias("_bad"), F.min_by(F.struct("_n", "_bad"), "seq").alias("_first"))
+    again = F.when(F.col("_hash").isNull(), F.col("_bad")).otherwise(F.col("_n") - F.col("_first._n") + F.col("_first._bad"))
+    return by_hash.groupBy("task_id").agg(F.sum("_n").alias("n_rounds"), F.sum(again).alias("n_wasted")).withColumn("wasted_rate", F.try_divide(F.col("n_wasted").cast("double"), F.col("n_rounds")))
 
 
 def reject_kind(text: Column, kinds: Mapping[str, Sequence[str]] = REJECT_KINDS) -> Column:

@@ -128,15 +128,22 @@ def depth_template(spark, sf):
     return factory.compute_features(detail(spark, sf), t)
 
 
-DEEP = ("l_quantity", "l_discount", "l_tax")
+# Every number of the detail table, and products and shares of them: 32 columns, 129 features.
+BASE_NUMBERS = ("l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+MADE_NUMBERS = {f"price_{k}": f"l_extendedprice * {k} / (l_quantity + {k}.37)" for k in range(1, 14)} | {f"cost_{k}": f"l_quantity * (1 - l_discount) / {k}.37 + l_tax" for k in range(1, 13)}
+DEEP = (*BASE_NUMBERS, *MADE_NUMBERS)
+_DIGITS = {c: 6 if c in BASE_NUMBERS else 4 for c in DEEP}
+_DEEP_SQL = ", ".join(f"{r(f'{fn}({c})', _DIGITS[c])} AS {p}_line_{c}" for c in DEEP for p, fn in (("max", "max"), ("min", "min"), ("mean", "avg"), ("sum", "sum")))
 
 
 @query("deep_aggregates", "FA12", f"""
-SELECT l_orderkey AS _row_id, count(*) AS count_line, {', '.join(f"max({c}) AS max_line_{c}, min({c}) AS min_line_{c}, {r(f'avg({c})')} AS mean_line_{c}, {r(f'sum({c})')} AS sum_line_{c}" for c in DEEP)}
-FROM lineitem WHERE l_shipdate < DATE '1998-01-01' GROUP BY 1""")
+WITH made AS (SELECT l_orderkey, l_shipdate, {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in BASE_NUMBERS)}, {', '.join(f'CAST({e} AS DOUBLE) AS {c}' for c, e in MADE_NUMBERS.items())} FROM lineitem)
+SELECT l_orderkey AS _row_id, count(*) AS count_line, {_DEEP_SQL} FROM made WHERE l_shipdate < DATE '1998-01-01' GROUP BY 1""")
 def deep_aggregates(spark, sf):
-    out = factory.deep_aggregate(table(spark, sf, "lineitem"), "l_orderkey", "line", F.col("l_shipdate") < F.lit("1998-01-01").cast("timestamp_ntz"), DEEP)
-    return rounded(out, 6, *[f"{p}_line_{c}" for p in ("mean", "sum") for c in DEEP])
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_shipdate", *[F.col(c).cast("double").alias(c) for c in BASE_NUMBERS], *[F.expr(e).cast("double").alias(c) for c, e in MADE_NUMBERS.items()])
+    out = factory.deep_aggregate(lines, "l_orderkey", "line", F.col("l_shipdate") < F.lit("1998-01-01").cast("timestamp_ntz"), DEEP)
+    out = rounded(out, 6, *[f"{p}_line_{c}" for p in factory.PRIMITIVES for c in BASE_NUMBERS])
+    return rounded(out, 4, *[f"{p}_line_{c}" for p in factory.PRIMITIVES for c in MADE_NUMBERS])
 
 
 @query("relative_cutoff", "FA13", f"""
@@ -160,17 +167,17 @@ def feature_store(spark, sf):
     return store.attach(table(spark, sf, "customer").select(F.col("c_custkey").alias(ID)), [fs_id])
 
 
+_DEFINED = [(d["name"], d["window"], d["prior"]) for d in factory.feature_definitions(HISTORY)]
+
+
 @query("feature_definitions", "FA15", f"""
-WITH {DETAIL_SQL}, {_history_sql()}, d AS (SELECT 'hist__a0__w180' AS name, '180' AS "window", 1 AS prior, count(hist__a0__w180) AS n_filled FROM full_agg
-UNION ALL SELECT 'hist__a4__wall', 'all', -1, count(hist__a4__wall) FROM full_agg
-UNION ALL SELECT 'hist__recency2', 'all', 1, count(hist__recency2) FROM full_agg
-UNION ALL SELECT 'hist__a0__ratio_180_365', '180/365', NULL, count(hist__a0__ratio_180_365) FROM full_agg) SELECT * FROM d""")
+WITH {DETAIL_SQL}, {_history_sql()} """ + " UNION ALL ".join(f"SELECT '{n}' AS name, '{w}' AS \"window\", CAST({'NULL' if p is None else p} AS INTEGER) AS prior, count({n}) AS n_filled FROM full_agg" for n, w, p in _DEFINED))
 def feature_definitions(spark, sf):
-    shown = ["hist__a0__w180", "hist__a4__wall", "hist__recency2", "hist__a0__ratio_180_365"]
-    rows = [(d["name"], d["window"], d["prior"]) for d in factory.feature_definitions(HISTORY) if d["name"] in shown]
+    """Every definition of the template with the entities that have a value."""
     feats = factory.compute_features(detail(spark, sf), HISTORY, [CODE])
-    counts = feats.agg(*[F.count(n).alias(n) for n in shown]).unpivot([], shown, "name", "n_filled")
-    return spark.createDataFrame(rows, "name string, window string, prior int").join(F.broadcast(counts), "name")
+    names = [n for n, *_ in _DEFINED]
+    counts = feats.agg(*[F.count(n).alias(n) for n in names]).unpivot([], names, "name", "n_filled")
+    return spark.createDataFrame(_DEFINED, "name string, window string, prior int").join(F.broadcast(counts), "name")
 
 
 @query("observed_windows", "FA2,FA3", f"""

@@ -243,14 +243,17 @@ def holdout_masked(spark, sf):
     return rounded(out, 4, "auc", "pr_auc", "ks", "lift_top10", "recall_top10", "brier", "oot_dev", "drop", "auc_masked")
 
 
+LINE_NUMBERS = ["l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
 @query("aggregate_gain", "ML16,J4")
 def aggregate_gain(spark, sf):
-    """The order total alone against the total, a planted signal and line aggregates."""
+    """The order total alone against the total, a planted signal and all line aggregates."""
     s = rows(spark, sf)
-    deep = factory.deep_aggregate(table(spark, sf, "lineitem"), "l_orderkey", "line", fields=["l_quantity", "l_tax"], primitives=("mean", "max"))
+    deep = factory.deep_aggregate(table(spark, sf, "lineitem"), "l_orderkey", "line", fields=LINE_NUMBERS)
     wide = cut_lineage(factory.attach(s, deep), (SPLIT,))
     base = Inputs(numeric=("total",))
-    extra = Inputs(numeric=("total", "signal", "count_line", "mean_line_l_quantity", "max_line_l_tax"))
+    extra = Inputs(numeric=("total", "signal", *[c for c in deep.columns if c != ID]))
     return rounded(models.agg_gain(wide, base, extra, n=50, params=SMALL["gbt"]), 4, "delta", "ci_low", "ci_high", "auc_se", "mde")
 
 

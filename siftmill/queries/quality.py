@@ -14,14 +14,18 @@ from siftmill.queries.base import hash_mod, query, r, rounded, sql_hash_mod, tab
 from siftmill.queries.sqltext import long_cte
 from siftmill.sources import subset
 
-@query("table_profile", "Q1", """WITH v AS (""" + " UNION ALL ".join(f"SELECT '{c}' AS c, CAST({c} AS VARCHAR) AS v FROM orders" for c in ("o_custkey", "o_orderstatus", "o_orderpriority")) + f"""),
+PROFILED = {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double", "o_orderpriority": "string"}
+_SPANS = ["o_orderkey", "o_custkey", "o_totalprice"]
+_ENDS = lambda fn: "CASE v.c " + " ".join(f"WHEN '{c}' THEN (SELECT CAST({fn}({c}) AS DOUBLE) FROM orders)" for c in _SPANS) + " END"
+
+
+@query("table_profile", "Q1", """WITH v AS (""" + " UNION ALL ".join(f"SELECT '{c}' AS c, CAST({c} AS VARCHAR) AS v FROM orders" for c in PROFILED) + f"""),
 d AS (SELECT c, v, row_number() OVER (PARTITION BY c ORDER BY v) AS rk FROM (SELECT DISTINCT c, v FROM v WHERE v IS NOT NULL)),
 e AS (SELECT c, string_agg(v, '|' ORDER BY rk) AS examples FROM d WHERE rk <= 5 GROUP BY 1)
-SELECT v.c AS "column", CASE v.c WHEN 'o_custkey' THEN 'bigint' ELSE 'string' END AS sql_type, count(*) AS n_rows, {r('avg(CASE WHEN v IS NULL THEN CAST(1 AS DOUBLE) ELSE 0 END)')} AS missing_rate,
-       count(DISTINCT v) AS n_unique, max(examples) AS examples, CASE v.c WHEN 'o_custkey' THEN (SELECT CAST(min(o_custkey) AS DOUBLE) FROM orders) END AS min_value,
-       CASE v.c WHEN 'o_custkey' THEN (SELECT CAST(max(o_custkey) AS DOUBLE) FROM orders) END AS max_value FROM v JOIN e ON v.c = e.c GROUP BY v.c""")
+SELECT v.c AS "column", CASE v.c {' '.join(f"WHEN '{c}' THEN '{t}'" for c, t in PROFILED.items())} END AS sql_type, count(*) AS n_rows, {r('avg(CASE WHEN v IS NULL THEN CAST(1 AS DOUBLE) ELSE 0 END)')} AS missing_rate,
+       count(DISTINCT v) AS n_unique, max(examples) AS examples, {_ENDS('min')} AS min_value, {_ENDS('max')} AS max_value FROM v JOIN e ON v.c = e.c GROUP BY v.c""")
 def table_profile(spark, sf):
-    df = table(spark, sf, "orders").select("o_custkey", "o_orderstatus", "o_orderpriority")
+    df = table(spark, sf, "orders").select(*PROFILED)
     return rounded(ql.profile(df), 6, "missing_rate")
 
 
@@ -39,7 +43,7 @@ def label_candidates(spark, sf):
     return ql.label_candidates(table(spark, sf, "labels"))
 
 
-STAT = ["l_quantity", "l_extendedprice", "l_discount", "l_linenumber"]
+STAT = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 STAT_LONG = f"WITH {long_cte('lineitem', STAT)}"
 
 

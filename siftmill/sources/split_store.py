@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftmill.plans.sizing import once
 from siftmill.columns import OPEN_SPLITS, SPLIT
 from siftmill.sources.tables import path_exists
 
@@ -30,6 +31,7 @@ class SplitStore:
         self.spark, self.root = spark, root.rstrip("/")
 
     def write(self, df: DataFrame) -> None:
+        df = once(df, always=True)  # both parts are read from one computation
         df.where(F.col(SPLIT).isin(*OPEN_SPLITS)).write.mode("overwrite").partitionBy(SPLIT).parquet(f"{self.root}/splits")
         df.where(F.col(SPLIT) == "holdout").drop(SPLIT).write.mode("overwrite").parquet(f"{self.root}/holdout")
 
