@@ -117,8 +117,8 @@ def _placements(pairs: DataFrame, side: str, key: str, buckets: int | None) -> D
     counts = pairs.groupBy(F.col(f"p_{side}").alias("s")).agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") != 1).alias("neg"))
     cum = running_totals(counts, [], ["s"], {"cpos": F.col("pos"), "cneg": F.col("neg")}, plan_buckets(pairs, f"p_{side}", buckets), grand={"pos_all": F.col("pos"), "neg_all": F.col("neg")})
     place = cum.select(
-        F.col("s").alias(f"p_{side}"), ((F.col("cneg") - F.col("neg") / 2.0) / F.col("neg_all")).alias(f"v_{side}_pos"),
-        (1 - (F.col("cpos") - F.col("pos") / 2.0) / F.col("pos_all")).alias(f"v_{side}_neg"), ((F.col("pos") + F.col("neg")) > 0.001 * (F.col("pos_all") + F.col("neg_all"))).alias("_often"),
+        F.col("s").alias(f"p_{side}"), F.try_divide(F.col("cneg") - F.col("neg") / 2.0, F.col("neg_all")).alias(f"v_{side}_pos"),
+        (1 - F.try_divide(F.col("cpos") - F.col("pos") / 2.0, F.col("pos_all"))).alias(f"v_{side}_neg"), ((F.col("pos") + F.col("neg")) > 0.001 * (F.col("pos_all") + F.col("neg_all"))).alias("_often"),
     )
     return hot_split_join(pairs, place, [f"p_{side}"], F.col("_often"), 1000, key).drop("_often")
 
