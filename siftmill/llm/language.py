@@ -31,7 +31,7 @@ from siftmill.plans.skew import hot_split_join
 
 BUCKETS = 1 << 15
 #: Bytes of text whose trigrams a task holds at once.
-SLICE = 3 << 20
+SLICE = 1 << 20
 #: The text model is fitted on about so many whole documents of each language, chosen by hash.
 SAMPLE_DOCS = 1_000
 #: At most so many languages, those with most labelled documents.
