@@ -38,7 +38,7 @@ SHORT_CHARS, FEWEST = 1_000, 20
 PRIOR_CHARS = 60.0
 SHARD_ROWS = 4 << 20
 #: Bytes of text whose n-grams are counted or looked up at once: some fifty times as much memory.
-SLICE = 1 << 19
+SLICE = 1 << 20
 _KEPT_SHARDS: dict[str, tuple] = {}
 
 
