@@ -105,6 +105,7 @@ def pieces(df: DataFrame, key: str, text: str, tokenizer: str, end_id: int, capa
                 crc = [zlib.crc32(end, zlib.crc32(little[a : a + k - 1])) if z else zlib.crc32(little[a : a + k]) for a, k, z in zip(at, length.tolist(), last, strict=True)]
                 yield common.arrow_out({"_key": part.column("_key").take(pa.array(doc)), "_row": row + doc, "piece": piece.astype(np.int32), "start": start, "length": length, "ids_crc32": crc}, types)
                 row += part.num_rows
+        encode.encoder.cache_clear()  # the worker goes on with other work
 
     return rows.mapInArrow(cut, types)
 
