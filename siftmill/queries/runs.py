@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siftmill.operators import judge, regression, runlog
@@ -375,7 +376,10 @@ def leak_scenario(spark, sf):
 
 @query("no_signal_scenario", "R15", f"{EXPS}, f AS (SELECT task_id, avg(oot_dev_auc) - CAST(0.1 AS DOUBLE) AS holdout FROM exps GROUP BY 1) SELECT task_id, holdout - 0.5 <= 0.02 AS passed, {r('holdout - 0.5')} AS gap FROM f")
 def no_signal_scenario(spark, sf):
-    fin = b.exps(spark, sf).groupBy("task_id").agg((F.avg("oot_dev_auc") - 0.1).alias("holdout"))
+    # Added in the order of the experiments: the last bits decide at the tolerance and when rounding.
+    so_far = F.sum("oot_dev_auc").over(Window.partitionBy("task_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    total = F.max_by("_sum", "seq") / F.count("oot_dev_auc")
+    fin = b.exps(spark, sf).withColumn("_sum", so_far).groupBy("task_id").agg((total - 0.1).alias("holdout"))
     return rounded(runlog.no_signal_scenario(fin, tolerance=0.02), 6, "gap")
 
 

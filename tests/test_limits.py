@@ -1,6 +1,7 @@
 """Results must not change with width, length, order or missing values."""
 
 import datetime as dt
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from siftmill.columns import ID, LABEL
 from siftmill.operators import investigate, judge, models, quality, screen
 from siftmill.plans import ordered
+from siftmill.queries import runs
 
 
 def test_correlation_of_many_features_with_nulls(spark):
@@ -105,3 +107,27 @@ def test_parameter_ranges():
     points = models.search_points(space, 20, 1, warm=[{"depth": 99, "rate": 0.0, "kind": "a", "other": 1}, {"depth": 3}])
     assert points[0] == {"depth": 8, "rate": 0.01, "kind": "a"} and points[1] == {"depth": 3} and len(points) == 20
     assert all(2 <= p["depth"] <= 8 and 0.01 <= p["rate"] <= 1 and p["kind"] in "ab" for p in points[2:])
+
+
+def test_experiments_add_up_in_their_order(spark, tmp_path):
+    """The last bits of a sum of doubles hang on the order of its terms, and rounding shows them."""
+    rng = np.random.default_rng(11)
+    n = 400 * 32  # a gap may end in a 5 after the sixth digit
+    events = pd.DataFrame({"event_id": np.arange(n), "ts": pd.Timestamp("2024-01-01"), "user_id": np.arange(n) % 400, "event_type": "error", "value": 1.0, "props": [f'{{"k": {k}}}' for k in rng.integers(0, 100, n)]})
+    spark.createDataFrame(events).repartition(7, "event_id").write.parquet(f"{tmp_path}/events.parquet")
+    wide = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}  # as in a larger log
+    kept = {k: spark.conf.get(k) for k in wide}
+    for k, v in wide.items():
+        spark.conf.set(k, v)
+    try:
+        got = {r["task_id"]: (r["passed"], r["gap"]) for r in runs.no_signal_scenario(spark, str(tmp_path)).collect()}
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    numbers = events["props"].str.extract(r"(\d+)")[0].astype(int)
+    for user, ks in numbers.groupby(events["user_id"]):
+        total = 0.0
+        for k in ks:
+            total += 0.5 + k / 400
+        gap = total / len(ks) - 0.1 - 0.5
+        assert got[f"t{user}"] == (gap <= 0.02, float(Decimal(repr(gap)).quantize(Decimal("0.000001"), ROUND_HALF_UP)) + 0.0)
