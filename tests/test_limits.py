@@ -5,12 +5,14 @@ from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from siftmill import session
 from siftmill.columns import ID, LABEL
 from siftmill.operators import investigate, judge, models, quality, screen
-from siftmill.plans import ordered
+from siftmill.plans import ordered, sampling
 from siftmill.queries import runs
 
 
@@ -131,3 +133,18 @@ def test_experiments_add_up_in_their_order(spark, tmp_path):
             total += 0.5 + k / 400
         gap = total / len(ks) - 0.1 - 0.5
         assert got[f"t{user}"] == (gap <= 0.02, float(Decimal(repr(gap)).quantize(Decimal("0.000001"), ROUND_HALF_UP)) + 0.0)
+
+
+@pytest.mark.parametrize("strata", [1, 3])
+def test_cuts_of_few_strata_do_not_gather_the_rows(spark, strata):
+    df = spark.range(5000).withColumn("g", F.col("id") % strata)
+    rows = sampling.with_cuts(df, "id", 1, [lambda n: F.floor(n / 5)], ["g"])
+    assert "SortMergeJoin" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert rows.where("_h <= _cut0").count() == sum(len(range(g, 5000, strata)) // 5 for g in range(strata))
+
+
+def test_parts_can_be_read_by_many_tasks(spark, tmp_path):
+    df = spark.range(0, 3_000_000, 1, 1).select("id", F.xxhash64("id").alias("v"), F.lit("a").alias("part"))
+    session.write_parts(df, ("part",), f"{tmp_path}/t")
+    groups = [pq.ParquetFile(f).num_row_groups for f in tmp_path.glob("t/part=a/*.parquet")]
+    assert len(groups) == 1 and groups[0] > 2
