@@ -140,8 +140,9 @@ _DEEP_SQL = ", ".join(f"{r(f'{fn}({c})', _DIGITS[c])} AS {p}_line_{c}" for c in
 WITH made AS (SELECT l_orderkey, l_shipdate, {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in BASE_NUMBERS)}, {', '.join(f'CAST({e} AS DOUBLE) AS {c}' for c, e in MADE_NUMBERS.items())} FROM lineitem)
 SELECT l_orderkey AS _row_id, count(*) AS count_line, {_DEEP_SQL} FROM made WHERE l_shipdate < DATE '1998-01-01' GROUP BY 1""")
 def deep_aggregates(spark, sf):
-    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_shipdate", *[F.col(c).cast("double").alias(c) for c in BASE_NUMBERS], *[F.expr(e).cast("double").alias(c) for c, e in MADE_NUMBERS.items()])
-    out = factory.deep_aggregate(lines, "l_orderkey", "line", F.col("l_shipdate") < F.lit("1998-01-01").cast("timestamp_ntz"), DEEP)
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_shipdate", *[F.col(c).cast("double").alias(c) for c in BASE_NUMBERS])
+    before = F.col("l_shipdate") < F.lit("1998-01-01").cast("timestamp_ntz")
+    out = factory.deep_aggregate(lines, "l_orderkey", "line", before, DEEP, made={c: f"cast({e} as double)" for c, e in MADE_NUMBERS.items()})
     out = rounded(out, 6, *[f"{p}_line_{c}" for p in factory.PRIMITIVES for c in BASE_NUMBERS])
     return rounded(out, 4, *[f"{p}_line_{c}" for p in factory.PRIMITIVES for c in MADE_NUMBERS])
 

@@ -11,7 +11,7 @@ from siftmill.columns import ID, LABEL, SPLIT
 from siftmill.functions import dates, text
 from siftmill.operators import factory, inject, label, models, policy, splits
 from siftmill.operators import quality as ql
-from siftmill.operators.factory import Template, compute_features, feature_definitions, parse_aggregate
+from siftmill.operators.factory import Template, compute_features, deep_aggregate, feature_definitions, parse_aggregate
 from siftmill.operators.label import LabelRule, SentinelRule
 from siftmill.operators.registry import FeatureStore
 from siftmill.sources import eventlog
@@ -42,6 +42,28 @@ def test_windowed_template(spark, hist):
         assert all(v is None for k, v in out[unknown].items() if k != ID)
 
 
+@pytest.mark.parametrize("heavy", [2, 1000])
+def test_deep_aggregates_shuffle_rows_not_partial_results(spark, heavy):
+    rows = [(None if i % 9 == 0 else i % 40, float(i), None if i % 7 == 0 else float(i % 5)) for i in range(400)] + [(77, 1.0, 2.0)]
+    df = spark.createDataFrame(rows, "e long, v double, w double").repartition(6)
+    out = deep_aggregate(df, "e", "c", F.col("v") < 390, made={"m": "v * w"}, heavy_rows=heavy)
+    want = {}
+    for e, v, w in rows:
+        if v < 390:
+            want.setdefault(e, []).append((v, w, None if w is None else v * w))
+    got = {r[ID]: r.asDict() for r in out.collect()}
+    assert got.keys() == want.keys()
+    for e, own in want.items():
+        assert got[e]["count_c"] == len(own)
+        for k, c in enumerate("vwm"):
+            known = [x[k] for x in own if x[k] is not None]
+            assert [got[e][f"{p}_c_{c}"] for p in ("max", "min", "sum")] == ([max(known), min(known), sum(known)] if known else [None] * 3)
+            assert got[e][f"mean_c_{c}"] == (pytest.approx(sum(known) / len(known)) if known else None)
+    if heavy == 1000:
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
+
+
 def test_row_template_and_priors(spark):
     app = spark.createDataFrame([(1, 10.0, 5.0), (2, 20.0, 0.0)], "cid long, AMT double, INC double")
     t = Template(id="r", source="app", entity="cid", aggs=("try_divide(AMT, INC)", "AMT / NULLIF(INC, 0)   # monotone_prior: 0"), prior=1)
