@@ -21,19 +21,19 @@ from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftmill.llm import arrays, common
 from siftmill.llm.quality import code_points
+from siftmill.plans.distribution import quantile_points
+from siftmill.plans.ordered import plan_buckets
 from siftmill.plans.sizing import broadcast_if_small
 from siftmill.plans.skew import hot_split_join
 
 BUCKETS = 1 << 15
 #: Bytes of text whose trigrams a task holds at once.
 SLICE = 1 << 20
-#: The text model is fitted on about so many whole documents of each language, chosen by hash.
-SAMPLE_DOCS = 1_000
 #: At most so many languages, those with most labelled documents.
 MOST_LANGUAGES = 200
 #: Trigrams of a text count as independent up to so many, and each as this share of one.
@@ -124,8 +124,15 @@ def shortfall(middle, mean, n):
     return (middle - mean) * np.sqrt(np.minimum(n, STRONG_TRIGRAMS) / STRONG_TRIGRAMS)
 
 
+def _quantiles(rows: DataFrame, value: Column, share: float) -> DataFrame:
+    """``(language, q)``: exact quantile of each language, cut into ranges of the value."""
+    valued = rows.select("language", value.alias("value"))
+    dist = valued.groupBy("language", "value").agg(F.count("*").alias("n"))
+    return quantile_points(dist, ["language"], [share], plan_buckets(valued, "value")).select("language", "q")
+
+
 def calibrate(chosen: DataFrame, names: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``middle`` and ``limit`` of each language from the sampled documents, each scored with its
+    """``middle`` and ``limit`` of each language from all its documents, each scored with its
     own trigrams left out of the counts. A document likelier in another language is mislabelled
     and does not count; a language without documents has no limit."""
     types = common.schema("language int, n long, mean double")
@@ -149,10 +156,12 @@ def calibrate(chosen: DataFrame, names: list[str], table: np.ndarray) -> tuple[n
                 yield common.arrow_out({"language": lang[at].astype(np.int32), "n": n[at], "mean": mean[at]}, types)
 
     scored = common.cut_lineage(chosen.mapInArrow(score, types))
-    middles = scored.groupBy("language").agg(F.percentile("mean", F.lit(0.5)).alias("middle"))  # one row a language
+    middles = _quantiles(scored, F.col("mean"), 0.5).withColumnRenamed("q", "middle")  # one row a language
     strong = F.least(F.col("n"), F.lit(STRONG_TRIGRAMS)) / STRONG_TRIGRAMS
     short = (F.col("middle") - F.col("mean")) * F.sqrt(strong)
-    found = scored.join(F.broadcast(middles), "language").groupBy("language", "middle").agg(F.percentile(short, F.lit(OWN_SHARE)).alias("own")).collect()
+    middles = common.cut_lineage(middles)
+    own = _quantiles(scored.join(F.broadcast(middles), "language"), short, OWN_SHARE).withColumnRenamed("q", "own")
+    found = middles.join(own, "language").collect()
     middle, limit = np.zeros(len(names)), np.full(len(names), np.inf)
     for r in found:
         middle[r["language"]] = r["middle"]
@@ -162,15 +171,13 @@ def calibrate(chosen: DataFrame, names: list[str], table: np.ndarray) -> tuple[n
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> TextModel:
-    """Text model from a bounded sample of labelled documents: about ``SAMPLE_DOCS`` of each
-    language by a hash of the key, at most ``MOST_LANGUAGES`` languages, each taken whole."""
+    """Text model from all labelled documents of at most ``MOST_LANGUAGES`` languages, each taken whole."""
     labelled = docs.select(F.col(lang).alias("_lang"), F.col(text).alias("_text"), F.col(key).cast("long").alias("_key")).where("_lang is not null and _text is not null")
     n = labelled.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(MOST_LANGUAGES).collect()
     names = sorted(r["_lang"] for r in n)
     if not names:
         return TextModel([], np.zeros((0, BUCKETS)), np.zeros(0), np.zeros(0))
-    share = F.create_map(*[x for r in n for x in (F.lit(r["_lang"]), F.lit(min(1.0, SAMPLE_DOCS / r["count"])))])
-    chosen = labelled.where(F.pmod(F.xxhash64("_key", F.lit(7)), F.lit(1_000_000)) < 1_000_000 * F.coalesce(share[F.col("_lang")], F.lit(0.0)))
+    chosen = labelled.where(F.col("_lang").isin(names))
     types = common.schema("language int, bucket int, n long")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

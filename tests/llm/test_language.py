@@ -125,3 +125,11 @@ def test_stage_rejects_foreign_texts(spark, frame):
     docs = [(i, prose(rng, lang, 60), lang, f"src{i % 3}") for i, lang in enumerate(list(STEMS) * 20)]
     docs = frame(docs + [(k, t, None, "src0") for k, t in FOREIGN.items()])
     assert {r.doc_id for r in corpus_pipeline.identified(spark, docs, "").collect()} == set(range(60))
+
+
+def test_all_documents_are_counted(frame):
+    rng = random.Random(9)
+    rows = [(i, prose(rng, "aa", 4), "aa") for i in range(2500)]
+    seen = len(language.trigrams(pa.array([t for _, t, _ in rows], pa.large_string()))[0])
+    told = np.exp(language.fit(frame(rows)).table)
+    assert np.isclose(0.5 / told.min(), seen + 0.5 * language.BUCKETS)
