@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,6 +19,8 @@ from siftmill.session import cut_lineage, scratch_root
 BLOCK_BYTES = 16 << 20
 MOST_BLOCKS = 20_000
 
+_HELD: dict[str, Any] = {}
+
 ArrowMap = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
@@ -67,6 +71,22 @@ def without(df: DataFrame, key: str, gone: DataFrame) -> DataFrame:
     return df.join(broadcast_if_small(keys), df[key].eqNullSafe(F.col(name)), "left_anti")
 
 
+def held(name: str, make: Callable[[], Any]) -> Any:
+    """What a worker keeps between its tasks under ``name``. It keeps one thing: that of other work goes first."""
+    if name not in _HELD:
+        forget()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
+def forget() -> None:
+    """Drop what the worker has kept for other work, and give its memory back."""
+    if _HELD:
+        _HELD.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def arrow_out(rows: dict, types: T.StructType) -> pa.RecordBatch:
     """Record batch with the columns of ``types``."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -75,4 +95,4 @@ def arrow_out(rows: dict, types: T.StructType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(rows[f.name], type=f.type) if not isinstance(rows[f.name], pa.Array) else rows[f.name].cast(f.type) for f in wanted], schema=wanted)
 
 
-__all__ = ["BLOCK_BYTES", "arrow_out", "blocks", "cut_lineage", "in_order", "read", "salted_rank", "schema", "shared_folder", "without"]
+__all__ = ["BLOCK_BYTES", "arrow_out", "blocks", "cut_lineage", "forget", "held", "in_order", "read", "salted_rank", "schema", "shared_folder", "without"]

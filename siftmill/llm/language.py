@@ -139,6 +139,7 @@ def calibrate(chosen: DataFrame, names: list[str], table: np.ndarray) -> tuple[n
     total = table.sum(1)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.forget()
         place = {x: i for i, x in enumerate(names)}
         for batch in batches:
             for part in arrays.slices(batch, "_text", SLICE):
@@ -181,6 +182,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     types = common.schema("language int, bucket int, n long")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.forget()
         place = {x: i for i, x in enumerate(names)}
         for batch in batches:
             for part in arrays.slices(batch, "_text", SLICE):
@@ -205,6 +207,7 @@ def evidence(df: DataFrame, model: TextModel, key: str, text: str, url: str | No
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        common.forget()
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for part in arrays.slices(batch, "_text", SLICE):

@@ -88,7 +88,9 @@ def pieces(df: DataFrame, key: str, text: str, tokenizer: str, end_id: int, capa
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        coder, row = encode.encoder(tokenizer), TaskContext.get().partitionId() << 40
+        # The next task of the worker needs the same words again; other work drops them first.
+        coder = common.held(f"packing {tokenizer}", lambda: encode.Encoder(encode.public_path(tokenizer)))
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for part in arrays.slices(batch, "_text", SLICE):
                 ids, ends = coder.ids(arrays.plain_texts(part.column("_text")))
@@ -105,7 +107,6 @@ def pieces(df: DataFrame, key: str, text: str, tokenizer: str, end_id: int, capa
                 crc = [zlib.crc32(end, zlib.crc32(little[a : a + k - 1])) if z else zlib.crc32(little[a : a + k]) for a, k, z in zip(at, length.tolist(), last, strict=True)]
                 yield common.arrow_out({"_key": part.column("_key").take(pa.array(doc)), "_row": row + doc, "piece": piece.astype(np.int32), "start": start, "length": length, "ids_crc32": crc}, types)
                 row += part.num_rows
-        encode.encoder.cache_clear()  # the worker goes on with other work
 
     return rows.mapInArrow(cut, types)
 

@@ -108,6 +108,7 @@ def gram_counts(trusted: DataFrame, order: int = ORDER) -> DataFrame:
     types = common.schema("lang string, gram string, c long")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.forget()
         for batch in batches:
             for part in arrays.slices(batch, "_text", SLICE):
                 texts = arrays.plain_texts(part.column("_text"))
@@ -231,6 +232,7 @@ def scores(rows: DataFrame, folder: str, shards: int, order: int = ORDER) -> Dat
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute as pc
 
+        common.forget()
         for batch in batches:
             for part in arrays.slices(batch, "_text", SLICE):
                 texts, loss, known = arrays.plain_texts(part.column("_text")), np.zeros(part.num_rows), np.zeros(part.num_rows, bool)

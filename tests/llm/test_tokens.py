@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 import pytest
 
-from siftmill.llm import packing, token_counts, token_files
+from siftmill.llm import common, packing, token_counts, token_files
 from siftmill.llm.encode import public_path
 
 ODD = [
@@ -129,3 +129,26 @@ def test_empty_table_and_clashing_names(spark, frame):
     clash = frame([(1, "a b", 5, "x", 7)], "doc_id long, text string, rank int, _key string, length long")
     assert packing.pack(clash).count() == 1 and token_counts.token_counts(clash).count() == 1
     assert token_files.write_token_files(clash)[1].count() == 1
+
+
+def test_a_worker_keeps_one_thing():
+    """The tokenizer stays between the tasks of a job and goes when the worker does other work."""
+    made = []
+    for name in ("a", "a", "b", "b", "a"):
+        common.held(name, lambda name=name: made.append(name) or name)
+    assert made == ["a", "b", "a"] and list(common._HELD) == ["a"]
+    common.forget()
+    assert not common._HELD
+
+
+def test_tokenizer_stays_for_the_next_task(spark, docs):
+    packing.pack(docs).count()
+
+    def kept(batches):
+        import pyarrow as pa
+
+        for _ in batches:
+            pass
+        yield pa.RecordBatch.from_pydict({"name": list(common._HELD)}, pa.schema([("name", pa.string())]))
+
+    assert {r.name for r in spark.range(8, numPartitions=8).mapInArrow(kept, "name string").collect()} == {"packing byte_bpe_50k.json"}
