@@ -25,6 +25,9 @@ from siftmill.session import cut_lineage
 FOLDS, CREDIT = 5, 20.0
 #: A level with more than this share of the rows is joined by broadcast; at most 1 / share exist per feature.
 HOT = 1e-3
+#: Levels above these bytes, a level taken for so many, are joined by a sort: the planner would judge the table
+#: by its size on disk, where it is packed, and send all of it through the driver.
+SENT_BYTES, LEVEL_BYTES = 8 << 20, 256
 
 
 @dataclass(frozen=True)
@@ -139,6 +142,8 @@ class Encoder:
         else:
             told = F.col("code").cast("double")
         lookup = own.select(F.col("value").alias(f"_l_{c}"), told.alias(f"_t_{c}"), (F.col("n") > HOT * self.n).alias(f"_often_{c}"))
+        if self.sizes.get(c, 0) * LEVEL_BYTES > SENT_BYTES:
+            lookup = lookup.hint("merge")
         out = hot_split_join(df.withColumn(f"_l_{c}", F.col(c).cast("string")), lookup, [f"_l_{c}"], F.col(f"_often_{c}"), int(1 / HOT), ID)
         found = F.col(f"_t_{c}")
         if self.rated(c):

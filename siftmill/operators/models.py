@@ -166,7 +166,7 @@ def fit_gbt(train: DataFrame, valid: DataFrame | None, inputs: Inputs, params: M
     if valid is not None:
         gbt = gbt.setValidationIndicatorCol("is_valid")
         rows = rows.unionByName(encoder.transform(valid, F.lit(False)).select(LABEL, "features", F.lit(True).alias("is_valid")))
-    fitted = gbt.fit(rows)
+    fitted = gbt.fit(cut_lineage(rows))  # a fit reads its rows several times
     return Fitted("gbt", inputs, encoder.transform, fitted, {"best_iter": fitted.getNumTrees, "max_iter": limit, "encoder": encoder})
 
 
@@ -174,7 +174,7 @@ def fit_gbt(train: DataFrame, valid: DataFrame | None, inputs: Inputs, params: M
 def fit_forest(train: DataFrame, valid: DataFrame | None, inputs: Inputs, params: Mapping, seed: int = 0) -> Fitted:
     encoder = encoder_for(train, inputs, params)
     rf = RandomForestClassifier(labelCol=LABEL, numTrees=int(params.get("n_trees", 20)), maxDepth=int(params.get("max_depth", 6)), minInstancesPerNode=int(params.get("min_instances", 5)), maxBins=int(params.get("max_bins", 64)), seed=seed)
-    fitted = rf.fit(encoder.transform(train, F.lit(True)).select(LABEL, "features"))
+    fitted = rf.fit(cut_lineage(encoder.transform(train, F.lit(True)).select(LABEL, "features")))
     return Fitted("random_forest", inputs, encoder.transform, fitted, {"encoder": encoder})
 
 

@@ -229,3 +229,16 @@ def test_nearest_task_at_any_distance(spark):
     alone = judge.nearest_tasks(df.where("task_id = 'far'"), df.where("task_id = 'far'")).first()
     assert alone["distance"] is None and alone["cold_start"]
     assert judge.nearest_tasks(df, df.where("false")).count() == len(made)
+
+
+def test_many_levels_are_not_sent_to_the_driver(spark, rows, monkeypatch):
+    """A table of levels that grows with the rows is joined by a sort, with the same rates."""
+    train = rows.where("split = 'train'").withColumn("many", F.concat(F.lit("c"), (F.col(ID) % 97).cast("string")))
+    inputs = Inputs(numeric=(), categorical=("many",))
+    enc = encoding.fit_encoder(train, inputs)
+    rates = lambda: sorted(tuple(r) for r in enc.transform(train).select(ID, "many__rate").collect())
+    sent = rates()
+    monkeypatch.setattr(encoding, "SENT_BYTES", 0, raising=False)
+    plan = enc.transform(train)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert rates() == sent
