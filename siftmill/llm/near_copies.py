@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftmill.llm import arrays, common
 from siftmill.plans.sizing import broadcast_if_small
@@ -33,6 +34,8 @@ SLACK = 0.2
 PART = 2048
 #: Most alike partners of a class that each round after the first checks; the last round checks all.
 ROUNDS = (2, 16, None)
+#: Bytes of text that a task cuts into shingles at once; the arrays of a byte take many times its size.
+SLICE = 2 << 20
 _SHIFT = np.uint64(32)
 
 
@@ -104,22 +107,29 @@ def likelihood_estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.n
     return out
 
 
+_SKETCHED = "_key long, n_shingles long, set_hash binary, sketch binary"
+
+
+def _sketched(batch: pa.RecordBatch, width: int, types: T.StructType) -> Iterator[pa.RecordBatch]:
+    """The rows of ``sketches`` for a batch, a slice of its text at a time."""
+    import xxhash
+
+    for part in arrays.slices(batch, "_text", SLICE):
+        hashes, ends = shingles(arrays.plain_texts(part.column("_text")), width)
+        sets = [np.unique(hashes[ends[i] : ends[i + 1]]) for i in range(part.num_rows)]
+        found = registers(hashes, ends)
+        yield common.arrow_out({"_key": part.column("_key"), "n_shingles": [len(s) for s in sets], "set_hash": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "sketch": [r.tobytes() for r in found]}, types)
+
+
 def sketches(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
     """Per row: ``_key``, ``n_shingles``, ``set_hash`` (128 bits of the sorted set), ``sketch``."""
     rows = df.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))
-    types = common.schema("_key long, n_shingles long, set_hash binary, sketch binary")
+    types = common.schema(_SKETCHED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
+        common.forget()
         for batch in batches:
-            for part in arrays.slices(batch, "_text"):
-                hashes, ends = shingles(arrays.plain_texts(part.column("_text")), width)
-                sets = [np.unique(hashes[ends[i] : ends[i + 1]]) for i in range(part.num_rows)]
-                found = registers(hashes, ends)
-                yield common.arrow_out(
-                    {"_key": part.column("_key"), "n_shingles": [len(s) for s in sets], "set_hash": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "sketch": [r.tobytes() for r in found]}, types
-                )
+            yield from _sketched(batch, width, types)
 
     return rows.mapInArrow(run, types)
 
@@ -173,7 +183,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in arrays.slices(batch, "t_a", arrays.SLICE_BYTES // 2):
+            for part in arrays.slices(batch, "t_a", SLICE):
                 (h_a, e_a), (h_b, e_b) = (shingles(arrays.plain_texts(part.column(c)), width) for c in ("t_a", "t_b"))
                 good = []
                 for i in range(part.num_rows):

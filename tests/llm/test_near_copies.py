@@ -2,12 +2,13 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from siftmill.llm import near_copies
+from siftmill.llm import common, near_copies
 
 
 def shingle_set(text, width):
@@ -130,3 +131,15 @@ def test_ranked_pairs_are_the_closest():
     got = {(a, b) for a, b in zip(*near_copies._closest(i, j, alike, rep, 3)[:2], strict=True)}
     want = {(a, b) for a in range(40) for b in sorted(range(40), key=lambda b: (-alike[(i == a) & (j == b)][0], rep[b]))[:3]}
     assert got == want
+
+
+def test_memory_of_a_task_follows_the_slice(spark):
+    """Arrays of shingles take many times the bytes of their text: a task must not make them for a whole batch."""
+    text = " ".join(f"w{i}" for i in range(400))
+    batch = pa.RecordBatch.from_pydict({"_key": list(range(6000)), "_text": [f"{i} {text}" for i in range(6000)]})  # 11 MB of text
+    types = common.schema(near_copies._SKETCHED)
+    tracemalloc.start()
+    n = sum(part.num_rows for part in near_copies._sketched(batch, 2, types))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 6000 and peak < 100e6
