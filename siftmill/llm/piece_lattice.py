@@ -33,6 +33,8 @@ NEVER = (1 << 20) - 1
 NEAR = 256
 #: Words of the encoded table that one shard holds.
 SHARD_WORDS = 1 << 22
+#: Bytes of text that a task cuts into words at once; the arrays of a byte take many times its size.
+SLICE = 2 << 20
 _KEPT: dict[str, tuple] = {}
 
 
@@ -122,7 +124,7 @@ def distinct_words(rows: DataFrame, name: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in arrays.slices(batch, "_text"):
+            for part in arrays.slices(batch, "_text", SLICE):
                 coded, _ = _words(arrays.plain_texts(part.column("_text")), name)
                 if coded is not None:
                     yield common.arrow_out({"word": coded.dictionary}, types)
@@ -303,6 +305,34 @@ def _shard(folder: str, i: int, shards: int) -> tuple[np.ndarray, np.ndarray, np
     return _KEPT[name]
 
 
+def _looked_up(texts: pa.Array, folder: str, shards: int, tokenizer: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the texts from the encoded table, and row offsets."""
+    coded, ends = _words(texts, tokenizer)
+    if coded is None:
+        return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
+    keys = _keys(pc.replace_substring(coded.dictionary, SPACE, " ").cast(pa.large_binary()).to_pylist())
+    n, parts, starts, base = np.zeros(len(keys), np.int64), [], np.zeros(len(keys), np.int64), 0
+    for i in range(shards):
+        at = np.flatnonzero(np.mod(keys, shards) == i)
+        known, first, length, ids = _shard(folder, i, shards)
+        place = np.searchsorted(known, keys[at])
+        if len(at) and not (known[np.minimum(place, len(known) - 1)] == keys[at]).all():
+            raise ValueError("a word is missing from the encoded table")
+        n[at] = length[place]
+        starts[at] = base + np.cumsum(n[at]) - n[at]
+        parts.append(arrays.ragged_take(ids, first[place], n[at]))
+        base += len(parts[-1])
+    codes = np.asarray(coded.indices)
+    values = arrays.ragged_take(np.concatenate(parts), starts[codes], n[codes])
+    return values, np.concatenate([[0], np.cumsum(arrays.segment_sums(n[codes], ends))])
+
+
+def _table(df: DataFrame, key: str, text: str, tokenizer: str) -> tuple[DataFrame, str, int]:
+    """Rows ``_key``, ``_text`` and their encoded words: folder and shards."""
+    rows = df.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))
+    return rows, *write_words(encoded_words(distinct_words(rows, tokenizer), tokenizer))
+
+
 def encode(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = "piece_bpe_32k.model") -> DataFrame:
     """One row for each row of ``df``: key, text, ``ids`` (the model's own ids of the whole text).
 
@@ -310,32 +340,14 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: st
     columns are ignored; an empty table gives an empty result. Only different words are encoded;
     a task looks its words up in the encoded table shard by shard.
     """
-    rows = df.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))
-    folder, shards = write_words(encoded_words(distinct_words(rows, tokenizer), tokenizer))
+    rows, folder, shards = _table(df, key, text, tokenizer)
     types = common.schema("_key long, _text string, ids array<int>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in arrays.slices(batch, "_text"):
-                coded, ends = _words(arrays.plain_texts(part.column("_text")), tokenizer)
-                sizes, values = np.zeros(part.num_rows, np.int64), np.zeros(0, np.uint32)
-                if coded is not None:
-                    keys = _keys(pc.replace_substring(coded.dictionary, SPACE, " ").cast(pa.large_binary()).to_pylist())
-                    n, parts, starts, base = np.zeros(len(keys), np.int64), [], np.zeros(len(keys), np.int64), 0
-                    for i in range(shards):
-                        at = np.flatnonzero(np.mod(keys, shards) == i)
-                        known, first, length, ids = _shard(folder, i, shards)
-                        place = np.searchsorted(known, keys[at])
-                        if len(at) and not (known[np.minimum(place, len(known) - 1)] == keys[at]).all():
-                            raise ValueError("a word is missing from the encoded table")
-                        n[at] = length[place]
-                        starts[at] = base + np.cumsum(n[at]) - n[at]
-                        parts.append(arrays.ragged_take(ids, first[place], n[at]))
-                        base += len(parts[-1])
-                    codes = np.asarray(coded.indices)
-                    sizes = arrays.segment_sums(n[codes], ends)
-                    values = arrays.ragged_take(np.concatenate(parts), starts[codes], n[codes])
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values.astype(np.int32)))
+            for part in arrays.slices(batch, "_text", SLICE):
+                values, ends = _looked_up(arrays.plain_texts(part.column("_text")), folder, shards, tokenizer)
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values.astype(np.int32)))
                 yield common.arrow_out({"_key": part.column("_key"), "_text": part.column("_text"), "ids": lists}, types)
 
     return rows.mapInArrow(run, types).withColumnsRenamed({"_key": key, "_text": text})
@@ -379,15 +391,17 @@ def decode(df: DataFrame, key: str = "doc_id", ids: str = "ids", tokenizer: str
 def round_trip(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = "piece_bpe_32k.model") -> DataFrame:
     """Encode and decode again: key, ``n_pieces``, ``ids_crc32`` (unsigned, over little-endian
     unsigned 32-bit ids), ``same`` (the decoded text equals the text)."""
+    rows, folder, shards = _table(df, key, text, tokenizer)
     types = common.schema("_key long, n_pieces long, ids_crc32 long, same boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists, ends = batch.column("ids"), arrays.list_offsets(batch.column("ids"))
-            ids = np.asarray(lists.flatten(), np.int64)
-            back, little = decoded(ids, ends, tokenizer), ids.astype("<u4")
-            want = arrays.plain_texts(batch.column("_text")).cast(pa.large_binary()).to_pylist()
-            yield common.arrow_out({"_key": batch.column("_key"), "n_pieces": np.diff(ends), "ids_crc32": [zlib.crc32(little[a:b]) for a, b in zip(ends, ends[1:], strict=False)], "same": [a == b for a, b in zip(back, want, strict=True)]}, types)
-
-    rows = encode(df, key, text, tokenizer).select(F.col(key).alias("_key"), F.col(text).alias("_text"), "ids")
+            for part in arrays.slices(batch, "_text", SLICE):
+                texts = arrays.plain_texts(part.column("_text"))
+                ids, ends = _looked_up(texts, folder, shards, tokenizer)
+                back, little = decoded(ids.astype(np.int64), ends, tokenizer), ids.astype("<u4")
+                want = texts.cast(pa.large_binary()).to_pylist()
+                yield common.arrow_out({"_key": part.column("_key"), "n_pieces": np.diff(ends), "ids_crc32": [zlib.crc32(little[a:b]) for a, b in zip(ends, ends[1:], strict=False)], "same": [a == b for a, b in zip(back, want, strict=True)]}, types)
+
+    # One step: a second one would hold the model and the texts in workers of its own.
     return rows.mapInArrow(run, types).withColumnRenamed("_key", key)

@@ -56,3 +56,9 @@ def test_only_stable_pairs_follow():
     assert nodes[0][2:] == (("a", -1, None, None), ("bc", 3, ("b", -1, None, None), ("c", -1, None, None)))
     (whole,) = piece_lattice.merge_tree("bc", rank)
     assert piece_lattice.spine(whole, 2) == [(2, 3, piece_lattice.NEVER), (1, -1, 3)]
+
+
+def test_round_trip_is_one_python_step(frame):
+    """Texts and ids do not go from one set of workers to another."""
+    out = piece_lattice.round_trip(frame([(1, "one word"), (2, None)]))
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
