@@ -8,8 +8,9 @@ the similarity of the sets, so bands of registers find candidates.
 Texts of equal shingle sets are one class first. In a bucket of a band every class meets the
 smallest one, which joins a large group of copies without all pairs; classes that the links so
 found leave in different components are then compared within their buckets, each first with the
-few most alike, then with more, at last with all that are still apart. Whatever the sketches
-suggest is confirmed on the full sets of the whole texts.
+few most alike, then with more, at last with all that are still apart. A bit map of each set bounds
+from above what two sets can share, so that the many pairs of a large group that lie a little below
+the threshold are not made at all. Whatever is left is confirmed on the full sets of the whole texts.
 """
 
 from __future__ import annotations
@@ -36,6 +37,9 @@ PART = 2048
 ROUNDS = (2, 16, None)
 #: Bytes of text that a task cuts into shingles at once; the arrays of a byte take many times its size.
 SLICE = 2 << 20
+#: Bits of a set's map for each shingle at least, and the most bytes of a map: above 8,192 shingles
+#: the map gets denser and its bound looser, but stays a bound.
+MAP_BITS, MOST_MAP = 8, 8192
 _SHIFT = np.uint64(32)
 
 
@@ -107,7 +111,51 @@ def likelihood_estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.n
     return out
 
 
-_SKETCHED = "_key long, n_shingles long, set_hash binary, sketch binary"
+def bit_map(hashes: np.ndarray) -> bytes:
+    """One bit for each hash of a set, at its lowest digits; a power of two of bytes, so the halves
+    of a longer map laid on each other are the shorter one."""
+    width = 8
+    while width < MOST_MAP and 8 * width < MAP_BITS * len(hashes):
+        width *= 2
+    out = np.zeros(8 * width, bool)
+    out[(hashes & np.uint64(8 * width - 1)).astype(np.int64)] = True
+    return np.packbits(out).tobytes()
+
+
+class Maps:
+    """The bit maps of a table's rows, by length."""
+
+    def __init__(self, maps: list[bytes]):
+        self.maps, self.width, self.held = maps, np.array([len(m) for m in maps], np.int64), {}
+
+    def _of(self, width: int, at: np.ndarray) -> np.ndarray:
+        """Maps of the rows ``at``, none shorter than ``width``, laid together to it."""
+        if width not in self.held:
+            place, found = np.zeros(len(self.maps), np.int64), []
+            for w in np.unique(self.width[self.width >= width]):
+                rows = np.flatnonzero(self.width == w)
+                place[rows] = np.arange(len(rows)) + sum(map(len, found))
+                whole = np.frombuffer(b"".join(self.maps[r] for r in rows), np.uint8).reshape(len(rows), -1, width)
+                found.append(np.bitwise_or.reduce(whole, 1).view(np.uint64))
+            self.held[width] = place, np.concatenate(found)
+        place, table = self.held[width]
+        return table[place[at]]
+
+    def may_reach(self, i: np.ndarray, j: np.ndarray, n_i: np.ndarray, n_j: np.ndarray, percent: float) -> np.ndarray:
+        """Whether the sets of rows ``i`` and ``j`` can be similar enough: a bit that only one of two
+        maps has stands for at least one shingle that only that set has."""
+        out, width = np.zeros(len(i), bool), np.minimum(self.width[i], self.width[j])
+        for w in np.unique(width):
+            of, step = np.flatnonzero(width == w), max(1, (2 << 20) // int(w))
+            for part in (of[k : k + step] for k in range(0, len(of), step)):
+                a, b = self._of(int(w), i[part]), self._of(int(w), j[part])
+                only_a, only_b = (np.bitwise_count(x).sum(1, dtype=np.int64) for x in (a & ~b, b & ~a))
+                shared = np.minimum(n_i[part] - only_a, n_j[part] - only_b)
+                out[part] = 100 * shared >= (1 - 1e-9) * percent * (n_i[part] + n_j[part] - shared)
+        return out
+
+
+_SKETCHED = "_key long, n_shingles long, set_hash binary, sketch binary, bits binary"
 
 
 def _sketched(batch: pa.RecordBatch, width: int, types: T.StructType) -> Iterator[pa.RecordBatch]:
@@ -118,11 +166,11 @@ def _sketched(batch: pa.RecordBatch, width: int, types: T.StructType) -> Iterato
         hashes, ends = shingles(arrays.plain_texts(part.column("_text")), width)
         sets = [np.unique(hashes[ends[i] : ends[i + 1]]) for i in range(part.num_rows)]
         found = registers(hashes, ends)
-        yield common.arrow_out({"_key": part.column("_key"), "n_shingles": [len(s) for s in sets], "set_hash": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "sketch": [r.tobytes() for r in found]}, types)
+        yield common.arrow_out({"_key": part.column("_key"), "n_shingles": [len(s) for s in sets], "set_hash": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "sketch": [r.tobytes() for r in found], "bits": [bit_map(s) for s in sets]}, types)
 
 
 def sketches(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """Per row: ``_key``, ``n_shingles``, ``set_hash`` (128 bits of the sorted set), ``sketch``."""
+    """Per row: ``_key``, ``n_shingles``, ``set_hash`` (128 bits of the sorted set), ``sketch``, ``bits``."""
     rows = df.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))
     types = common.schema(_SKETCHED)
 
@@ -240,7 +288,7 @@ def _groups(members: DataFrame, classes: DataFrame, roots: DataFrame, ratio: flo
     rows = rows.join(sizes, group).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.select(*group, "band", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "rep", "root", "n", "guest")
-    return rows.join(classes.select("rep", "sketch"), "rep")
+    return rows.join(classes.select("rep", "sketch", "bits"), "rep")
 
 
 #: Pairs that a task looks at together, and ranked pairs that it holds before it drops the lower ones.
@@ -252,7 +300,8 @@ def _alike(rows: dict[str, np.ndarray], floor: float, ratio: float) -> Iterator[
     at a time, so the memory does not grow with the square of a group.
 
     Rows of a group with two parts (``cross``) pair only with the other part. Rows of one component
-    do not pair, and a pair counts in the first band that its classes share and nowhere else.
+    do not pair, and a pair counts in the first band that its classes share and nowhere else. Pairs
+    whose bit maps (``maps``) rule out a similarity of ``ratio`` go, whatever their estimate.
     """
     group, guest, n, part, cross, root, band, sketch = (rows[c] for c in ("group", "guest", "n", "part", "cross", "root", "band", "sketch"))
     later = np.searchsorted(group, group, "right") - np.arange(len(group)) - 1
@@ -270,6 +319,9 @@ def _alike(rows: dict[str, np.ndarray], floor: float, ratio: float) -> Iterator[
         good = same.sum(1) >= (floor - 0.1) * sketch.shape[1]
         good &= same[:, : bands * BAND].reshape(len(i), bands, BAND).all(2).argmax(1) == band[i]
         i, j = i[good], j[good]
+        if "maps" in rows:
+            good = rows["maps"].may_reach(i, j, n[i], n[j], 100 * ratio)
+            i, j = i[good], j[good]
         if len(i):
             alike = likelihood_estimate(sketch[i], sketch[j], n[i], n[j])
             good = alike >= floor
@@ -313,6 +365,7 @@ def _compared(groups: DataFrame, floor: float, ratio: float, most: int | None) -
     def compare(table: pa.Table) -> Iterator[pa.RecordBatch]:
         rows = {c: np.asarray(table.column(c)) for c in ("rep", "root", "part", "guest", "band")}
         rows["n"], rows["sketch"] = np.asarray(table.column("n")).astype(np.float64), _matrix(table.column("sketch").combine_chunks())
+        rows["maps"] = Maps(table.column("bits").to_pylist())
         rows["group"], rows["cross"] = np.cumsum(_new_group(table, by)), np.asarray(table.column("p")) != np.asarray(table.column("q"))
         for a, b in _chosen(rows, floor, ratio, most):
             pairs = np.unique(np.stack([a, b], 1), axis=0)
@@ -357,7 +410,7 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", width: i
     some = rows.where("n_shingles > 0 and _key is not null")
     reps = some.groupBy("set_hash").agg(F.min("_key").alias("rep"))
     reps = common.cut_lineage(reps)
-    own = some.select("set_hash", F.col("_key").alias("rep"), F.col("n_shingles").alias("n"), "sketch")
+    own = some.select("set_hash", F.col("_key").alias("rep"), F.col("n_shingles").alias("n"), "sketch", "bits")
     classes = common.cut_lineage(own.join(reps, ["set_hash", "rep"]).dropDuplicates(["set_hash", "rep"]))
     banded = _banded(classes)
     leaders = banded.groupBy("bucket").agg(F.min("rep").alias("leader"), F.min_by("n", "rep").alias("n_leader"), F.count("*").alias("n_members")).where("n_members > 1")

@@ -143,3 +143,31 @@ def test_memory_of_a_task_follows_the_slice(spark):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert n == 6000 and peak < 100e6
+
+
+def test_bit_maps_lose_no_link_and_drop_what_lies_below():
+    rng = np.random.default_rng(1)
+    sets = []
+    for n in (3, 40, 130, 900, 30_000):
+        base = rng.integers(0, 1 << 63, n, np.int64).astype(np.uint64)
+        for changed in (0, 0.02, 0.08, 0.1, 0.11, 0.12, 0.14, 0.16, 0.2):
+            k = round(changed * n)
+            sets.append(np.unique(np.concatenate([base[: len(base) - k + k // 7], rng.integers(0, 1 << 63, k, np.int64).astype(np.uint64)])))
+    maps, n = near_copies.Maps([near_copies.bit_map(s) for s in sets]), np.array([len(s) for s in sets], np.float64)
+    i, j = (x.ravel() for x in np.indices((len(sets),) * 2))
+    same = np.array([len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j, strict=True)])
+    alike = same / (n[i] + n[j] - same)
+    for percent in (57, 80):
+        kept = maps.may_reach(i, j, n[i], n[j], percent)
+        assert kept[100 * same >= percent * (n[i] + n[j] - same)].all()
+        assert not kept[(alike < percent / 100 - 0.04) & (np.minimum(n[i], n[j]) < 1000)].any()
+
+
+def test_a_group_below_the_threshold_gives_no_square_of_pairs(frame, monkeypatch):
+    rng, made = random.Random(5), []
+    base = [f"x{i}" for i in range(150)]
+    rows = [(k, " ".join(f"y{rng.randrange(10**9)}" if rng.random() < 0.095 else w for w in base)) for k in range(150)]
+    compared = near_copies._compared
+    monkeypatch.setattr(near_copies, "_compared", lambda *a: made.append(compared(*a)) or made[-1])
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_copies.near_copies(frame(rows), width=2).collect()}
+    assert got == brute(rows, 2) and sum(m.count() for m in made) < 2 * len(rows)
