@@ -281,7 +281,7 @@ def write_words(table: DataFrame) -> tuple[str, int]:
     rows = common.cut_lineage(table.mapInArrow(keyed, types))
     shards = max(1, -(-rows.count() // SHARD_WORDS))
     folder = common.shared_folder(table.sparkSession, "words")
-    rows.withColumn("shard", F.pmod("key", F.lit(shards)).cast("int")).repartition(shards, "shard").write.partitionBy("shard").parquet(folder)
+    rows.withColumn("shard", F.pmod("key", F.lit(shards)).cast("int")).repartition(shards, "shard").sortWithinPartitions("shard", "key").write.partitionBy("shard").parquet(folder)
     return folder, shards
 
 
@@ -295,13 +295,18 @@ def _shard(folder: str, i: int, shards: int) -> tuple[np.ndarray, np.ndarray, np
         files, path = fs.FileSystem.from_uri(name if ":" in name else f"file://{name}")
         if files.get_file_info(path).type == fs.FileType.NotFound:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32)
+        _KEPT.clear()  # before the next one is read
         table = pq.ParquetDataset(path, filesystem=files, partitioning=None).read()
-        keys, n = np.asarray(table.column("key")), np.asarray(table.column("n"))
-        ids = np.frombuffer(b"".join(table.column("ids").to_pylist()), np.uint32)
-        order = np.argsort(keys)
-        starts = (np.cumsum(n) - n)[order]
-        _KEPT.clear()
-        _KEPT[name] = keys[order], starts, n[order], ids
+        keys, n = np.array(table.column("key")), np.array(table.column("n"))
+        # From the buffers: an object for each word takes several times what its ids do.
+        ids = np.concatenate([np.zeros(0, np.uint8), *[arrays.text_bytes(c.cast(pa.large_binary()))[0] for c in table.column("ids").chunks]]).view(np.uint32)
+        del table
+        pa.default_memory_pool().release_unused()
+        starts = np.cumsum(n, dtype=np.int64) - n
+        if (keys[1:] < keys[:-1]).any():  # more than one file
+            order = np.argsort(keys)
+            keys, starts, n = keys[order], starts[order], n[order]
+        _KEPT[name] = keys, starts, n, ids
     return _KEPT[name]
 
 

@@ -1,8 +1,11 @@
 """Lattice encoding next to the library, and the round trip."""
 
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 
@@ -62,3 +65,21 @@ def test_round_trip_is_one_python_step(frame):
     """Texts and ids do not go from one set of workers to another."""
     out = piece_lattice.round_trip(frame([(1, "one word"), (2, None)]))
     assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
+def test_a_shard_is_read_without_an_object_for_each_word(tmp_path):
+    n, rng = 200_000, np.random.default_rng(2)
+    keys, ids = rng.integers(-(1 << 62), 1 << 62, n), [np.arange(k % 3 + 1, dtype=np.uint32) + k for k in range(n)]
+    (tmp_path / "shard=0").mkdir()
+    for part in (slice(0, n // 2), slice(n // 2, n)):
+        table = pa.table({"key": keys[part], "n": pa.array([len(x) for x in ids[part]], pa.int32()), "ids": pa.array([x.tobytes() for x in ids[part]], pa.binary())})
+        pq.write_table(table, tmp_path / "shard=0" / f"{part.start}.parquet")
+    tracemalloc.start()
+    known, starts, lengths, flat = piece_lattice._shard(str(tmp_path), 0, 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (known == np.sort(keys)).all()
+    for k in (0, 1, 99_999, 150_000, n - 1):
+        at = np.searchsorted(known, keys[k])
+        assert flat[starts[at] : starts[at] + lengths[at]].tolist() == ids[k].tolist()
+    assert peak < 64 * n
