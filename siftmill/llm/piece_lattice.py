@@ -35,7 +35,6 @@ NEAR = 256
 SHARD_WORDS = 1 << 22
 #: Bytes of text that a task cuts into words at once; the arrays of a byte take many times its size.
 SLICE = 2 << 20
-_KEPT: dict[str, tuple] = {}
 
 
 def merge_tree(piece: str, rank: dict[str, int]):
@@ -90,12 +89,12 @@ def _borders(name: str) -> np.ndarray:
     """
     cut = np.zeros((256, 256), bool)
     cut[:128, :128] = True
-    for piece, *_ in pieces(name):
+    for piece, *_ in pieces.__wrapped__(name):  # a worker needs the borders only and keeps no pieces
         raw = piece.replace(SPACE, " ").encode()
         for a, b in zip(raw, raw[1:], strict=False):
             cut[a, b] = False
-    if any(SPACE in p.lstrip(SPACE) for p, *_ in pieces(name)):
-        raise ValueError("a piece holds a space after another character")
+        if SPACE in piece.lstrip(SPACE):
+            raise ValueError("a piece holds a space after another character")
     cut[:, 32] = True
     cut[32, 32] = cut[0x81, 32] = False  # 0x81 may end a literal U+2581, which is a space too
     return cut
@@ -123,6 +122,7 @@ def distinct_words(rows: DataFrame, name: str) -> DataFrame:
     types = common.schema("word string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.forget()
         for batch in batches:
             for part in arrays.slices(batch, "_text", SLICE):
                 coded, _ = _words(arrays.plain_texts(part.column("_text")), name)
@@ -272,6 +272,7 @@ def write_words(table: DataFrame) -> tuple[str, int]:
     types = common.schema("key long, n int, ids binary")
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.forget()  # the shard of an earlier run
         for batch in batches:
             words = [w.replace(SPACE, " ").encode() for w in batch.column("word").to_pylist()]
             ids = batch.column("ids")
@@ -286,28 +287,30 @@ def write_words(table: DataFrame) -> tuple[str, int]:
 
 
 def _shard(folder: str, i: int, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted keys, starts, lengths and ids of a shard; a worker keeps the last one it read."""
+    """Sorted keys, starts, lengths and ids of a shard; a worker keeps the last one it read until
+    it reads another one or goes on with other work."""
+    name = f"{folder}/shard={i}"
+    return common.held(name, lambda: _read_shard(name))
+
+
+def _read_shard(name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     import pyarrow.parquet as pq
     from pyarrow import fs
 
-    name = f"{folder}/shard={i}"
-    if name not in _KEPT:
-        files, path = fs.FileSystem.from_uri(name if ":" in name else f"file://{name}")
-        if files.get_file_info(path).type == fs.FileType.NotFound:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32)
-        _KEPT.clear()  # before the next one is read
-        table = pq.ParquetDataset(path, filesystem=files, partitioning=None).read()
-        keys, n = np.array(table.column("key")), np.array(table.column("n"))
-        # From the buffers: an object for each word takes several times what its ids do.
-        ids = np.concatenate([np.zeros(0, np.uint8), *[arrays.text_bytes(c.cast(pa.large_binary()))[0] for c in table.column("ids").chunks]]).view(np.uint32)
-        del table
-        pa.default_memory_pool().release_unused()
-        starts = np.cumsum(n, dtype=np.int64) - n
-        if (keys[1:] < keys[:-1]).any():  # more than one file
-            order = np.argsort(keys)
-            keys, starts, n = keys[order], starts[order], n[order]
-        _KEPT[name] = keys, starts, n, ids
-    return _KEPT[name]
+    files, path = fs.FileSystem.from_uri(name if ":" in name else f"file://{name}")
+    if files.get_file_info(path).type == fs.FileType.NotFound:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32)
+    table = pq.ParquetDataset(path, filesystem=files, partitioning=None).read()
+    keys, n = np.array(table.column("key")), np.array(table.column("n"))
+    # From the buffers: an object for each word takes several times what its ids do.
+    ids = np.concatenate([np.zeros(0, np.uint8), *[arrays.text_bytes(c.cast(pa.large_binary()))[0] for c in table.column("ids").chunks]]).view(np.uint32)
+    del table
+    pa.default_memory_pool().release_unused()
+    starts = np.cumsum(n, dtype=np.int64) - n
+    if (keys[1:] < keys[:-1]).any():  # more than one file
+        order = np.argsort(keys)
+        keys, starts, n = keys[order], starts[order], n[order]
+    return keys, starts, n, ids
 
 
 def _looked_up(texts: pa.Array, folder: str, shards: int, tokenizer: str) -> tuple[np.ndarray, np.ndarray]:

@@ -9,7 +9,7 @@ import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 
-from siftmill.llm import piece_lattice
+from siftmill.llm import common, piece_lattice
 from siftmill.llm.encode import public_path
 
 NAME = "piece_bpe_32k.model"
@@ -83,3 +83,13 @@ def test_a_shard_is_read_without_an_object_for_each_word(tmp_path):
         at = np.searchsorted(known, keys[k])
         assert flat[starts[at] : starts[at] + lengths[at]].tolist() == ids[k].tolist()
     assert peak < 64 * n
+
+
+def test_a_worker_drops_its_shard_for_other_work(tmp_path):
+    (tmp_path / "shard=0").mkdir()
+    pq.write_table(pa.table({"key": [1], "n": pa.array([0], pa.int32()), "ids": pa.array([b""], pa.binary())}), tmp_path / "shard=0" / "a.parquet")
+    piece_lattice._shard(str(tmp_path), 0, 1)
+    assert common._HELD
+    common.held("other", dict)
+    assert list(common._HELD) == ["other"]
+    common.forget()
