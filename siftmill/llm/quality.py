@@ -125,7 +125,8 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
     ``alpha`` is the discounted probability of the last symbol after the others, ``gamma`` the
     weight of the next lower order after this n-gram as a context. Below the highest order a count
     is the number of different symbols before the n-gram. The row of the empty n-gram holds the
-    probability of a symbol about which nothing is known.
+    probability of a symbol about which nothing is known. Each order is written: as one plan of all
+    orders the driver would hold some fifty exchanges and plan them anew after each.
     """
     alphas, gammas = [], []
     for n in range(order, 0, -1):
@@ -137,8 +138,9 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
         rows = counts.join(of, "lang").withColumn("context", F.expr(f"substring(gram, 1, {n - 1})"))
         d = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
         rows = rows.withColumn("d", F.least(d, F.col("c").cast("double")))
-        contexts = rows.groupBy("lang", "context").agg(F.sum("c").alias("total"), (F.sum("d") / F.sum("c")).alias("gamma"), F.count("*").alias("n"))
-        alphas.append(rows.join(contexts.select("lang", "context", "total"), ["lang", "context"]).select("lang", "gram", ((F.col("c") - F.col("d")) / F.col("total")).alias("alpha")))
+        contexts = common.cut_lineage(rows.groupBy("lang", "context").agg(F.sum("c").alias("total"), (F.sum("d") / F.sum("c")).alias("gamma"), F.count("*").alias("n")))
+        alpha = rows.join(contexts.select("lang", "context", "total"), ["lang", "context"]).select("lang", "gram", ((F.col("c") - F.col("d")) / F.col("total")).alias("alpha"))
+        alphas.append(common.cut_lineage(alpha))
         gammas.append(contexts.select("lang", F.col("context").alias("gram"), "gamma"))
         if n == 1:
             alphas.append(contexts.select("lang", F.lit("").alias("gram"), (1 / (F.col("n") + 1)).alias("alpha")))

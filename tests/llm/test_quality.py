@@ -133,3 +133,9 @@ def test_repetition_and_menus_are_rejected(spark, frame):
     kept = {r.doc_id: r.kept for r in quality.classify(frame(good + [(k, t, "xx") for k, t in junk.items()]), names).collect()}
     of = [np.mean([kept[lo + i] for i in range(n)]) for lo, n in ((300, 100), (1000, 30), (2000, 30))]
     assert of[0] >= 0.97 and of[1] < 0.4 and of[2] < 0.1, of
+
+
+def test_the_orders_of_a_model_are_planned_one_by_one(frame):
+    rows = frame([(1, "abcabd"), (2, "abd abe")], "doc_id long, _text string, _lang string").select("_lang", "_text")
+    model = quality.kneser_ney(quality.gram_counts(rows, 4), 4)
+    assert model._jdf.queryExecution().executedPlan().toString().count("Exchange") < 5
