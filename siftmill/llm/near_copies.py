@@ -8,7 +8,8 @@ the similarity of the sets, so bands of registers find candidates.
 Texts of equal shingle sets are one class first. In a bucket of a band every class meets the
 smallest one, which joins a large group of copies without all pairs; classes that the links so
 found leave in different components are then compared within their buckets, each first with the
-few most alike, then with more, at last with all that are still apart. A bit map of each set bounds
+few most alike; groups where that leaves pairs out are compared again with more, at last with all
+that are still apart. A bit map of each set bounds
 from above what two sets can share, so that the many pairs of a large group that lie a little below
 the threshold are not made at all. Whatever is left is confirmed on the full sets of the whole texts.
 """
@@ -275,7 +276,10 @@ def _groups(members: DataFrame, classes: DataFrame, roots: DataFrame, ratio: flo
 
     ``members`` has ``bucket``, ``band``, ``rep``, ``n``. Sizes are cut into classes of
     ``1 / ratio``, so a similar pair lies in one class or in neighbours. A group above ``PART``
-    members is dealt to parts, and every pair of parts is a group of its own.
+    members is dealt to parts, and every pair of parts is a group of its own. Members of its
+    largest component, which need no comparison with each other, have parts of their own, and no
+    group holds two of these: one part of others makes one more row of each member, not one for
+    every part of the group.
     """
     rooted = _rooted(members, roots, "rep", "root")
     split = common.cut_lineage(rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n_members")).where("low != high and n_members > 2").select("bucket"))
@@ -283,14 +287,22 @@ def _groups(members: DataFrame, classes: DataFrame, roots: DataFrame, ratio: flo
     rows = rows.withColumn("guest", F.explode(F.array(F.lit(False), F.lit(True))))
     rows = common.cut_lineage(rows.withColumn("size_class", F.col("size_class") + F.col("guest").cast("int")))
     group = ["bucket", "size_class"]
-    sizes = rows.groupBy(*group).agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"), F.min("root").alias("low"), F.max("root").alias("high"), F.min("guest").alias("no_own"))
-    sizes = common.cut_lineage(sizes.where("low != high and not no_own").drop("low", "high", "no_own"))
-    rows = rows.join(sizes, group).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    sizes = rows.groupBy(*group, "root").agg(F.count("*").alias("n_root"), F.min("guest").alias("no_own"))
+    sizes = sizes.groupBy(*group).agg(F.sum("n_root").alias("n_all"), F.max(F.struct("n_root", "root")).alias("most"), F.count("*").alias("n_roots"), F.min("no_own").alias("no_own")).where("n_roots > 1 and not no_own")
+    parts = lambda n: F.when(F.col("n_all") > PART, F.ceil(n / PART)).otherwise(0).cast("int")
+    sizes = common.cut_lineage(sizes.select(*group, F.col("most.root").alias("largest"), parts(F.col("n_all") - F.col("most.n_root")).alias("few"), parts(F.col("most.n_root")).alias("many")))
+    rows = rows.join(sizes, group)
+    large, in_largest = F.col("few") > 0, F.col("root") == F.col("largest")
+    place = F.pmod(F.xxhash64("rep"), F.greatest(F.when(in_largest, F.col("many")).otherwise(F.col("few")), F.lit(1))).cast("int")
+    rows = rows.withColumn("part", F.when(large & in_largest, F.col("few") + place).otherwise(place))
+    others = F.when(in_largest, F.col("few")).otherwise(F.col("few") + F.col("many"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(large, others).otherwise(1) - 1)))
     rows = rows.select(*group, "band", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "rep", "root", "n", "guest")
     return rows.join(classes.select("rep", "sketch", "bits"), "rep")
 
 
+#: What a group of rows that are compared with each other has in common.
+BY = ["bucket", "size_class", "p", "q"]
 #: Pairs that a task looks at together, and ranked pairs that it holds before it drops the lower ones.
 PORTION, HELD = 1 << 15, 1 << 18
 
@@ -337,9 +349,20 @@ def _closest(i: np.ndarray, j: np.ndarray, alike: np.ndarray, rep: np.ndarray, m
     return i[rank < most], j[rank < most], alike[rank < most]
 
 
-def _chosen(rows: dict[str, np.ndarray], floor: float, ratio: float, most: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Keys of likely pairs in portions; with ``most`` only those that rank high for one of the two."""
+def _chosen(rows: dict[str, np.ndarray], floor: float, ratio: float, most: int | None, cut: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys of likely pairs in portions; with ``most`` only those that rank high for one of the two.
+
+    ``cut`` takes True for rows with more likely partners than ``most``.
+    """
     rep, held, size = rows["rep"], [], 0
+
+    def closest():
+        i, j, alike = (np.concatenate(x) for x in zip(*held, strict=True))
+        kept = _closest(i, j, alike, rep, most)
+        if cut is not None:
+            cut[np.bincount(i, minlength=len(rep)) > np.bincount(kept[0], minlength=len(rep))] = True
+        return kept
+
     for i, j, alike in _alike(rows, floor, ratio):
         if most is None:
             yield np.maximum(rep[i], rep[j]), np.minimum(rep[i], rep[j])
@@ -347,46 +370,54 @@ def _chosen(rows: dict[str, np.ndarray], floor: float, ratio: float, most: int |
         held.append((np.concatenate([i, j]), np.concatenate([j, i]), np.tile(alike, 2)))
         size += 2 * len(i)
         if size > HELD:
-            held = [_closest(*(np.concatenate(x) for x in zip(*held, strict=True)), rep, most)]
+            held = [closest()]
             size = 0
     if held:
-        i, j, _ = _closest(*(np.concatenate(x) for x in zip(*held, strict=True)), rep, most)
+        i, j, _ = closest()
         yield np.maximum(rep[i], rep[j]), np.minimum(rep[i], rep[j])
 
 
 def _compared(groups: DataFrame, floor: float, ratio: float, most: int | None) -> DataFrame:
     """Likely pairs ``a``, ``b`` of different components in each group.
 
-    A class gives its ``most`` most alike partners (all for None).
+    A class gives its ``most`` most alike partners (all for None). A group where that leaves pairs
+    out gives one row more, its ``BY`` without ``a`` and ``b``; all others are done.
     """
-    by = ["bucket", "size_class", "p", "q"]
-    types = common.schema("a long, b long")
+    types = common.schema("a long, b long, bucket long, size_class int, p int, q int")
 
     def compare(table: pa.Table) -> Iterator[pa.RecordBatch]:
         rows = {c: np.asarray(table.column(c)) for c in ("rep", "root", "part", "guest", "band")}
         rows["n"], rows["sketch"] = np.asarray(table.column("n")).astype(np.float64), _matrix(table.column("sketch").combine_chunks())
         rows["maps"] = Maps(table.column("bits").to_pylist())
-        rows["group"], rows["cross"] = np.cumsum(_new_group(table, by)), np.asarray(table.column("p")) != np.asarray(table.column("q"))
-        for a, b in _chosen(rows, floor, ratio, most):
+        rows["group"], rows["cross"] = np.cumsum(_new_group(table, BY)), np.asarray(table.column("p")) != np.asarray(table.column("q"))
+        cut = np.zeros(len(rows["rep"]), bool)
+        for a, b in _chosen(rows, floor, ratio, most, cut):
             pairs = np.unique(np.stack([a, b], 1), axis=0)
-            yield common.arrow_out({"a": pairs[:, 0], "b": pairs[:, 1]}, types)
+            yield common.arrow_out({"a": pairs[:, 0], "b": pairs[:, 1]} | dict.fromkeys(BY, pa.nulls(len(pairs))), types)
+        open_groups = table.take(np.searchsorted(rows["group"], np.unique(rows["group"][cut]))).combine_chunks()
+        yield common.arrow_out(dict.fromkeys("ab", pa.nulls(open_groups.num_rows)) | {c: pa.array(np.asarray(open_groups.column(c))) for c in BY}, types)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
             table = pa.Table.from_batches([batch])
             held = table if held is None else pa.concat_tables([held, table])
-            last = np.flatnonzero(_new_group(held, by))[-1] if held.num_rows else 0
+            last = np.flatnonzero(_new_group(held, BY))[-1] if held.num_rows else 0
             if last and held.num_rows >= 4096:  # the last group may go on
                 yield from compare(held.slice(0, last))
                 held = held.slice(last)
         if held is not None and held.num_rows:
             yield from compare(held)
 
-    dealt = groups.repartition(*by).sortWithinPartitions(*by)
+    dealt = groups.repartition(*BY).sortWithinPartitions(*BY)
     return dealt.mapInArrow(run, types).distinct()
 
 
+def _again(groups: DataFrame, still: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows of the groups ``still``, with the components of by now."""
+    return _rooted(groups.join(broadcast_if_small(still), BY, "left_semi").drop("root"), roots, "rep", "root")
+
+
 def _new_group(table: pa.Table, by: list[str]) -> np.ndarray:
     """Whether each row starts another group than the row before."""
     changed = np.zeros(table.num_rows, bool)
@@ -427,10 +458,18 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", width: i
     links = common.cut_lineage(links)
     roots = common.cut_lineage(components(links))
     apart = _rooted(_rooted(likely, roots, "a", "root_a"), roots, "b", "root_b").where("root_a != root_b").select("a", "b")
+    groups = still = None
     for most in (0, *ROUNDS):
         if most != 0:
-            groups = common.cut_lineage(_groups(members.select("bucket", "band", "rep", "n"), classes, roots, ratio))
-            apart = _compared(groups, floor, ratio, most)
+            if groups is None:
+                groups = _groups(members.select("bucket", "band", "rep", "n"), classes, roots, ratio)
+            elif still.isEmpty():  # every likely pair has been confirmed or refused
+                break
+            else:
+                groups = _again(groups, still, roots)
+            groups = common.cut_lineage(groups)
+            found = common.cut_lineage(_compared(groups, floor, ratio, most))
+            apart, still = found.where("a is not null").select("a", "b"), found.where("a is null").select(*BY)
         apart = common.cut_lineage(apart)
         if apart.isEmpty():
             continue

@@ -161,3 +161,26 @@ def test_bit_maps_lose_no_link_and_drop_what_lies_below():
         kept = maps.may_reach(i, j, n[i], n[j], percent)
         assert kept[100 * same >= percent * (n[i] + n[j] - same)].all()
         assert not kept[(alike < percent / 100 - 0.04) & (np.minimum(n[i], n[j]) < 1000)].any()
+
+
+def test_a_group_without_pairs_left_out_is_not_dealt_again(frame, corpus, monkeypatch):
+    dealt, compared = [], near_copies._compared
+    monkeypatch.setattr(near_copies, "BAND", 2)
+    monkeypatch.setattr(near_copies, "_compared", lambda groups, *rest: dealt.append(groups.count()) or compared(groups, *rest))
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_copies.near_copies(frame(corpus[:120]), width=2).collect()}
+    assert got == brute(corpus[:120], 2)
+    assert dealt[0] > 0 and sum(dealt) < 1.5 * dealt[0]
+
+
+@pytest.mark.parametrize("n", [64, 256])
+def test_rows_of_a_large_group_follow_its_members(spark, monkeypatch, n):
+    """All but three members of a bucket are linked: they meet these three, not each other."""
+    monkeypatch.setattr(near_copies, "PART", 4)
+    members = spark.createDataFrame([(1, 0, k, 100) for k in range(n)], "bucket long, band int, rep long, n long")
+    classes = spark.createDataFrame([(k, b"", b"") for k in range(n)], "rep long, sketch binary, bits binary")
+    roots = spark.createDataFrame([(k, 0) for k in range(n - 3)], "node long, root long")
+    rows = near_copies._groups(members, classes, roots, 0.8).where("not guest").collect()
+    assert len(rows) <= 2 * n
+    met = {(r.bucket, r.p, r.q): [x for x in rows if (x.p, x.q) == (r.p, r.q)] for r in rows}
+    pairs = [tuple(sorted((a.rep, b.rep))) for (_, p, q), group in met.items() for a in group for b in group if a.rep < b.rep and a.root != b.root and (p == q or a.part != b.part)]
+    assert sorted(pairs) == [(a, b) for a in range(n) for b in range(max(a + 1, n - 3), n)]
