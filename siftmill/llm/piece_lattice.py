@@ -29,8 +29,6 @@ from siftmill.llm.encode import public_path
 
 SPACE = "▁"
 NEVER = (1 << 20) - 1
-#: Edges that end within the longest piece of a position: its length squared.
-NEAR = 256
 #: Words of the encoded table that one shard holds.
 SHARD_WORDS = 1 << 22
 #: Bytes of text that a task cuts into words at once; the arrays of a byte take many times its size.
@@ -155,8 +153,6 @@ def lattice(words: DataFrame, name: str) -> DataFrame:
     # As many rows as the model has pieces, whatever the input.
     table = words.sparkSession.createDataFrame([(p, i) for p, i, *_ in pieces(name)], "piece string, id long")
     longest = max(len(p) for p, *_ in pieces(name))
-    if longest**2 > NEAR:
-        raise ValueError("the model's pieces are longer than the fold looks back")
     starts = words.select("word", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("start"))
     spans = starts.select("word", "start", F.explode(F.sequence(F.col("start") + 1, F.least(F.length("word"), F.col("start") + longest))).alias("end"))
     spans = spans.withColumn("piece", F.substring("word", F.col("start") + 1, F.col("end") - F.col("start")))
@@ -166,34 +162,33 @@ def lattice(words: DataFrame, name: str) -> DataFrame:
 
 
 def _merges(name: str):
-    """A constant by id: the rank of each piece and its spines, a part of a spine as one number (20
-    bits each for its length and the ranks at which it is made and gone)."""
+    """A constant by id: the rank of each piece, and for its left and right border one number for each
+    length up to its own (20 bits each for the ranks at which the part of that length is made and
+    gone, 0 if the border has none), the first at ``at``."""
     rows = [(0, [], [])] * _processor(name).get_piece_size() + [(NEVER, [(1, -1, NEVER)], [(1, -1, NEVER)])]
     for _, i, *rest in pieces(name):
         rows[i] = rest
     short = lambda rank: min(rank + 1, NEVER)
     # Splits and casts of text are worked out once, by the optimizer; a higher-order function would not be.
     numbers = lambda values: F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
-    sides = {}
+    at = np.cumsum([0, *(max((n for n, *_ in r[1]), default=0) for r in rows)])
+    sides = {"at": numbers(at.tolist())}
     for side, k in (("left", 1), ("right", 2)):
-        sizes = [len(r[k]) for r in rows]
-        sides[side] = numbers([n << 40 | short(made) << 20 | short(gone) for r in rows for n, made, gone in r[k]])
-        sides[f"{side}_at"] = numbers(np.cumsum([1, *sizes]).tolist())
+        parts = np.zeros(at[-1], np.int64)
+        for first, r in zip(at, rows, strict=False):
+            for n, made, gone in r[k]:
+                parts[first + n - 1] = short(made) << 20 | short(gone)
+        sides[side] = numbers(parts.tolist())
     return F.struct(numbers([short(r[0]) for r in rows]).alias("rank"), *[c.alias(n) for n, c in sides.items()])
 
 
-def _spine(merges, side: str, edge):
-    at = merges[f"{side}_at"]
-    first = F.get(at, _id(edge))
-    return F.slice(merges[side], first.cast("int"), (F.get(at, _id(edge) + 1) - first).cast("int"))
-
-
-def _n(part):
-    return F.shiftrightunsigned(part, 40)
+def _part(merges, side: str, edge, n):
+    """The part of length ``n`` at a border of an edge's piece; the piece is at least as long."""
+    return F.get(merges[side], (F.get(merges["at"], _id(edge)) + n - 1).cast("int"))
 
 
 def _made(part):
-    return F.shiftrightunsigned(part, 20).bitwiseAND(0xFFFFF)
+    return F.shiftrightunsigned(part, 20)
 
 
 def _gone(part):
@@ -208,46 +203,54 @@ def best_path(edges, name: str):
 
 def _best_path(edges, merges):
     def stable(near, last, e):
-        """No edge across the border of ``last`` and ``e`` merges before their own parts do."""
+        """No edge across the border of ``last`` and ``e`` merges before their own parts do.
+        ``near`` are the edges before ``e`` that end after its start."""
 
         def across(x):
-            rank = F.get(merges["rank"], _id(x))
-            fits = lambda a, b: (F.greatest(rank, _made(a), _made(b)) < _gone(a)) & (F.greatest(rank, _made(a), _made(b)) <= _gone(b))
-            right = lambda a: (_n(a) == _start(e) - _start(x)) & F.exists(_spine(merges, "left", e), lambda b: (_n(b) == _end(x) - _start(e)) & fits(a, b))
-            # Numbers of edges compare by end first: the order of the tests is from cheap to dear.
-            return (x < e) & (_end(x) > _start(e)) & (_start(x) < _start(e)) & (_start(x) >= _start(last)) & F.exists(_spine(merges, "right", last), right)
+            rank, a, b = F.get(merges["rank"], _id(x)), _part(merges, "right", last, _start(e) - _start(x)), _part(merges, "left", e, _end(x) - _start(e))
+            first = (rank < _gone(a)) & (_made(b) < _gone(a)) & (rank <= _gone(b)) & (_made(a) <= _gone(b)) & (_made(a) < _gone(a)) & (_made(b) <= _gone(b))
+            return (_start(x) < _start(e)) & (_start(x) >= _start(last)) & (a > 0) & (b > 0) & first
 
         return ~F.exists(near, across)
 
-    start = F.struct(F.lit(0).alias("seen"), F.expr("cast(array() as array<bigint>)").alias("best"))
+    none = lambda of: F.expr(f"cast(array() as array<{of}>)")
+    start = F.struct(F.lit(0).alias("seen"), none("int").alias("upto"), none("bigint").alias("best"))
 
-    def fold(merged):
-        """``merged`` are the edges of two characters or more, the only ones across a border."""
+    def fold(kinds):
+        """One step for each edge of two characters or more; these alone go across a border. One edge to a
+        position is stable: where none of them is, it is that of the single character."""
+        merged, single = kinds["merged"], kinds["single"]
 
         def step(state, e):
-            # Edges come by end and start: those across a border that ends here lie among the last NEAR.
-            best, seen = state["best"], state["seen"]
-            near = F.when(F.size(merged) <= NEAR, merged).otherwise(F.slice(merged, F.greatest(seen - NEAR + 1, F.lit(1)), F.lit(NEAR)))
-            due = F.size(best) == _end(e) - 1  # the position has no piece yet
-            good = due & F.when(_start(e) == 0, True).otherwise(stable(near, F.get(best, (_start(e) - 1).cast("int")), e))
-            now = seen + F.when(_end(e) - _start(e) > 1, 1).otherwise(0)
-            return F.struct(now.alias("seen"), F.when(good, F.concat(best, F.array(e))).otherwise(best).alias("best"))
-
-        return F.aggregate(edges, start, step, lambda s: s["best"])
+            # Edges come by end and start, so those before ``e`` that end after a position follow each other.
+            best, seen, upto = state["best"], state["seen"], state["upto"]
+            at = (_start(e) - 1).cast("int")
+            missing = (_end(e) - 1 - F.size(best)).cast("int")  # below 0: the position has its piece
+            first = F.coalesce(F.get(upto, at + 1), seen)
+            near = F.slice(merged, first + 1, seen - first)
+            good = (missing >= 0) & F.when((at < 0) | (seen == first), True).otherwise(stable(near, F.coalesce(F.get(best, at), F.get(single, at)), e))
+            later = (_end(e) - F.size(upto)).cast("int")
+            return F.struct(
+                (seen + 1).alias("seen"),
+                F.when(later > 0, F.concat(upto, F.array_repeat(seen, later))).otherwise(upto).alias("upto"),  # edges that end by each position
+                F.when(good, F.concat(best, F.slice(single, F.size(best) + 1, missing), F.array(e))).otherwise(best).alias("best"),
+            )
+
+        return F.aggregate(merged, start, step, lambda s: F.concat(s["best"], F.slice(single, F.size(s["best"]) + 1, F.size(single))))
 
     def walk(path):
         """Edges of the way, from its end to its start and turned round."""
-        none = F.struct(F.size(path).alias("at"), F.expr("cast(array() as array<bigint>)").alias("back"))
+        begin = F.struct(F.size(path).alias("at"), none("bigint").alias("back"))
 
         def go(state, _):
             here = F.get(path, state["at"] - 1)
             return F.when(state["at"] > 0, F.struct(_start(here).cast("int").alias("at"), F.concat(state["back"], F.array(here)).alias("back"))).otherwise(state)
 
-        return F.aggregate(path, none, go, lambda s: F.reverse(s["back"]))
+        return F.aggregate(path, begin, go, lambda s: F.reverse(s["back"]))
 
     # What is used twice is bound to a variable: written out twice it would be worked out twice.
-    merged = F.array(F.filter(edges, lambda e: _end(e) - _start(e) > 1))
-    return F.get(F.transform(F.transform(merged, fold), walk), 0)
+    kinds = F.array(F.struct(F.filter(edges, lambda e: _end(e) - _start(e) > 1).alias("merged"), F.filter(edges, lambda e: _end(e) - _start(e) == 1).alias("single")))
+    return F.get(F.transform(F.transform(kinds, fold), walk), 0)
 
 
 def encoded_words(words: DataFrame, name: str) -> DataFrame:

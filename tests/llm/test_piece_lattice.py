@@ -8,6 +8,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 from siftmill.llm import common, piece_lattice
 from siftmill.llm.encode import public_path
@@ -93,3 +94,21 @@ def test_a_worker_drops_its_shard_for_other_work(tmp_path):
     common.held("other", dict)
     assert list(common._HELD) == ["other"]
     common.forget()
+
+
+def test_parts_of_a_border_are_found_by_their_length(spark):
+    """The fold looks a part up by its length; it walks no list of parts."""
+    some = [p for p in piece_lattice.pieces(NAME) if len(p[0]) in (1, 2, 7)][::997]
+    short = lambda rank: min(rank + 1, piece_lattice.NEVER)
+    part = lambda spine, n: next((short(made) << 20 | short(gone) for k, made, gone in spine if k == n), 0)
+    asked = [(i, n, part(left, n), part(right, n)) for piece, i, _, left, right in some for n in range(1, len(piece) + 1)]
+    merges = piece_lattice._merges(NAME)
+    sides = [piece_lattice._part(merges, side, F.col("id"), F.col("n")).alias(f"got_{side}") for side in ("left", "right")]
+    rows = spark.createDataFrame(asked, "id long, n int, left long, right long").select("*", *sides).collect()
+    assert rows and all((r.got_left, r.got_right) == (r.left, r.right) for r in rows)
+
+
+def test_positions_without_longer_pieces(frame, sp):
+    texts = ["①the②", "🙂🙂the🙂", "q①", "①②③ the①②", "the①of②and"]
+    for r in piece_lattice.encode(frame(list(enumerate(texts)))).collect():
+        assert r.ids == sp.encode(r.text)
