@@ -9,6 +9,7 @@ from siftmill.columns import ID, LABEL, OBS
 from siftmill.operators import compare, investigate, judge, models, regression, runlog, screen
 from siftmill.operators import metrics as m
 from siftmill.operators.models import Inputs
+from siftmill.queries import metrics
 from siftmill.streaming import live_totals
 
 
@@ -62,6 +63,64 @@ def test_investigation(spark):
     assert sorted(rates) == list(range(10)) and rates[9] > rates[0]
 
 
+def plain_psi(expected, actual):
+    edges = np.unique(np.quantile(expected, np.linspace(0, 1, 11)))
+    if len(edges) < 3:
+        return 0.0
+    share = lambda v: np.clip(np.bincount(np.searchsorted(edges[1:-1], v, side="right"), minlength=len(edges) - 1) / len(v), 1e-6, None)
+    pe, pa = share(expected), share(actual)
+    return float(((pa - pe) * np.log(pa / pe)).sum())
+
+
+@pytest.mark.parametrize("buckets", [None, 3])
+def test_insights_find_the_worse_segment_and_the_drifting_fields(spark, buckets):
+    """A segment without signal, a shifted field and a text field whose values change their shares;
+    every number is worked out again from the rows."""
+    rng = np.random.default_rng(8)
+    n = 9000
+    at = pd.date_range("2020-01-01", "2021-03-31", periods=n).floor("s")
+    late, y, seg = at >= "2021-01-01", rng.integers(0, 2, n), rng.choice(["a", "b", "c", None], n)
+    d = pd.DataFrame({OBS: at, "y": y, "seg": seg, "p": np.where(seg == "b", 0, 1.5 * y) + rng.normal(size=n).round(2), "calm": rng.normal(size=n), "moved": rng.normal(size=n) + 2 * (at >= "2021-02-01")})
+    d["kind"] = np.where(late & (rng.random(n) < 0.7), "e", rng.choice([*"abcde"], n, p=[0.3, 0.25, 0.2, 0.15, 0.1]))
+    d["late_only"], d["early_only"] = np.where(late, 1.0, np.nan), np.where(late, np.nan, rng.normal(size=n))
+    fields = ["calm", "moved", "kind", "late_only", "early_only"]
+    df = spark.createDataFrame(d.astype({"seg": object}).where(d.notna(), None), f"{OBS} timestamp, y int, seg string, p double, calm double, moved double, kind string, late_only double, early_only double")
+    rows = investigate.segment_insights(df, F.col(OBS) < "2021-01-01", ["seg"], fields, buckets=buckets).collect()
+    found = {(r["kind"], r["feature"], r["value"]): r["finding"] for r in rows if r["finding"]}
+    assert found == {("segment", "seg", "b"): "worse", ("drift", "moved", "2021-02"): "severe", ("drift", "moved", "2021-03"): "severe", **{("drift", "kind", f"2021-0{m}"): "severe" for m in (1, 2, 3)}}
+
+    def area(part):
+        rank, pos = part["p"].rank(), part["y"] == 1
+        return (rank[pos].sum() - pos.sum() * (pos.sum() + 1) / 2) / (pos.sum() * (~pos).sum())
+
+    new = d[late]
+    segments = {r["value"]: r for r in rows if r["kind"] == "segment"}
+    assert set(segments) == {"a", "b", "c", None}
+    for value, r in segments.items():
+        part = new[new["seg"].isna() if value is None else new["seg"] == value]
+        assert (r["n"], r["n_ref"], r["n_pos"], r["n_neg"]) == (len(part), len(new), (part["y"] == 1).sum(), (part["y"] == 0).sum())
+        assert np.isclose(r["auc"], area(part)) and np.isclose(r["auc_gap"], area(part) - area(new))
+    drift = {(r["feature"], r["value"]): r for r in rows if r["kind"] == "drift"}
+    assert set(drift) == {(f, f"2021-0{m}") for f in fields for m in (1, 2, 3)}
+    d["kind"] = d["kind"].map(d["kind"].value_counts()).astype(float)
+    for (f, month), r in drift.items():
+        old, now = d.loc[~late, f].dropna(), d.loc[late & (at.strftime("%Y-%m") == month), f].dropna()
+        assert (r["n"], r["n_ref"]) == (len(now), len(old))
+        assert np.isclose(r["psi"], plain_psi(old, now)) if len(old) and len(now) else r["psi"] is None
+
+
+def test_insights_query_reports_drift(spark, tmp_path):
+    n = 3000
+    day = pd.date_range("1995-01-01", "1999-12-31", periods=n).date
+    orders = pd.DataFrame({"o_orderkey": np.arange(n), "o_custkey": 1, "o_orderstatus": np.where(np.arange(n) % 2, "F", "O"), "o_totalprice": 1.0 + np.arange(n) * 7 % 997, "o_orderdate": day, "o_orderpriority": np.where(np.arange(n) % 3, "1-URGENT", "5-LOW")})
+    lines = pd.DataFrame({"l_orderkey": np.arange(n), "l_quantity": 1.0, "l_extendedprice": 1.0 + np.arange(n) * 11 % 499, "l_discount": 0.1})
+    spark.createDataFrame(orders).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(lines).write.parquet(f"{tmp_path}/lineitem.parquet")
+    rows = metrics.segment_insights(spark, str(tmp_path)).where("kind = 'drift'").collect()
+    assert {r["value"] for r in rows} == {f"1999-{k:02d}" for k in range(1, 13)} and {r["feature"] for r in rows} == set(metrics.FIELDS)
+    assert all(r["psi"] > 0.25 for r in rows if r["feature"] == "drift") and all(r["psi"] < 0.01 for r in rows if r["feature"] == "qty_sum")
+
+
 @pytest.fixture(scope="module")
 def pairs(spark):
     rng = np.random.default_rng(2)
